@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup
+from . import byte_bpe, chat_format, exact_dedup, token_counts
 
 QUERIES = {
+    "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
