@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 
 from .common import doc_rows, spread, table
 
-#: Characters of text taken at a time, words of one recursive query, pieces and words that a worker remembers.
-SLICE, WORDS_AT_ONCE, PIECES, WORDS = 4_000_000, 20_000, 500_000, 600_000
+#: Characters of text taken at a time, words of one recursive query, ids of one decoding query, letters beyond which a word
+#: is merged by a plain loop (a recursive query keeps every step), pieces and words that a worker remembers.
+SLICE, WORDS_AT_ONCE, IDS_AT_ONCE, LONG, PIECES, WORDS = 4_000_000, 20_000, 400_000, 400, 500_000, 600_000
 
 MERGES = """
 CREATE TABLE merges AS
@@ -47,10 +48,7 @@ SELECT word, string_agg(tok, ',' ORDER BY pos) AS ids
 FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last GROUP BY word
 """
 
-DECODE = """
-SELECT doc, string_agg(v.s, '' ORDER BY i) AS s
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM coded) JOIN vocab v USING (id) GROUP BY doc
-"""
+DECODE = "SELECT doc, string_agg(s, '' ORDER BY i) AS s FROM coded JOIN vocab USING (id) GROUP BY doc"
 
 
 class Pieces(dict):
@@ -67,7 +65,8 @@ class ByteBpe:
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        vocab = pa.table({"id": pa.array([int(r) for _, r in pairs], pa.int64()), "s": [base64.b64decode(t).decode("latin-1") for t, _ in pairs]})
+        self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
+        vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "s": [t.decode("latin-1") for t in self.ranks]})
         self.db.register("given", vocab)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM given")
         self.db.execute(MERGES)
@@ -93,7 +92,8 @@ class ByteBpe:
 
     def merged(self, words: list[str]) -> dict[str, str]:
         """Ids of distinct pre-tokens, joined by commas."""
-        out = {}
+        out = {w: self.merged_alone(w) for w in words if len(w) > LONG}
+        words = [w for w in words if len(w) <= LONG]
         for i in range(0, len(words), WORDS_AT_ONCE):
             part = words[i : i + WORDS_AT_ONCE]
             self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int64()), "s": [w.encode().decode("latin-1") for w in part]}))
@@ -101,6 +101,21 @@ class ByteBpe:
             out |= zip((part[k] for k in got["word"].to_pylist()), got["ids"].to_pylist(), strict=True)
         return out
 
+    def merged_alone(self, word: str) -> str:
+        """The same rule for one very long pre-token."""
+        raw, rank, none = word.encode(), self.ranks.get, 1 << 30
+        at = [raw[i : i + 1] for i in range(len(raw))]
+        pairs = [rank(a + b, none) for a, b in zip(at, at[1:], strict=False)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            at[i : i + 2] = [at[i] + at[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(at[i] + at[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(at[i - 1] + at[i], none)
+        return ",".join(str(self.ranks[t]) for t in at)
+
     def encode(self, texts: list[str]) -> list[str]:
         """Each text's ids, joined by commas; an empty text has the empty string."""
         parts = [self.split(t) for t in texts]
@@ -115,13 +130,15 @@ class ByteBpe:
             memory.update(islice(more.items(), max(0, most - len(memory))))
         return out
 
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
-        """The bytes of each list of ids."""
-        out = [b""] * len(ids)
-        self.db.register("coded", pa.table({"doc": pa.array(range(len(ids)), pa.int64()), "ids": ids}))
-        for doc, s in self.db.execute(DECODE).fetchall():
-            out[doc] = s.encode("latin-1")
-        return out
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids, which ends at `ends`; IDS_AT_ONCE of all ids go through one query."""
+        out = [[] for _ in ends]
+        for at in range(0, len(ids), IDS_AT_ONCE):
+            top = min(at + IDS_AT_ONCE, len(ids))
+            self.db.register("coded", pa.table({"doc": np.searchsorted(ends, np.arange(at, top), side="right"), "id": ids[at:top], "i": np.arange(at, top)}))
+            for doc, s in self.db.execute(DECODE).fetchall():
+                out[doc].append(s.encode("latin-1"))
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(maxsize=1)
@@ -158,7 +175,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, outputs: bool = Tru
                 n = np.array([s.count(",") + 1 if s else 0 for s in joined], np.int64)
                 flat = np.fromstring(",".join(filter(None, joined)), np.int32, sep=",")
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], n.cumsum())), pa.int32()), pa.array(flat))
-                back = bpe.decode(ids)
+                back = bpe.decode(flat, n.cumsum())
                 cols = [b.column("doc_id").slice(start, len(texts)), pa.array(n)]
                 cols += [pa.array([hashlib.sha256(s.encode()).hexdigest() for s in joined]), pa.array([hashlib.sha256(s).hexdigest() for s in back])]
                 if outputs:
