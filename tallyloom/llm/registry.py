@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, exact_dedup, token_counts
+from . import byte_bpe, chat_format, exact_dedup, packing, token_counts, toxicity
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op7_chat_format": chat_format.op7_chat_format,
