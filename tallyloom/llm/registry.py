@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, exact_dedup, packing, token_counts, toxicity
+from . import byte_bpe, chat_format, exact_dedup, neighbours, packing, token_counts, toxicity
 
 QUERIES = {
+    "op3_neighbours": neighbours.op3_neighbours,
     "op2_packing": packing.op2_packing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import doc_rows, spread, table
 
 #: Labelled documents to learn from at most; hashed features; a feature of fewer documents is ignored; words remembered.
-SAMPLE, DIMS, LEAST_DOCS, WORDS = 6000, 1 << 19, 3, 600_000
+SAMPLE, DIMS, LEAST_DOCS, WORDS = 6000, 1 << 19, 4, 600_000
 #: What a toxic document counts in the loss beside a clean one; there are few of them.
-GAIN = 3.0
+GAIN = 1.5
 SENTENCE = regex.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 THRESHOLD = 0.3
 
@@ -26,7 +26,7 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % DIMS for f in (w, w[:4] + "*", w[:5] + "*")] if len(w) > 2 else []
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 80, rate: float = 0.15, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence score, by Adam on the loss of the noisy-or of each document."""
     seen: dict[str, list[int]] = {}
     slots, sentence, doc = [], [], []
@@ -49,7 +49,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 80, rate: float = 0
     index[used] = np.arange(len(used))
     on = keep[slots]
     slots, sent = index[slots[on]], sent[on]
-    w, b = np.zeros(len(used) + 1), -5.0
+    own_doc, slot = index_pairs(pairs, index, keep)
+    w, b = np.append(log_odds(np.bincount(slot, toxic[own_doc] > 0, len(used)), np.bincount(slot, minlength=len(used)), float((toxic > 0).sum()), len(texts)), 0.0), -7.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
         z = np.bincount(sent, w[slots], len(doc)) + b
@@ -65,6 +66,20 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 80, rate: float = 0
     return out, float(b)
 
 
+def index_pairs(pairs: np.ndarray, index: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place of each (document, kept slot)."""
+    doc, slot = np.divmod(pairs, DIMS)
+    on = keep[slot]
+    return doc[on], index[slot[on]]
+
+
+def log_odds(bad: np.ndarray, n: np.ndarray, toxic: float, total: int) -> np.ndarray:
+    """A start for the weights: smoothed log odds of features far likelier in toxic documents than chance allows, else 0."""
+    rate = max(toxic, 1e-9) / max(total, 1)
+    far = bad - n * rate > 3 * np.sqrt(n * rate * (1 - rate) + 0.1)
+    return np.where(far, np.log((bad + 0.5) / (n - bad + 0.5) * (1 - rate) / rate), 0.0)
+
+
 class Weights(dict):
     """Weight of a word, remembered."""
 
