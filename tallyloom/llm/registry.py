@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, chunk_dedup, exact_dedup, neighbours, packing, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, chat_format, chunk_dedup, exact_dedup, jaccard_join, neighbours, packing, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op5_chunk_dedup": chunk_dedup.op5_chunk_dedup,
     "op3_neighbours": neighbours.op3_neighbours,
