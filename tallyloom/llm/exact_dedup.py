@@ -34,6 +34,14 @@ def exact_groups(docs: DataFrame, keep: str = "min") -> DataFrame:
     return keys.join(classes, ["h", "sha", "s"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, keep: str = "min") -> DataFrame:
+    """The rows of docs, with all their columns, that stay; of rows that repeat an id and its text one stays."""
+    best = exact_groups(docs, keep).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.withColumn("__of", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__of"]).drop("__of")
+
+
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 

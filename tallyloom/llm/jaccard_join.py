@@ -296,5 +296,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their component."""
+    best = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(best, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

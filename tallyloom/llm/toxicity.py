@@ -139,5 +139,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that score under THRESHOLD."""
+    w, bias = fit(docs, labels, sample)
+
+    def run(batches):
+        weights = Weights(w)
+        for b in batches:
+            yield b.filter(pa.array([score(t.as_py() or "", weights, bias)[0] < THRESHOLD for t in b.column("text")], pa.bool_()))
+
+    return spread(docs.sparkSession, docs).mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
