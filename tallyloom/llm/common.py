@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,9 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shard_of(n: int) -> Column:
-    """Shard 0..n-1 of a document, by a hash of its id."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
