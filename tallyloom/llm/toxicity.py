@@ -60,7 +60,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0
         g = np.append(np.bincount(slots, step[sent], len(w)) + decay * w, step.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         d = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        w, b = w - d[:-1], b - d[-1]
+        # words only speak for toxicity: a long clean sentence does not outweigh an offence in it
+        w, b = np.maximum(w - d[:-1], 0), b - d[-1]
     out = np.zeros(DIMS, np.float32)
     out[used] = w[:-1]
     return out, float(b)
