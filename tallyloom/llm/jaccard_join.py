@@ -50,6 +50,11 @@ def at_least(n: np.ndarray) -> np.ndarray:
     return -(-LEAST * n // 100)
 
 
+def shared_prefix(n: np.ndarray) -> np.ndarray:
+    """Tokens by which a prefix is longer than one that would share a single token with any partner, plus that one."""
+    return 1 + n // 10
+
+
 def overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Shared shingles that sets of n and m need: 100 * i >= LEAST * (n + m - i)."""
     return -(-LEAST * (n + m) // (100 + LEAST))
@@ -110,7 +115,7 @@ class Prefixes:
         self.c = np.fromiter(sorted(sets), np.int64, len(sets))
         self.sets = [sets[int(c)] for c in self.c]
         self.n = np.array([len(s) for s in self.sets], np.int64)
-        keep = self.n - at_least(self.n) + 1
+        keep = self.n - at_least(self.n) + shared_prefix(self.n)
         token, place = [], []
         for s, k in zip(self.sets, keep.tolist(), strict=True):
             order = np.argsort(rare[(s >> shift).astype(np.int64)], kind="stable")[:k]
@@ -163,6 +168,9 @@ def proposals(docs: DataFrame, rare: np.ndarray) -> tuple[DataFrame, DataFrame]:
         for b, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
             shared[p.ends[b] : p.ends[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=p.ends[b + 1] - p.ends[b]).astype(bool)
         on = np.flatnonzero(shared[p.distinct_of])
+        # a partner has LEAST of the size at least and shares its shared_prefix of tokens or more
+        enough = np.bincount(p.of[on], minlength=len(p.c)) >= shared_prefix(LEAST * p.n // 100)
+        on = on[enough[p.of[on]]]
         of, bucket = p.of[on], p.bucket[on]
         packed = [p.token[on], p.c[of], p.n[of].astype(np.uint32), p.place[on].astype(np.uint32)]
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -211,11 +219,22 @@ def propose(group: pa.Table) -> pa.Table:
     b.append(np.repeat(first + size // 2, size)[big])
     a, b = np.concatenate(a), np.concatenate(b)
     ok = (a != b) & fits(n[a], n[b], i[a], i[b])
-    x, y = np.minimum(c[a[ok]], c[b[ok]]), np.maximum(c[a[ok]], c[b[ok]])
-    pairs = np.unique(np.stack((x, y), 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+    a, b = a[ok], b[ok]
+    pairs, k, need, sure = counted(c, n, a, b, mine[a] > ALL)
     none, zero = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(big), pa.int64())
-    top = pa.table({"x": pairs[:, 0], "y": pairs[:, 1], "token": none, "c": none, "n": none, "i": none})
-    return pa.concat_tables([top, pa.table({"x": zero, "y": zero, "token": token[big].view(np.int64), "c": c[big], "n": n[big], "i": i[big]})])
+    top = pa.table({"x": pairs[:, 0], "y": pairs[:, 1], "k": k, "need": need, "sure": sure, "token": none, "c": none, "n": none, "i": none})
+    return pa.concat_tables([top, pa.table({"x": zero, "y": zero, "k": zero, "need": zero, "sure": zero, "token": token[big].view(np.int64), "c": c[big], "n": n[big], "i": i[big]})])
+
+
+def counted(c: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs (smaller class first), tokens they share here, tokens they need to share, and 1 if they are to be verified anyway."""
+    x, y = np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
+    order = np.lexsort((y, x))
+    x, y, need, sure = x[order], y[order], shared_prefix(np.minimum(n[a], n[b]))[order], sure[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, np.int64)
+    k = np.diff(np.append(first, len(x)))
+    most = np.maximum.reduceat(sure, first) if len(first) else np.empty(0, np.int64)
+    return np.stack((x[first], y[first]), 1), k, need[first], most
 
 
 def across(group: pa.Table) -> pa.Table:
@@ -223,14 +242,16 @@ def across(group: pa.Table) -> pa.Table:
     c, n, i, r = (group[x].to_numpy() for x in ("c", "n", "i", "root"))
     order = np.argsort(n, kind="stable")
     c, n, i, r = c[order], n[order], i[order], r[order]
-    out = [np.empty((0, 2), np.int64)]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k in range(len(c)):
         top = np.searchsorted(n, 100 * n[k] // LEAST, side="right")
         j = np.arange(k + 1, top)
         j = j[(r[j] != r[k]) & fits(n[k], n[j], i[k], i[j])]
-        out.append(np.stack((np.minimum(c[k], c[j]), np.maximum(c[k], c[j])), 1))
-    pairs = np.concatenate(out)
-    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+        left.append(np.full(len(j), k))
+        right.append(j)
+    a, b = np.concatenate(left), np.concatenate(right)
+    pairs, k, need, _ = counted(c, n, a, b, np.zeros(len(a), bool))
+    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1], "k": k, "need": need})
 
 
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -245,7 +266,7 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, written."""
+    """The pairs that link, written. Only sets of classes in a pair are kept, one of each."""
 
     def run(batches):
         for b in batches:
@@ -253,6 +274,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = pa.array([linked(p, q) for p, q in zip(s, t, strict=True)], pa.bool_())
             yield b.select(["x", "y"]).filter(ok)
 
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    sets = cut(sets.join(asked, "c", "left_semi").dropDuplicates(["c"]))
     one, two = sets.select(F.col("c").alias("x"), F.col("shingles").alias("s")), sets.select(F.col("c").alias("y"), F.col("shingles").alias("t"))
     return cut(pairs.join(one, "x").join(two, "y").select("x", "y", "s", "t").mapInArrow(run, "x long, y long"))
 
@@ -265,25 +288,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     never the smallest of a class that has another. Shingles are compared by 64-bit hashes.
 
     Order of tokens: by the frequency of their hash slot over all documents, then by hash; a table of at most 4 MB. Shards
-    offer prefix tokens, buckets answer which ones are shared, and only those become entries. Groups of a token of at most
-    ALL classes propose every pair; larger ones propose a linear number, and after components are known every pair that
-    still lies between two components, so large groups of near copies never expand into pairs and no link between
-    components is lost.
+    offer prefix tokens, buckets answer which ones are shared, and only those become entries. A prefix is longer by a tenth
+    of the set than one token in common asks for, so a pair must share that many (Wang, Li and Feng, 2012), and a passage
+    in common makes no candidate. Groups of a token of at most ALL classes propose every pair, whose tokens are counted;
+    larger ones propose a linear number, and after components are known every pair that still lies between two
+    components, so large groups of near copies never expand into pairs and no link between components is lost: a pair
+    that is still apart is counted over all the groups it shares.
     """
     total = text_bytes(doc_rows(docs))
     slots = 1 << min(22, max(16, (total // 128).bit_length()))
     measured = cut(measures(docs, slots))
     rare = rarity(measured, slots)
     entries, sets = proposals(docs, rare)
-    sets = sets.dropDuplicates(["c"])
-    found = cut(entries.groupBy("bucket").applyInArrow(propose, "x long, y long, token long, c long, n long, i long"))
-    first = found.filter("x IS NOT NULL").select("x", "y").distinct()
+    found = cut(entries.groupBy("bucket").applyInArrow(propose, "x long, y long, k long, need long, sure long, token long, c long, n long, i long"))
+    proposed = found.filter("x IS NOT NULL")
+    first = cut(proposed.groupBy("x", "y").agg(F.sum("k").alias("k"), F.max("need").alias("need"), F.max("sure").alias("sure")).filter("sure = 1 OR k >= need").select("x", "y"))
     links = verify(first, sets)
     roots = components(links)
     members = found.filter("token IS NOT NULL").select("token", "c", "n", "i").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).select("token", "c", "n", "i", "root")
     members = cut(members)
     mixed = members.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    more = members.join(mixed, "token", "left_semi").groupBy("token").applyInArrow(across, "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
+    rest = members.join(mixed, "token", "left_semi").groupBy("token").applyInArrow(across, "x long, y long, k long, need long")
+    both = rest.unionByName(proposed.filter("sure = 0").select("x", "y", "k", "need").join(rest.select("x", "y").distinct(), ["x", "y"], "left_semi"))
+    more = both.groupBy("x", "y").agg(F.sum("k").alias("k"), F.max("need").alias("need")).filter("k >= need").select("x", "y").join(first, ["x", "y"], "left_anti")
+    more = cut(more)
     later = verify(more, sets)
     if later.head(1):
         roots = components(links.union(later))
