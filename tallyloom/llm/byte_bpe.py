@@ -30,22 +30,23 @@ JOIN vocab l ON l.s = substring(t.s, 1, t.i) JOIN vocab r ON r.s = substring(t.s
 #: One row for each token position of a word; a step contracts each word's leftmost pair of least rank.
 ENCODE = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
-  SELECT w.word, p.pos, v.id, 0
-  FROM words w, LATERAL (SELECT unnest(range(1, length(w.s) + 1)) AS pos) p JOIN vocab v ON v.s = substring(w.s, p.pos, 1)
+  SELECT w.word, p.pos::INTEGER, v.id, 0
+  FROM words w, LATERAL (SELECT unnest(range(1, length(w.s) + 1)) AS pos) p JOIN letters v ON v.s = substring(w.s, p.pos, 1)
   UNION ALL
-  SELECT word, pos, CASE WHEN key = best THEN best >> 32 ELSE tok END, step + 1
+  SELECT word, pos, CASE WHEN key = best THEN (best >> 32)::INTEGER ELSE tok END, step + 1
   FROM (
     SELECT word, pos, tok, step, key, min(key) OVER (PARTITION BY word) AS best, lag(key) OVER (PARTITION BY word ORDER BY pos) AS left_key
     FROM (
-      SELECT n.word, n.pos, n.tok, n.step, (m.id << 32) + n.pos AS key
+      SELECT n.word, n.pos, n.tok, n.step, (m.id::BIGINT << 32) + n.pos AS key
       FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM state) n
       LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next
     )
   )
   WHERE best IS NOT NULL AND left_key IS DISTINCT FROM best
 )
-SELECT word, string_agg(tok, ',' ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last GROUP BY word
+SELECT s.word, string_agg(s.tok, ',' ORDER BY s.pos) AS ids
+FROM state s SEMI JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) l ON l.word = s.word AND l.step = s.step
+GROUP BY s.word
 """
 
 DECODE = "SELECT doc, string_agg(s, '' ORDER BY i) AS s FROM coded JOIN vocab USING (id) GROUP BY doc"
@@ -66,9 +67,10 @@ class ByteBpe:
             pairs = [line.split() for line in f if line.strip()]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
-        vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "s": [t.decode("latin-1") for t in self.ranks]})
+        vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "s": [t.decode("latin-1") for t in self.ranks]})
         self.db.register("given", vocab)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM given")
+        self.db.execute("CREATE TABLE letters AS SELECT id, s FROM vocab WHERE length(s) = 1")
         self.db.execute(MERGES)
         self.pattern = regex.compile(pattern)
         self.runs = regex.compile(r"\s\s")
@@ -96,7 +98,7 @@ class ByteBpe:
         words = [w for w in words if len(w) <= LONG]
         for i in range(0, len(words), WORDS_AT_ONCE):
             part = words[i : i + WORDS_AT_ONCE]
-            self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int64()), "s": [w.encode().decode("latin-1") for w in part]}))
+            self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int32()), "s": [w.encode().decode("latin-1") for w in part]}))
             got = self.db.sql(ENCODE).to_arrow_table()
             out |= zip((part[k] for k in got["word"].to_pylist()), got["ids"].to_pylist(), strict=True)
         return out
