@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import parts, text_bytes
 
 #: Text of a shard and of what meets in a bucket, in bytes, about.
-SHARD, BUCKET = 8 << 20, 16 << 20
+SHARD, BUCKET = 4 << 20, 16 << 20
 #: A null id counts as the largest.
 NO_ID = np.iinfo(np.int64).max
 KEY = "__shard"
