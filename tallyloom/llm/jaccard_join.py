@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_rows, parts, spread, table, text_bytes
+from .common import cut, doc_rows, parts, spread, table
 from .components import components
 from .shards import KEY, sharded, unpack
 
@@ -60,119 +59,98 @@ def overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-LEAST * (n + m) // (100 + LEAST))
 
 
-def measures(docs: DataFrame, slots: int) -> DataFrame:
-    """doc_id, n, c (set digest, 64 bits), d (64 more), and in rows of their own the counts of shingles by hash slot."""
-    chunk = min(slots, 1 << 16)
+def measures(docs: DataFrame) -> DataFrame:
+    """doc_id, n, and c and d, the two halves of a digest of the set."""
 
     def run(batches):
-        counts = np.zeros(slots, np.uint32)
-        shift, part = np.uint64(64 - slots.bit_length() + 1), TaskContext.get().partitionId()
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column("text")]
-            for s in sets:
-                np.add.at(counts, (s >> shift).astype(np.int64), 1)
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            none = pa.nulls(len(sets), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), none, none, pa.nulls(len(sets), pa.binary())], names)
-        rows = [k for k in range(slots // chunk) if counts[k * chunk : (k + 1) * chunk].any()]
-        blobs = [np.minimum(counts[k * chunk : (k + 1) * chunk], 65535).astype(np.uint16).tobytes() for k in rows]
-        empty = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(rows, pa.int32()), pa.array([part % 64] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["doc_id", "n", "c", "d"])
 
-    names = ["doc_id", "n", "c", "d", "chunk", "salt", "counts"]
-    return spread(docs.sparkSession, doc_rows(docs)).mapInArrow(run, "doc_id long, n long, c long, d long, chunk int, salt int, counts binary")
+    return spread(docs.sparkSession, doc_rows(docs)).mapInArrow(run, "doc_id long, n long, c long, d long")
 
 
-def rarity(measured: DataFrame, slots: int) -> np.ndarray:
-    """A byte for each hash slot that grows with the logarithm of its shingles over all documents; `slots` bytes in all."""
-    chunk = min(slots, 1 << 16)
+def level(count: np.ndarray) -> np.ndarray:
+    """A byte that grows with a count: itself up to 127, then by its logarithm."""
+    return np.where(count < 128, count, np.minimum(128 + 8 * np.log2(np.maximum(count, 1) / 128), 255)).astype(np.uint8)
 
-    def total(group: pa.Table) -> pa.Table:
-        first = np.frombuffer(group["counts"][0].as_py(), np.uint8)
-        kind = np.uint16 if len(first) == 2 * chunk else np.uint64
-        s = sum((np.frombuffer(x.as_py(), kind).astype(np.uint64) for x in group["counts"]), np.zeros(chunk, np.uint64))
-        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()], pa.int32()), "counts": pa.array([s.tobytes()], pa.binary())})
 
-    rows = measured.filter("chunk IS NOT NULL").select("chunk", "salt", "counts")
-    sums = rows.groupBy("chunk", "salt").applyInArrow(total, "chunk int, counts binary").groupBy("chunk").applyInArrow(total, "chunk int, counts binary")
-    out = np.zeros(slots, np.uint8)
-    for r in sums.toLocalIterator():
-        n = np.frombuffer(r["counts"], np.uint64).astype(np.float64)
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.minimum(4 * np.log2(1 + n), 255)
-    return out
+class Tokens:
+    """Classes of a shard (documents with one set count once) and their tokens, grouped by bucket and token."""
 
-
-class Prefixes:
-    """Classes of a shard (documents with one set count once) and the rare-first prefix of each: token, class, place."""
-
-    def __init__(self, group: pa.Table, rare: np.ndarray, buckets: int):
+    def __init__(self, group: pa.Table, buckets: int):
         sets: dict[int, np.ndarray] = {}
         for t in group["text"]:
             s = shingles(t.as_py())
             if len(s):
                 sets.setdefault(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True), s)
-        shift = np.uint64(64 - len(rare).bit_length() + 1)
         self.c = np.fromiter(sorted(sets), np.int64, len(sets))
         self.sets = [sets[int(c)] for c in self.c]
         self.n = np.array([len(s) for s in self.sets], np.int64)
-        keep = self.n - at_least(self.n) + shared_prefix(self.n)
-        token, place = [], []
-        for s, k in zip(self.sets, keep.tolist(), strict=True):
-            order = np.argsort(rare[(s >> shift).astype(np.int64)], kind="stable")[:k]
-            token.append(s[order])
-            place.append(np.arange(k))
-        self.token = np.concatenate([*token, np.empty(0, np.uint64)])
-        self.place = np.concatenate([*place, np.empty(0, np.int64)])
-        self.of = np.repeat(np.arange(len(keep)), keep)
-        mixed = self.token * np.uint64(0x9E3779B97F4A7C15)
-        self.bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((self.token, self.bucket))
-        self.token, self.place, self.of, self.bucket = self.token[order], self.place[order], self.of[order], self.bucket[order]
+        token = np.concatenate([*self.sets, np.empty(0, np.uint64)])
+        # the bucket is a range of the token, so one sort groups both
+        order = np.argsort(token, kind="stable")
+        self.token, self.of = token[order], np.repeat(np.arange(len(self.n)), self.n)[order]
         new = np.ones(len(order), bool)
         new[1:] = self.token[1:] != self.token[:-1]
         self.first, self.distinct_of = np.flatnonzero(new), np.cumsum(new) - 1
-        self.ends = np.searchsorted(self.bucket[self.first], np.arange(buckets + 1))
+        self.bucket_of = ((self.token[self.first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.ends = np.searchsorted(self.bucket_of, np.arange(buckets + 1))
+
+    def prefixes(self, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (of token, of) in the rare-first prefix of their class, and their places in its order. rare: of each distinct token."""
+        order = np.lexsort((self.token, rare[self.distinct_of], self.of))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        inside = place < np.repeat(self.n - at_least(self.n) + shared_prefix(self.n), self.n)
+        return order[inside], place[inside]
 
 
-def proposals(docs: DataFrame, rare: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def proposals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables: by bucket the prefix entries whose token several classes hold, and the set of each such class."""
     plain, _, total = sharded(docs)
     buckets = parts(total, BUCKET)
 
     def offer(group: pa.Table) -> pa.Table:
-        p = Prefixes(group, rare, buckets)
-        several = np.diff(np.append(p.first, len(p.token))) > 1
+        """Each distinct token, 32 bits beside the bucket, and how many classes of the shard hold it, 255 at most."""
+        p = Tokens(group, buckets)
+        held = np.minimum(np.diff(np.append(p.first, len(p.token))), 255).astype(np.uint8)
         key = p.token[p.first].astype(np.uint32)
         full = np.flatnonzero(np.diff(p.ends))
-        cols = [[group[KEY][0].as_py()] * len(full), full, [key[p.ends[b] : p.ends[b + 1]].tobytes() for b in full], [several[p.ends[b] : p.ends[b + 1]].tobytes() for b in full]]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [KEY, "bucket", "key", "several"])
+        cols = [[group[KEY][0].as_py()] * len(full), full, [key[p.ends[b] : p.ends[b + 1]].tobytes() for b in full], [held[p.ends[b] : p.ends[b + 1]].tobytes() for b in full]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [KEY, "bucket", "key", "held"])
 
     def share(group: pa.Table) -> pa.Table:
-        """A bit for each offered token: several shards, or several classes of one, hold it."""
+        """The level of each offered token's count over all shards. Chance equals of 32 bits have one level everywhere."""
         key, row = unpack(group, "key", np.uint32)
-        several, _ = unpack(group, "several", bool)
+        held, _ = unpack(group, "held", np.uint8)
         order = np.argsort(key, kind="stable")
-        k, s = key[order], several[order]
+        k = key[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.append(first, len(k)))
-        bits = np.empty(len(k), bool)
-        bits[order] = np.repeat((size > 1) | np.logical_or.reduceat(s, first), size)
+        sums = level(np.add.reduceat(held[order].astype(np.int64), first))
+        levels = np.empty(len(k), np.uint8)
+        levels[order] = np.repeat(sums, np.diff(np.append(first, len(k))))
         ends = np.searchsorted(row, np.arange(group.num_rows + 1))
-        return pa.table({KEY: group[KEY], "bucket": group["bucket"], "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        return pa.table({KEY: group[KEY], "bucket": group["bucket"], "levels": pa.array([levels[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
     def enter(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return out_table([])
-        p = Prefixes(group, rare, buckets)
-        shared = np.zeros(len(p.first), bool)
-        for b, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            shared[p.ends[b] : p.ends[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=p.ends[b + 1] - p.ends[b]).astype(bool)
-        on = np.flatnonzero(shared[p.distinct_of])
+        p = Tokens(group, buckets)
+        rare = np.zeros(len(p.first), np.uint8)
+        for b, levels in zip(answers["bucket"].to_pylist(), answers["levels"].to_pylist(), strict=True):
+            rare[p.ends[b] : p.ends[b + 1]] = np.frombuffer(levels, np.uint8)
+        on, place = p.prefixes(rare)
+        shared = rare[p.distinct_of[on]] > 1
+        on, place = on[shared], place[shared]
         # a partner has LEAST of the size at least and shares its shared_prefix of tokens or more
         enough = np.bincount(p.of[on], minlength=len(p.c)) >= shared_prefix(LEAST * p.n // 100)
-        on = on[enough[p.of[on]]]
-        of, bucket = p.of[on], p.bucket[on]
-        packed = [p.token[on], p.c[of], p.n[of].astype(np.uint32), p.place[on].astype(np.uint32)]
+        keep = enough[p.of[on]]
+        on, place = on[keep], place[keep]
+        of, bucket = p.of[on], p.bucket_of[p.distinct_of[on]]
+        order = np.argsort(bucket, kind="stable")
+        on, place, of, bucket = on[order], place[order], of[order], bucket[order]
+        packed = [p.token[on], p.c[of], p.n[of].astype(np.uint32), place.astype(np.uint32)]
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = [(int(b), None, *[v[ends[b] : ends[b + 1]].tobytes() for v in packed], None) for b in np.flatnonzero(np.diff(ends))]
         rows += [(None, int(p.c[k]), None, None, None, None, p.sets[k].tobytes()) for k in np.unique(of)]
@@ -184,8 +162,8 @@ def proposals(docs: DataFrame, rare: np.ndarray) -> tuple[DataFrame, DataFrame]:
         cols = list(zip(*rows, strict=True)) or [[] for _ in kinds]
         return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
 
-    offered = plain.groupBy(KEY).applyInArrow(offer, f"{KEY} int, bucket int, key binary, several binary")
-    shared = offered.groupBy("bucket").applyInArrow(share, f"{KEY} int, bucket int, bits binary")
+    offered = plain.groupBy(KEY).applyInArrow(offer, f"{KEY} int, bucket int, key binary, held binary")
+    shared = offered.groupBy("bucket").applyInArrow(share, f"{KEY} int, bucket int, levels binary")
     entered = cut(plain.groupBy(KEY).cogroup(shared.groupBy(KEY)).applyInArrow(enter, "bucket int, c long, token binary, cls binary, n binary, place binary, shingles binary"))
     return entered.filter("bucket IS NOT NULL").drop("c", "shingles"), entered.filter("c IS NOT NULL").select("c", "shingles")
 
@@ -197,7 +175,7 @@ def fits(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
 
 
 def propose(group: pa.Table) -> pa.Table:
-    """Pairs of a bucket. Groups over ALL propose neighbours by size and pairs with their middle, and keep their members for a second look."""
+    """Pairs of a bucket. Groups over ALL propose neighbours by size and pairs with their smallest class, and keep their members for a second look."""
     (token, _), (c, _) = unpack(group, "token", np.uint64), unpack(group, "cls", np.int64)
     n, i = (unpack(group, x, np.uint32)[0].astype(np.int64) for x in ("n", "place"))
     order = np.lexsort((c, n, token))
@@ -215,8 +193,10 @@ def propose(group: pa.Table) -> pa.Table:
         a.append(at)
         b.append(at + d)
     big = np.flatnonzero(mine > ALL)
+    # one centre for nearly all tokens of a family of copies: the smallest class
+    centre = np.flatnonzero(c == np.repeat(np.minimum.reduceat(c, first), size)) if len(c) else first
     a.append(big)
-    b.append(np.repeat(first + size // 2, size)[big])
+    b.append(np.repeat(centre, size)[big])
     a, b = np.concatenate(a), np.concatenate(b)
     ok = (a != b) & fits(n[a], n[b], i[a], i[b])
     a, b = a[ok], b[ok]
@@ -287,19 +267,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     five words the sequence is the one shingle. Rows with equal sets are one class, found by a 128-bit digest. A null id is
     never the smallest of a class that has another. Shingles are compared by 64-bit hashes.
 
-    Order of tokens: by the frequency of their hash slot over all documents, then by hash; a table of at most 4 MB. Shards
-    offer prefix tokens, buckets answer which ones are shared, and only those become entries. A prefix is longer by a tenth
+    Order of tokens: by how many classes of all shards hold them, then by hash. Shards offer their distinct tokens, buckets
+    answer with the counts, and only prefix tokens that several hold become entries. A prefix is longer by a tenth
     of the set than one token in common asks for, so a pair must share that many (Wang, Li and Feng, 2012), and a passage
     in common makes no candidate. Groups of a token of at most ALL classes propose every pair, whose tokens are counted;
     larger ones propose a linear number, and after components are known every pair that still lies between two
     components, so large groups of near copies never expand into pairs and no link between components is lost: a pair
     that is still apart is counted over all the groups it shares.
     """
-    total = text_bytes(doc_rows(docs))
-    slots = 1 << min(22, max(16, (total // 128).bit_length()))
-    measured = cut(measures(docs, slots))
-    rare = rarity(measured, slots)
-    entries, sets = proposals(docs, rare)
+    measured = cut(measures(docs))
+    entries, sets = proposals(docs)
     found = cut(entries.groupBy("bucket").applyInArrow(propose, "x long, y long, k long, need long, sure long, token long, c long, n long, i long"))
     proposed = found.filter("x IS NOT NULL")
     first = cut(proposed.groupBy("x", "y").agg(F.sum("k").alias("k"), F.max("need").alias("need"), F.max("sure").alias("sure")).filter("sure = 1 OR k >= need").select("x", "y"))
@@ -315,7 +292,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     later = verify(more, sets)
     if later.head(1):
         roots = components(links.union(later))
-    rows = measured.filter("chunk IS NULL").select("doc_id", "n", "c", "d").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = measured.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     classes = rows.filter("n > 0").groupBy("c", "d").agg(F.min("doc_id").alias("rep"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("salts"))
     rooted = classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "d", "rep", "salts", F.coalesce("root", "c").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
