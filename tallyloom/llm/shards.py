@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,13 @@ def sharded(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return docs.select(shard.alias(KEY), doc.alias("doc_id"), text.alias("text")), docs.withColumn(KEY, shard), total
 
 
+def in_order(group: pa.Table) -> pa.Table:
+    """Rows by id and text: two reads of a shard may bring its rows in different orders, and places must mean the same bytes in both."""
+    return group.take(pc.sort_indices(group, [("doc_id", "ascending"), ("text", "ascending")]))
+
+
 class Shard:
-    """Texts of a shard as one byte array with `gap` zero bytes before each and after the last."""
+    """Texts of a shard as one byte array with `gap` zero bytes before each and after the last. Places that leave a pass need a group in_order."""
 
     def __init__(self, group: pa.Table, gap: int):
         ids = group["doc_id"].cast(pa.int64()).combine_chunks()
@@ -40,7 +46,6 @@ class Shard:
         blank = bytes(gap)
         self.raw = blank + blank.join(texts) + blank
         self.data = np.frombuffer(self.raw, np.uint8)
-        self.order = np.lexsort((self.length, self.doc_id))
 
     def owner(self) -> np.ndarray:
         """Row of each byte, -1 in gaps."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, table
-from .shards import KEY, SPANS_SQL, Shard, sharded, unpack
+from .shards import KEY, SPANS_SQL, Shard, in_order, sharded, unpack
 from .suffixes import equal_windows, words
 
 #: Length of a repeated string and of the grams whose least hash is a window's key; text of a bucket, in bytes, about.
@@ -108,7 +108,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The shard's suffix array over places with shared keys: later documents' windows are settled, the others go out."""
         if not group.num_rows:
             return out_table([])
-        s = Shard(group, WIDTH)
+        s = Shard(in_order(group), WIDTH)
         w = Windows(s, buckets)
         mine = group[KEY][0].as_py()
         shared, ends = np.zeros(len(w.distinct), bool), np.searchsorted(w.bucket, np.arange(buckets + 1))
@@ -242,6 +242,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     plain, found = repeated_windows(docs)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
+        group = in_order(group)
         s = Shard(group, WIDTH)
         edge = np.zeros(len(s.data) + 1, np.int32)
         start, _ = unpack(answers, "start", np.int64)

@@ -291,6 +291,19 @@ def test_suffix_dedup_equals_brute_force(frame, corpus, small_shards, docs, empt
     assert suffix_dedup.suffix_dedup(docs).count() == docs.count() and suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_with_rows_of_a_shard_in_another_order(frame, small_shards, monkeypatch):
+    """The two reads of a shard bring its rows in different orders, as remote fetches may."""
+    want = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame).collect()}
+    repeated = suffix_dedup.repeated_windows
+
+    def shuffled(docs):
+        plain, found = repeated(docs)
+        return plain.orderBy(F.xxhash64("doc_id", F.lit(5))), found
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", shuffled)
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame).collect()} == want
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for k in range(60):
