@@ -35,8 +35,8 @@ def first_match(text: Column, patterns: list[tuple[str, str]], default: str) ->
 
 
 def same_text(a: Column, b: Column) -> Column:
-    """[FLT22] Equal but for white space."""
-    flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    """[FLT22] Equal but for white space, Unicode's included."""
+    flat = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
     return flat(a) == flat(b)
 
 
@@ -61,8 +61,8 @@ def header_field(line: Column, name: str) -> Column:
 
 
 def normal_digest(text: Column) -> Column:
-    """[SCA05] sha256 of the word tokens in lower case, joined by NUL: equal for texts that differ in spacing and marks only."""
-    return F.sha2(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1), "\x00"), 256)
+    """[SCA05] sha256 of the word tokens in lower case, joined by NUL: equal for texts that differ in spacing and marks only. Letters of all scripts are words."""
+    return F.sha2(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1), "\x00"), 256)
 
 
 def relation(added: Column, removed: Column) -> Column:

@@ -37,7 +37,17 @@ WITH h AS (SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text),
 SELECT doc_id, min(doc_id) OVER (PARTITION BY d) AS lowest FROM h""")
 def near_duplicate_lowest_id(spark, sf):
     d = read(spark, sf, "documents").filter(F.col("lang") == "en").filter(~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
-    h = d.select("doc_id", T.normal_digest(F.col("text")).alias("d"))
+    return _lowest(d)
+
+
+@query("SCA05 SCA06 WIN04 R7")
+def near_duplicate_lowest_id_all(spark, sf):
+    """Every document of every language; a null text is empty."""
+    return _lowest(read(spark, sf, "documents"))
+
+
+def _lowest(d):
+    h = d.select("doc_id", T.normal_digest(F.coalesce("text", F.lit(""))).alias("d"))
     return h.join(h.groupBy("d").agg(F.min("doc_id").alias("lowest")), "d").select("doc_id", "lowest")
 
 
@@ -78,7 +88,17 @@ def header_parse(spark, sf):
 SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) = trim(regexp_replace(replace(text, chr(10), ' '), '\s+', ' ', 'g')) AS no_op, length(text) <> length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS reformatted FROM documents WHERE NOT contains(text, chr(160))""")
 def no_op_edits(spark, sf):
     d = read(spark, sf, "documents").filter(~F.contains("text", F.lit(" ")))
-    return d.select("doc_id", T.same_text(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("no_op"), (F.length("text") != F.length(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("reformatted"))
+    return _edits(d, r"\s+")
+
+
+@query("FLT22")
+def no_op_edits_all(spark, sf):
+    """Every document; no-break and other Unicode spaces are white space."""
+    return _edits(read(spark, sf, "documents"), r"(?U)\s+")
+
+
+def _edits(d, space):
+    return d.select("doc_id", T.same_text(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("no_op"), (F.length("text") != F.length(F.trim(F.regexp_replace("text", space, " ")))).alias("reformatted"))
 
 
 @query("FLT18 SRC22 SCA23", """
