@@ -31,8 +31,18 @@ WITH c AS (SELECT user_id AS k, event_type AS name, CASE WHEN event_id % 3 = 0 T
 s AS (SELECT * FROM (VALUES ('view', ['child']), ('click', ['child', 'body'])) t(name, params)), h AS (SELECT c.k, c.name || '.' || param AS d FROM c JOIN s USING (name) WHERE NOT list_contains(params, param))
 SELECT k, coalesce((SELECT string_agg(DISTINCT d, ',' ORDER BY d) FROM h WHERE h.k = a.k), '') AS drops FROM (SELECT DISTINCT k FROM c) a""")
 def shim_drops(spark, sf):
+    return _drops(spark, read(spark, sf, "events").filter("value > 90"))
+
+
+@query("R19 RUL23 RUL35")
+def shim_drops_all(spark, sf):
+    """Every event."""
+    return _drops(spark, read(spark, sf, "events"))
+
+
+def _drops(spark, e):
     m = F.pmod("event_id", F.lit(3))
-    calls = read(spark, sf, "events").filter("value > 90").select(F.col("user_id").alias("k"), F.col("event_type").alias("name"), F.when(m == 0, "child").when(m == 1, "body").otherwise("extra").alias("param"))
+    calls = e.select(F.col("user_id").alias("k"), F.col("event_type").alias("name"), F.when(m == 0, "child").when(m == 1, "body").otherwise("extra").alias("param"))
     made = spark.createDataFrame([("view", ["child"]), ("click", ["child", "body"])], "name string, params array<string>")
     return facts.shim_drops(calls, made, "k", "name").select("k", F.array_join("drops", ",").alias("drops"))
 
@@ -46,7 +56,7 @@ def overlapping_edits(spark, sf):
 
 @query("RUL26")
 def import_cover(spark, sf):
-    return facts.cover_imports(read(spark, sf, "events").filter("user_id < 40").select("user_id", "event_type", F.floor("value").alias("name")), "user_id", "event_type", "name")
+    return facts.cover_imports(read(spark, sf, "events").select("user_id", "event_type", F.floor("value").alias("name")), "user_id", "event_type", "name")
 
 
 @query("RUL16 SET06")
