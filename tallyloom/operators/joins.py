@@ -34,6 +34,11 @@ def interval_join(points: DataFrame, windows: DataFrame, key: str, at: str, star
     return points.withColumn("cell_", cell(at)).join(cells, [key, "cell_"]).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("cell_")
 
 
+def first_window(joined: DataFrame, point: str, end: str, tie: str) -> DataFrame:
+    """[JOI07] Of the windows a point lies in the first by end, then tie; so each point is in one at most."""
+    return joined.withColumn("n_", F.row_number().over(Window.partitionBy(point).orderBy(end, tie))).filter("n_ = 1").drop("n_")
+
+
 def nearest(joined: DataFrame, keys: list[str], at: str, target: str, tie: str) -> DataFrame:
     """[JOI08] Of the rows of each key the one whose time is nearest to the target; ties by time, then tie."""
     return joined.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs(F.col(at) - F.col(target)), at, tie))).filter("n_ = 1").drop("n_")

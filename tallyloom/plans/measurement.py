@@ -92,6 +92,37 @@ def nearest_sample(spark, sf):
     return joins.nearest(j, ["run"], "us", "target", "event_id").select("run", "event_id")
 
 
+def _assigned(spark, sf):
+    """The window of every run, and each sample in the first by end of the windows it lies in."""
+    e = events(spark, sf)
+    w = e.select("user_id", F.col("event_id").alias("run"), F.col("us").alias("a"), (F.col("us") + 1_800_000_000).alias("b"))
+    return w, joins.first_window(joins.interval_join(e, w, "user_id", "us", "a", "b", 1_800_000_000), "event_id", "b", "run")
+
+
+@query("JOI07 AGG09 INC15")
+def window_summary_all(spark, sf):
+    """Every run; one whose window got no sample has n_samples 0."""
+    w, j = _assigned(spark, sf)
+    s = j.groupBy("run").agg(F.count("*").alias("n"), R(F.min("value")).alias("low"), R(F.avg("value"), 3).alias("mean"), R(F.max("value")).alias("high"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+    return w.select("run").join(s, "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n_samples"), "low", "mean", "high", "kinds")
+
+
+@query("JOI07 SNK09 SNK10 INC15")
+def interval_conservation_all(spark, sf):
+    """Windows of every run; assigned counts rows of the assignment, so a sample in two would show."""
+    _, j = _assigned(spark, sf)
+    samples = events(spark, sf).agg(F.count("*").alias("samples"))
+    return samples.crossJoin(j.agg(F.count("*").alias("assigned"))).withColumn("unassigned", F.col("samples") - F.col("assigned"))
+
+
+@query("JOI08")
+def nearest_sample_all(spark, sf):
+    """Every run; event_id is null where its window got no sample."""
+    w, j = _assigned(spark, sf)
+    n = joins.nearest(j.withColumn("target", F.col("a") + 600_000_000), ["run"], "us", "target", "event_id")
+    return w.select("run").join(n.select("run", "event_id"), "run", "left")
+
+
 @query("WIN07 WIN08 WIN09", """
 WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + 60000000 AS e FROM events)
 SELECT event_id, least(coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id), s), s) AS setup_start, s AS measure_start FROM r""")
