@@ -53,7 +53,7 @@ def score_forest(df: DataFrame, trees: list[dict], features: str, keep: list[str
 
 
 def permutation_importance(df: DataFrame, trees: list[dict], features: str, label: str, repeats: int, seed: int) -> DataFrame:
-    """[MLE14, MLE26, SRT08] feature, drop: mean loss of accuracy when one feature's values are exchanged inside each batch of rows."""
+    """[MLE14, SRT08] feature, drop: mean loss of accuracy when one feature's values are exchanged inside each batch of rows."""
     packed = [{k: np.array(v) for k, v in t.items()} for t in trees]
 
     def predict(x: np.ndarray) -> np.ndarray:

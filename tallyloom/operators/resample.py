@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def group_bootstrap(df: DataFrame, group: str, hits: Column, total: Column, draws: int, seed: int) -> DataFrame:
-    """[MLE07, MLE08] draw, share: whole groups drawn with replacement.
+    """[MLE07] draw, share: whole groups drawn with replacement.
 
     Each group's sums are taken first; each (draw, group) has a Poisson(1) weight from a hash, the usual approximation of
     a multinomial over many groups. Rows are draws times groups, bounded by the number of groups, and are summed by draw.

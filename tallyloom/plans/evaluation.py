@@ -83,7 +83,7 @@ def bh_qvalues(spark, sf):
     return stats.bh_qvalues(p, ["event_type"], "p").select("event_id", R(F.col("q")).alias("q"))
 
 
-@query("MLE12 MLE10 MLE11", f"""
+@query("MLE12", f"""
 WITH {_SCORED}, g AS (SELECT source, sum(CAST(y = z AS INT)) AS a, count(*) AS t FROM s GROUP BY 1), n AS (SELECT sum(a) AS sa, sum(t) AS st FROM g)
 SELECT source, t AS left_out, round((sa - a)::DOUBLE / (st - t), 6) AS share_without FROM g, n""")
 def jackknife(spark, sf):
@@ -110,7 +110,7 @@ def baselines(spark, sf):
     return _scored(spark, sf).groupBy("source").agg(F.count("*").alias("n"), R(F.avg("y")).alias("prevalence"), R(F.greatest(F.avg("y"), 1 - F.avg("y"))).alias("majority"))
 
 
-@query("MLE03 MLE02 MLE28", """
+@query("MLE03 MLE28", """
 WITH f AS (SELECT DISTINCT source, CAST(substr(source, 4) AS BIGINT) % 5 AS fold FROM documents), c AS (SELECT source, count(DISTINCT fold) AS k FROM f GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (k <> 1) AS straddling FROM c""")
 def folds_disjoint(spark, sf):
     f = read(spark, sf, "documents").select("source", (F.substring("source", 4, 9).cast("long") % 5).alias("fold"))
@@ -127,19 +127,19 @@ def spearman(spark, sf):
 
 @query("MLE07")
 def group_bootstrap(spark, sf):
-    d = resample.group_bootstrap(_scored(spark, sf), "source", F.sum("z"), F.count("*"), 500, 20260803)
+    d = resample.group_bootstrap(_scored(spark, sf), "source", F.sum("z"), F.count("*"), 2000, 20260803)
     return resample.percentile_interval(d, "share")
 
 
-@query("MLE08")
+@query("ext cluster bootstrap")
 def cluster_bootstrap(spark, sf):
-    return resample.group_bootstrap(_scored(spark, sf), "lang", F.sum("y"), F.count("*"), 200, 7)
+    return resample.group_bootstrap(_scored(spark, sf), "lang", F.sum("y"), F.count("*"), 2000, 7)
 
 
 @query("MLE09")
 def pair_bootstrap(spark, sf):
     e = read(spark, sf, "events").select("event_type", F.pmod("user_id", F.lit(2)).alias("arm"), "value").dropna()
-    return resample.pair_bootstrap(e, "event_type", "arm", "value", 100, 20260803)
+    return resample.pair_bootstrap(e, "event_type", "arm", "value", 2000, 20260803)
 
 
 @query("SCA12 MLE24")
@@ -148,7 +148,7 @@ def exact_binomial(spark, sf):
     return resample.exact_intervals(s, "lang", "hits", "total")
 
 
-@query("MLE01 MLE02 MLE14 MLE18")
+@query("MLE14 MLE18")
 def group_cv_auc(spark, sf):
     """Group-disjoint folds: logistic regression and a forest on embeddings, label 0 or 1 against parity of the id block."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier

@@ -146,7 +146,7 @@ def forest_from_arrays(spark, sf):
     return models.score_forest(e, models.tree_arrays(model), "x", ["vec_id"])
 
 
-@query("MLE14 MLE26 MLE27 SRT08")
+@query("MLE14 MLE27 SRT08")
 def permutation_importance(spark, sf):
     e, model = _forest(spark, sf)
     return models.permutation_importance(e, models.tree_arrays(model), "x", "y", 2, 5).orderBy(F.desc("drop"), "feature")
