@@ -198,6 +198,15 @@ def lowest_free_ids(spark, sf):
     return joins.work_list(spark.range(1, 200), taken, ["id"]).orderBy("id").limit(10).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("free_id"))
 
 
+@query("SCA03")
+def lowest_free_ids_all(spark, sf):
+    """Of all customers' ids: among one more than are taken, plus nine, ten are free at least."""
+    taken = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    free = joins.work_list(spark.range(1, taken.distinct().count() + 11), taken, ["id"]).orderBy("id").limit(10)
+    s = F.col("id").cast("string")
+    return free.select(F.when(F.length(s) < 6, F.lpad(s, 6, "0")).otherwise(s).alias("free_id"))
+
+
 @query("RUL20 JOI29", """
 WITH RECURSIVE r(node, level) AS (SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END FROM nation UNION SELECT n.n_nationkey, r.level FROM r JOIN nation n ON n.n_nationkey = r.node + 5)
 SELECT node::BIGINT AS node, max(level)::BIGINT AS level FROM r GROUP BY 1""")
