@@ -80,12 +80,17 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", "n_turns", "formatted", "loss_spans", checked.alias("turns"))
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, cut from formatted and unescaped; a body rendered as it stands holds no code, so it comes back too."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+
+
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     out = format_chats(rows.unionByName(more))
-    own = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    own = loss_text(F.col("formatted"), F.col("loss_spans"))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(own).cast("long").alias("loss_chars"), F.sha2(own, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

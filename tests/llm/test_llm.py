@@ -230,6 +230,22 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.filter("false")).count() == 0
 
 
+def test_loss_columns_come_from_the_mask(spark, monkeypatch):
+    """A mask that is off by one must show in the query's columns; the right one gives the assistants' texts."""
+    want = defaultdict(str)
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.turn, r.role, r.text)):
+        want[r.conv_id] += r.text if r.role == "assistant" else ""
+    want[-7] = "\\### Assistant: </turn> ok"
+    right = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat_format.op7_chat_format(spark, SMALL).collect()}
+    assert right == {c: (len(t), hashlib.sha256(t.encode()).hexdigest()) for c, t in want.items()}
+    whole = chat_format.format_chats
+    off = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length")))
+    monkeypatch.setattr(chat_format, "format_chats", lambda df: whole(df).withColumn("loss_spans", off))
+    wrong = {r.conv_id: r.loss_sha256 for r in chat_format.op7_chat_format(spark, SMALL).collect()}
+    assert all(wrong[c] != right[c][1] for c, t in want.items() if t)
+
+
 def shingle_set(text):
     w = text.encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
