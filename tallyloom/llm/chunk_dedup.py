@@ -67,7 +67,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     def offer(group: pa.Table) -> pa.Table:
         c = Chunks(Shard(group, WINDOW), buckets)
-        return by_bucket(group[KEY][0].as_py(), c.bucket, buckets, digest=c.digest, first=c.first)
+        return by_bucket(group[KEY][0].as_py(), c.bucket, digest=c.digest, first=c.first)
 
     def settle(group: pa.Table) -> pa.Table:
         digest, row = unpack(group, "digest", np.dtype((np.uint64, 2)))

@@ -77,14 +77,19 @@ class Shard:
         return out | ({"kept": pa.array(text, pa.binary())} if with_text else {})
 
 
-def by_bucket(shard: int, bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
+def ends_of(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Start and end of each bucket's run in an array of bucket numbers that do not fall."""
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+    return {int(bucket[a]): (a, z) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+
+
+def by_bucket(shard: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.Table:
     """One row for each bucket that gets something: shard, bucket, and each column's values as bytes. Rows of a bucket keep their order."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(ends))
+    ends = ends_of(bucket[order])
     sets = {n: v[order] for n, v in columns.items()}
-    out = {KEY: pa.array(np.full(len(full), shard), pa.int32()), "bucket": pa.array(full, pa.int32())}
-    return pa.table(out | {n: pa.array([v[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for n, v in sets.items()})
+    out = {KEY: pa.array(np.full(len(ends), shard), pa.int32()), "bucket": pa.array(list(ends), pa.int32())}
+    return pa.table(out | {n: pa.array([v[a:z].tobytes() for a, z in ends.values()], pa.binary()) for n, v in sets.items()})
 
 
 def unpack(group: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
