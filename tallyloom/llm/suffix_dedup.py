@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, table
-from .shards import KEY, SPANS_SQL, Shard, in_order, sharded, unpack
+from .shards import KEY, SPANS_SQL, Shard, ends_of, in_order, sharded, unpack
 from .suffixes import equal_windows, words
 
-#: Length of a repeated string and of the grams whose least hash is a window's key; text of a bucket, in bytes, about.
-WIDTH, GRAM, BUCKET = 50, 16, 8 << 20
+#: Length of a repeated string and of the grams whose least hash is a window's key; text of a bucket, in bytes, about; runs of
+#: a key beyond which its windows are dealt out by their own digests; bytes from which a removed run counts as a long one.
+WIDTH, GRAM, BUCKET, HOT, LONG = 50, 16, 8 << 20, 8192, 256
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
@@ -52,8 +54,9 @@ class Windows:
         least, most = np.full(len(self.distinct), np.iinfo(np.int64).max), np.full(len(self.distinct), np.iinfo(np.int64).min)
         np.minimum.at(least, self.of, doc)
         np.maximum.at(most, self.of, doc)
-        self.several = least < most
-        self.bucket = bucket_of(self.distinct, buckets)
+        #: runs of each key, 255 at most; 0 where one document has them all
+        self.held = np.where(least < most, np.minimum(np.bincount(self.of, minlength=len(self.distinct)), 255), 0).astype(np.uint8)
+        self.ends = ends_of(bucket_of(self.distinct, buckets))
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -75,34 +78,70 @@ def spans_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
+def by_shard(group: pa.Table, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
+    """Runs to be removed, packed for the shard that sent their row of the group."""
+    order = np.argsort(row, kind="stable")
+    start, count, ends = start[order].astype(np.int64), count[order].astype(np.int64), ends_of(row[order])
+    cols = [group[KEY].take(pa.array(list(ends), pa.int64())), *[pa.array([v[a:z].tobytes() for a, z in ends.values()], pa.binary()) for v in (start, count)]]
+    return pa.table(cols, [KEY, "start", "count"])
+
+
+def by_digest(s: Shard, mine: int, at: np.ndarray, buckets: int) -> list[tuple]:
+    """Windows of hot keys: rows by bucket of their own digest, beyond the buckets of keys, so that one key never meets in one task."""
+    view, digest = memoryview(s.raw), xxhash.xxh3_128_digest
+    found = np.frombuffer(b"".join([digest(view[p : p + WIDTH]) for p in at.tolist()]), np.uint64).reshape(-1, 2)
+    bucket = buckets + bucket_of(found[:, 0], buckets)
+    order = np.argsort(bucket, kind="stable")
+    at, found = at[order], found[order]
+    doc = s.doc_id[np.searchsorted(s.start, at, side="right") - 1]
+    return [(mine, b, at[a:z].astype(np.int64).tobytes(), b"", doc[a:z].tobytes(), found[a:z].tobytes(), b"") for b, (a, z) in ends_of(bucket[order]).items()]
+
+
+def least_of_digests(group: pa.Table) -> pa.Table:
+    """Windows whose digest a smaller document holds, as runs."""
+    start, row = unpack(group, "start", np.int64)
+    doc, _ = unpack(group, "doc", np.int64)
+    digest, _ = unpack(group, "key", np.dtype((np.uint64, 2)))
+    order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
+    d = digest[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]).any(1)
+    least = np.empty(len(d), np.int64)
+    least[order] = doc[order][new][np.cumsum(new) - 1]
+    gone = least < doc
+    row, start = row[gone], start[gone]
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))) if len(row) else np.empty(0, np.int64)
+    return by_shard(group, row[head], start[head], np.diff(np.append(head, len(row))))
+
+
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sharded documents and, by shard, packed runs of windows (start in the shard's bytes, count) that an earlier document has."""
     plain, _, total = sharded(docs)
     buckets = parts(total, BUCKET)
 
     def offer(group: pa.Table) -> pa.Table:
-        """Distinct keys, 32 bits beside the bucket, and whether several documents of the shard hold each."""
+        """Distinct keys, 32 bits beside the bucket, and how many runs each has."""
         w = Windows(Shard(group, WIDTH), buckets)
-        ends = np.searchsorted(w.bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(ends))
         key = w.distinct.astype(np.uint32)
-        cols = [[group[KEY][0].as_py()] * len(full), full, [key[ends[b] : ends[b + 1]].tobytes() for b in full], [w.several[ends[b] : ends[b + 1]].tobytes() for b in full]]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [KEY, "bucket", "key", "several"])
+        out = {KEY: pa.array(np.full(len(w.ends), group[KEY][0].as_py()), pa.int32()), "bucket": pa.array(list(w.ends), pa.int32())}
+        return pa.table(out | {n: pa.array([v[a:z].tobytes() for a, z in w.ends.values()], pa.binary()) for n, v in (("key", key), ("held", w.held))})
 
     def share(group: pa.Table) -> pa.Table:
-        """A bit for each offered key: several documents hold it. Chance equals of 32 bits cost work, not results."""
+        """For each offered key 1 where several documents hold it, 2 where it is hot besides. Chance equals of 32 bits cost work, not results."""
         key, row = unpack(group, "key", np.uint32)
-        several, _ = unpack(group, "several", bool)
+        held, _ = unpack(group, "held", np.uint8)
         order = np.argsort(key, kind="stable")
-        k, s = key[order], several[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        first = np.flatnonzero(new)
-        shared = (np.diff(np.append(first, len(k))) > 1) | np.logical_or.reduceat(s, first)
-        bits = np.empty(len(k), bool)
-        bits[order] = np.repeat(shared, np.diff(np.append(first, len(k))))
+        k, n = key[order], held[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(first, len(k)))
+        runs_ = np.add.reduceat(np.maximum(n, 1), first)
+        says = np.where((size > 1) | (np.maximum.reduceat(n, first) > 0), np.where(runs_ > HOT, 2, 1), 0).astype(np.uint8)
+        told = np.empty(len(k), np.uint8)
+        told[order] = np.repeat(says, size)
         ends = np.searchsorted(row, np.arange(group.num_rows + 1))
-        return pa.table({KEY: group[KEY], "bucket": group["bucket"], "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        return pa.table({KEY: group[KEY], "bucket": group["bucket"], "told": pa.array([told[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
     def sort_shard(group: pa.Table, answers: pa.Table) -> pa.Table:
         """The shard's suffix array over places with shared keys: later documents' windows are settled, the others go out."""
@@ -111,10 +150,10 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         s = Shard(in_order(group), WIDTH)
         w = Windows(s, buckets)
         mine = group[KEY][0].as_py()
-        shared, ends = np.zeros(len(w.distinct), bool), np.searchsorted(w.bucket, np.arange(buckets + 1))
-        for b, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            shared[ends[b] : ends[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=ends[b + 1] - ends[b]).astype(bool)
-        pick = shared[w.of]
+        told = np.zeros(len(w.distinct), np.uint8)
+        for b, says in zip(answers["bucket"].to_pylist(), answers["told"].to_pylist(), strict=True):
+            told[slice(*w.ends[b])] = np.frombuffer(says, np.uint8)
+        pick = told[w.of] > 0
         edge = np.zeros(len(s.data) + 1, np.int32)
         np.add.at(edge, w.start[pick], 1)
         np.add.at(edge, (w.start + w.count)[pick], -1)
@@ -135,23 +174,26 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         first = doc == least[group_of]
         start, count = spans_of(at[~first])
         rows = [(mine, -1 - mine, start.astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), b"", b"", b"")] if len(start) else []
-        start, count = runs(at[first], w.key_at)
+        hot = told[w.of[np.searchsorted(w.start, at, side="right") - 1]] == 2
+        rows += by_digest(s, mine, at[first & hot], buckets)
+        start, count = runs(at[first & ~hot], w.key_at)
         key = w.key_at[start]
         bucket = bucket_of(key, buckets)
         order = np.lexsort((key, bucket))
         start, count, key, bucket = start[order], count[order], key[order], bucket[order]
         doc = s.doc_id[np.searchsorted(s.start, start, side="right") - 1]
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(ends)):
-            own = slice(ends[b], ends[b + 1])
+        for b, ends in ends_of(bucket).items():
+            own = slice(*ends)
             text = b"".join([s.raw[p : p + c + WIDTH - 1] for p, c in zip(start[own].tolist(), count[own].tolist(), strict=True)])
-            rows.append((mine, int(b), start[own].astype(np.int64).tobytes(), count[own].astype(np.int64).tobytes(), doc[own].tobytes(), key[own].tobytes(), text))
+            rows.append((mine, b, start[own].astype(np.int64).tobytes(), count[own].astype(np.int64).tobytes(), doc[own].tobytes(), key[own].tobytes(), text))
         return out_table(rows)
 
     def merge(group: pa.Table) -> pa.Table:
         """Runs of all shards that hold a bucket's keys. Settled ones pass through."""
         if group["bucket"][0].as_py() < 0:
             return group.select([KEY, "start", "count"])
+        if group["bucket"][0].as_py() >= buckets:
+            return least_of_digests(group)
         start, row = unpack(group, "start", np.int64)
         count, _ = unpack(group, "count", np.int64)
         doc, _ = unpack(group, "doc", np.int64)
@@ -205,13 +247,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             out_row.append(row[r][run[mark[head]]])
             out_start.append(start[r][run[mark[head]]] + step[mark[head]])
             out_count.append(np.diff(np.append(head, len(mark))))
-        row, start, count = (np.concatenate(x) for x in (out_row, out_start, out_count))
-        order = np.argsort(row, kind="stable")
-        ends = np.searchsorted(row[order], np.arange(group.num_rows + 1))
-        full = np.flatnonzero(np.diff(ends))
-        start, count, shards = start[order], count[order], group[KEY].to_numpy()
-        cols = [[int(shards[k]) for k in full], [start[ends[k] : ends[k + 1]].tobytes() for k in full], [count[ends[k] : ends[k + 1]].tobytes() for k in full]]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], [KEY, "start", "count"])
+        return by_shard(group, *(np.concatenate(x) for x in (out_row, out_start, out_count)))
 
     kinds = [(KEY, pa.int32()), ("bucket", pa.int32()), ("start", pa.binary()), ("count", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("text", pa.binary())]
 
@@ -219,8 +255,8 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         cols = list(zip(*rows, strict=True)) or [[] for _ in kinds]
         return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
 
-    offered = plain.groupBy(KEY).applyInArrow(offer, f"{KEY} int, bucket int, key binary, several binary")
-    shared = offered.groupBy("bucket").applyInArrow(share, f"{KEY} int, bucket int, bits binary")
+    offered = plain.groupBy(KEY).applyInArrow(offer, f"{KEY} int, bucket int, key binary, held binary")
+    shared = offered.groupBy("bucket").applyInArrow(share, f"{KEY} int, bucket int, told binary")
     sent = plain.groupBy(KEY).cogroup(shared.groupBy(KEY)).applyInArrow(sort_shard, f"{KEY} int, bucket int, start binary, count binary, doc binary, key binary, text binary")
     return plain, sent.groupBy("bucket").applyInArrow(merge, f"{KEY} int, start binary, count binary")
 
@@ -237,7 +273,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     2. Each shard builds a suffix array (Larsson-Sadakane, Kasai) over the bytes below shared keys. A window that a
     smaller document of the shard has is settled there, so copies inside a shard never travel.
     3. The other runs of windows go to their key's bucket. There shards merge: keys by binary search, equal texts by
-    their bytes, and where a key has several texts, by a suffix array over those.
+    their bytes, and where a key has several texts, by a suffix array over those. A key of more than HOT runs, as of a
+    line that a third of all documents hold, does not meet in one place: its windows go out by their own 128-bit digests.
     """
     plain, found = repeated_windows(docs)
 
@@ -257,4 +294,6 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), "kept_sha256")
+    # chance repeats of 50 bytes go as well; n_long counts the bytes of removed runs that are as long as a passage
+    long = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + F.when(s["length"] >= LONG, s["length"]).otherwise(0))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), "kept_sha256", long.alias("n_long"))
