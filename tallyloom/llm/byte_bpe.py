@@ -14,11 +14,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_rows, spread, table
+from .common import doc_rows, slices, spread, table
 
-#: Characters of text taken at a time, words of one recursive query, ids of one decoding query, letters beyond which a word
-#: is merged by a plain loop (a recursive query keeps every step), pieces and words that a worker remembers.
-SLICE, WORDS_AT_ONCE, IDS_AT_ONCE, LONG, PIECES, WORDS = 4_000_000, 20_000, 400_000, 400, 500_000, 600_000
+#: Characters of text taken at a time, rows of all steps of one recursive query, ids of one decoding query, letters beyond which
+#: a word falls apart before it is finished, bytes of a token's edge, pieces and words that a worker remembers.
+SLICE, ROWS, IDS_AT_ONCE, LONG, EDGE, PIECES, WORDS = 4_000_000, 1_500_000, 400_000, 64, 3, 500_000, 600_000
+#: Letters of long words worked on together, DuckDB's bytes for each letter of one that is longer, and for all else.
+LETTERS, EACH, MEMORY = 200_000, 1000, 256 << 20
 
 MERGES = """
 CREATE TABLE merges AS
@@ -49,6 +51,59 @@ FROM state s SEMI JOIN (SELECT word, max(step) AS step FROM state GROUP BY word)
 GROUP BY s.word
 """
 
+#: The same rule for long words, whose runs of tokens (seg) are contracted side by side for at most {steps} steps. A step takes every
+#: occurrence of its least pair, from the left; only the leftmost where what it makes could join a neighbour at a smaller rank.
+CONTRACT = """
+CREATE OR REPLACE TABLE after AS
+WITH RECURSIVE run(seg, pos, tok, step) AS (
+  SELECT seg, pos, tok, 0 FROM state
+  UNION ALL
+  SELECT seg, pos, CASE WHEN hit THEN best ELSE tok END, step + 1
+  FROM (
+    SELECT *, lag(hit) OVER (PARTITION BY seg ORDER BY pos) AS gone
+    FROM (
+      SELECT *, coalesce(made = best AND CASE WHEN tame THEN (nth - head) % 2 = 0 ELSE nth = foremost END, false) AS hit
+      FROM (
+        SELECT *, max(CASE WHEN made = best AND prev IS DISTINCT FROM best THEN nth END) OVER (PARTITION BY seg ORDER BY pos ROWS UNBOUNDED PRECEDING) AS head,
+               min(CASE WHEN made = best THEN nth END) OVER (PARTITION BY seg) AS foremost
+        FROM (
+          SELECT *, min(made) OVER (PARTITION BY seg) AS best, row_number() OVER (PARTITION BY seg ORDER BY pos) AS nth, lag(made) OVER (PARTITION BY seg ORDER BY pos) AS prev
+          FROM (
+            SELECT n.*, m.id AS made, t.id IS NULL AS tame
+            FROM (SELECT *, lead(tok) OVER (PARTITION BY seg ORDER BY pos) AS next FROM run WHERE step < {steps}) n
+            LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next LEFT JOIN wild t ON t.id = m.id
+          )
+        )
+      )
+    )
+  )
+  WHERE best IS NOT NULL AND gone IS DISTINCT FROM true
+)
+SELECT r.seg, r.pos, r.tok, r.step FROM run r SEMI JOIN (SELECT seg, max(step) AS step FROM run GROUP BY seg) l ON l.seg = r.seg AND l.step = r.step
+"""
+
+#: A token that makes, with some neighbour, one of a smaller rank than its own.
+WILD = "CREATE TABLE wild AS SELECT l AS id FROM merges WHERE id < l UNION SELECT r FROM merges WHERE id < r"
+
+#: Strings inside tokens. Two tokens whose edges are not together inside one can never become one: they part.
+INSIDE = f"""
+CREATE TABLE inside AS
+SELECT DISTINCT substring(s, i, n) AS s FROM (SELECT s, unnest(range(1, length(s))) AS i FROM vocab), (SELECT unnest(range(2, {2 * EDGE + 1})) AS n)
+WHERE i + n - 1 <= length(s)
+"""
+
+PART = f"""
+CREATE OR REPLACE TABLE state AS
+SELECT pos, tok, (sum(apart) OVER (ORDER BY pos))::INTEGER AS seg
+FROM (
+  SELECT a.pos, a.tok, CASE WHEN a.was IS DISTINCT FROM a.seg OR i.s IS NULL THEN 1 ELSE 0 END AS apart
+  FROM (
+    SELECT pos, tok, seg, lag(seg) OVER (ORDER BY pos) AS was, lag(right(v.s, {EDGE})) OVER (ORDER BY pos) || left(v.s, {EDGE}) AS s
+    FROM after JOIN vocab v ON v.id = tok WHERE step = $steps
+  ) a LEFT JOIN inside i ON i.s = a.s
+)
+"""
+
 DECODE = "SELECT doc, string_agg(s, '' ORDER BY i) AS s FROM coded JOIN vocab USING (id) GROUP BY doc"
 
 
@@ -65,7 +120,8 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY >> 20}MB", "temp_directory": ""})
+        self.parts = False
         self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
         vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "s": [t.decode("latin-1") for t in self.ranks]})
         self.db.register("given", vocab)
@@ -93,30 +149,64 @@ class ByteBpe:
         return self.pattern.findall(part[1:] if part[:1] == "\0" else " " + part)
 
     def merged(self, words: list[str]) -> dict[str, str]:
-        """Ids of distinct pre-tokens, joined by commas."""
-        out = {w: self.merged_alone(w) for w in words if len(w) > LONG}
-        words = [w for w in words if len(w) <= LONG]
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            part = words[i : i + WORDS_AT_ONCE]
-            self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int32()), "s": [w.encode().decode("latin-1") for w in part]}))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            out |= zip((part[k] for k in got["word"].to_pylist()), got["ids"].to_pylist(), strict=True)
-        return out
-
-    def merged_alone(self, word: str) -> str:
-        """The same rule for one very long pre-token."""
-        raw, rank, none = word.encode(), self.ranks.get, 1 << 30
-        at = [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [rank(a + b, none) for a, b in zip(at, at[1:], strict=False)]
-        while pairs and (least := min(pairs)) < none:
-            i = pairs.index(least)
-            at[i : i + 2] = [at[i] + at[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = rank(at[i] + at[i + 1], none)
-            if i:
-                pairs[i - 1] = rank(at[i - 1] + at[i], none)
-        return ",".join(str(self.ranks[t]) for t in at)
+        """Ids of distinct pre-tokens, joined by commas. A query's words have at most ROWS rows in all its steps, or it has one word."""
+        out, part, rows = {}, [], 0
+        short = [(w, w.encode()) for w in words]
+        self.long(out, [(w, b) for w, b in short if len(b) > LONG])
+        for w, b in short:
+            if len(b) > LONG:
+                continue
+            if part and rows + len(b) * len(b) > ROWS:
+                out |= self.recursive(part)
+                part, rows = [], 0
+            part.append((w, b))
+            rows += len(b) * len(b)
+        return out | self.recursive(part)
+
+    def recursive(self, part: list[tuple[str, bytes]]) -> dict[str, str]:
+        if not part:
+            return {}
+        self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int32()), "s": [b.decode("latin-1") for _, b in part]}))
+        got = self.db.sql(ENCODE).to_arrow_table()
+        return dict(zip((part[k][0] for k in got["word"].to_pylist()), got["ids"].to_pylist(), strict=True))
+
+    def long(self, out: dict[str, str], words: list[tuple[str, bytes]]) -> None:
+        """Words over LONG letters, LETTERS at a time, or one."""
+        at = 0
+        while at < len(words):
+            n, size = at, 0
+            while n < len(words) and (n == at or size + len(words[n][1]) <= LETTERS):
+                size += len(words[n][1])
+                n += 1
+            out |= self.contracted(words[at:n], size)
+            at = n
+
+    def contracted(self, words: list[tuple[str, bytes]], size: int) -> dict[str, str]:
+        """Contract in rounds of a bounded number of steps; after each, what is finished leaves and the rest parts further."""
+        if not self.parts:
+            self.db.execute(WILD)
+            self.db.execute(INSIDE)
+            self.parts = True
+        self.db.execute(f"SET memory_limit = '{max(MEMORY, size * EACH) >> 20}MB'")
+        ends = np.cumsum([len(b) for _, b in words])
+        letters = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
+        rows = letters[np.frombuffer(b"".join(b for _, b in words), np.uint8)]
+        pos = np.arange(size)
+        self.db.register("given", pa.table({"pos": pos, "tok": rows, "seg": np.searchsorted(ends, pos, side="right")}))
+        self.db.execute("CREATE OR REPLACE TABLE after AS SELECT seg, pos, tok, 0 AS step FROM given")
+        steps, left, done = 0, size, []
+        while left:
+            self.db.execute(PART, {"steps": steps})
+            steps = max(1, ROWS // left)
+            self.db.execute(CONTRACT.format(steps=steps))
+            done.append(self.db.sql(f"SELECT pos, tok FROM after WHERE step < {steps}").to_arrow_table())
+            left = self.db.execute("SELECT count(*) FROM after WHERE step = $steps", {"steps": steps}).fetchone()[0]
+        self.db.execute("DROP TABLE state; DROP TABLE after")
+        self.db.execute(f"SET memory_limit = '{MEMORY >> 20}MB'")
+        every = pa.concat_tables(done)
+        order = np.argsort(pos := every["pos"].to_numpy())
+        tok, where = every["tok"].to_numpy()[order], np.searchsorted(pos[order], np.concatenate(([0], ends)))
+        return {w: ",".join(map(str, tok[a:z].tolist())) for (w, _), a, z in zip(words, where[:-1].tolist(), where[1:].tolist(), strict=True)}
 
     def encode(self, texts: list[str]) -> list[str]:
         """Each text's ids, joined by commas; an empty text has the empty string."""
@@ -148,20 +238,6 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def slices(column: pa.Array):
-    """Start and texts of runs of at most SLICE characters, one text at least."""
-    texts, start, size = [], 0, 0
-    for i, t in enumerate(column):
-        t = t.as_py()
-        if texts and size + len(t) > SLICE:
-            yield start, texts
-            texts, start, size = [], i, 0
-        texts.append(t)
-        size += len(t)
-    if texts:
-        yield start, texts
-
-
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, outputs: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with outputs, ids (array of int) and decoded (binary).
 
@@ -172,7 +248,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, outputs: bool = Tru
     def run(batches):
         bpe = load(ranks, pattern)
         for b in batches:
-            for start, texts in slices(b.column("text")):
+            for start, texts in slices(b.column("text"), SLICE):
                 joined = bpe.encode(texts)
                 n = np.array([s.count(",") + 1 if s else 0 for s in joined], np.int64)
                 flat = np.fromstring(",".join(filter(None, joined)), np.int32, sep=",")

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,20 @@ def doc_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def slices(column: pa.Array, most: int):
+    """Start and texts of runs of at most `most` characters, one text at least."""
+    texts, start, size = [], 0, 0
+    for i, t in enumerate(column):
+        t = t.as_py()
+        if texts and size + len(t) > most:
+            yield start, texts
+            texts, start, size = [], i, 0
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield start, texts
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts, one aggregate over the text column."""
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,76 +14,106 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import cut, doc_rows, parts, spread, table
+from .common import cut, doc_rows, parts, slices, spread, table
 
-#: Pieces of one length ranked in one task at most, about.
-RANKED = 50_000
+#: Pieces of one length ranked in one task at most, about; characters of text encoded at a time.
+RANKED, SLICE = 50_000, 4_000_000
+#: A decision of the reduction looks at no more items of a length than this.
+MARGIN = 4
 END_ID = b"\0\0\0\0"
 
 
-def reduce_by_dominance(left: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fix sets that dominate every other set with the same item; takes them from `left` (length: count).
-
-    An item with a partner that fills the sequence exactly dominates, since whatever else joins the item fits into the
-    partner's place. For the largest item j, with k smallest ones that fit beside it: k = 0 leaves it alone; k = 1 takes
-    the largest that fits; k = 2 takes the largest one if no pair sums to more. The rest waits for best fit.
+class Lengths:
+    """Counts of lengths and the lengths in ascending order."""
+
+    def __init__(self, left: dict[int, int]):
+        self.left, self.order = left, sorted(left)
+
+    def free(self, x: int, j: int) -> int:
+        """Items of length x beside one of length j."""
+        return self.left[x] - (x == j)
+
+    def take(self, items: tuple[int, ...]) -> int:
+        """Take a set as often as no count that a decision looks at (up to MARGIN) changes, once at least."""
+        need = Counter(items)
+        times = max(1, min((self.left[x] - MARGIN) // m for x, m in need.items()))
+        for x, m in need.items():
+            self.left[x] -= m * times
+            if not self.left[x]:
+                del self.left[x]
+                del self.order[bisect_left(self.order, x)]
+        return times
+
+    def smallest(self, j: int, over: int, most: int) -> list[int]:
+        """The `most` smallest items longer than `over`, beside one of length j."""
+        out: list[int] = []
+        for x in self.order[bisect_right(self.order, over) :]:
+            out += [x] * min(most - len(out), self.free(x, j))
+            if len(out) == most:
+                break
+        return out
+
+    def largest(self, j: int, gap: int) -> int:
+        """The longest item of at most `gap`, beside one of length j; 0 if there is none."""
+        i = bisect_right(self.order, gap) - 1
+        while i >= 0 and not self.free(self.order[i], j):
+            i -= 1
+        return self.order[i] if i >= 0 else 0
+
+    def best_pair(self, j: int, gap: int) -> tuple[int, int]:
+        """The two items, the longer first, that fill `gap` best."""
+        best, lo, hi = (0, 0), 0, bisect_right(self.order, gap) - 1
+        while lo <= hi:
+            a, b = self.order[lo], self.order[hi]
+            if a + b > gap or not self.free(b, j):
+                hi -= 1
+            elif not self.free(a, j) or (a == b and self.free(a, j) < 2):
+                lo += 1
+            else:
+                best = max(best, (b, a), key=sum)
+                lo += 1
+        return best
+
+
+def dominating(lengths: Lengths, j: int, room: int) -> tuple[int, ...] | None:
+    """The set with j that dominates every other set with j, if Martello and Toth's rules find one.
+
+    k of the smallest items fit beside j. k = 0: j alone. The longest item that fits dominates where it fills the gap, where
+    k = 1, or where k = 2 and no pair sums to more. For k = 2, the best pair dominates where its longer item is the longest
+    that fits and no pair that fits has both items longer than its shorter one.
     """
-    fixed = []
+    gap = room - j
+    if gap in lengths.left and lengths.free(gap, j):
+        return (j, gap)
+    best = lengths.largest(j, gap)
+    if not best:
+        return (j,)
+    small = np.cumsum(lengths.smallest(j, 0, 3))
+    k = int((small <= gap).sum())
+    if k == 1:
+        return (j, best)
+    if k == 2:
+        a, b = lengths.best_pair(j, gap)
+        if best >= a + b:
+            return (j, best)
+        over = lengths.smallest(j, b, 2)
+        if a == best and (len(over) < 2 or sum(over) > gap):
+            return (j, a, b)
+    return None
 
-    def fix(times: int, *items: int) -> None:
-        fixed.append((items, times))
-        for x in items:
-            left[x] -= times
-            if not left[x]:
-                del left[x]
 
-    def most(a: int, b: int) -> int:
-        return left[a] // 2 if a == b else min(left[a], left[b])
-
-    for x in sorted(left, reverse=True):
-        if x in left and x == room:
-            fix(left[x], x)
-        elif x in left and room - x in left and most(x, room - x):
-            fix(most(x, room - x), x, room - x)
-    while left:
-        sizes = sorted(left)
-        big, gap = sizes[-1], room - sizes[-1]
-        least = []
-        for x in sizes:
-            least += [x] * min(3 - len(least), left[x] - (x == big))
-            if len(least) == 3:
-                break
-        sums = np.cumsum(least) if least else np.array([], np.int64)
-        k = int((sums <= gap).sum())
-        fit = [x for x in sizes if x <= gap and left[x] - (x == big) > 0]
-        if k == 0:
-            fix(left[big] if not fit else 1, big)
-            continue
-        best = fit[-1]
-        if k > 2 or (k == 2 and best < max((a + b for a, b in best_pairs(fit, left, big, gap)), default=0)):
-            return fixed
-        if best == big:
-            fix(max(1, left[big] // 2), big, big) if left[big] > 1 else fix(1, big)
-        else:
-            fix(min(left[big], left[best]) if k == 1 else 1, big, best)
+def reduce_by_dominance(left: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fix sets that dominate all others with one of their items, take them from `left` (length: count), and go on until no item has one."""
+    lengths, fixed, more = Lengths(left), [], True
+    while more:
+        more = False
+        for j in lengths.order[::-1]:
+            while j in left and (items := dominating(lengths, j, room)):
+                fixed.append((items, lengths.take(items)))
+                more = True
     return fixed
 
 
-def best_pairs(fit: list[int], left: dict[int, int], big: int, gap: int):
-    """Pairs of lengths that fit beside the largest item, for each first the largest second."""
-    hi = len(fit) - 1
-    for lo, a in enumerate(fit):
-        while hi >= lo and a + fit[hi] > gap:
-            hi -= 1
-        if hi < lo:
-            return
-        b = fit[hi]
-        if a != b or left[a] - (a == big) > 1:
-            yield a, b
-        elif hi > lo:
-            yield a, fit[hi - 1]
-
-
 def best_fit(left: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit decreasing over counts: the fullest sequence that still takes an item takes as many of its length as fit."""
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
@@ -133,8 +164,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, room: int, with_ids: bool) -> Dat
         ids, part, n = word_bpe.ids(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
             out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                got = ids.encode(text.as_py()) + END_ID
+            texts = (t for _, some in slices(b.column("text"), SLICE) for t in ids.encode(some))
+            for doc, text in zip(b.column("doc_id").to_pylist(), texts, strict=True):
+                got = text + END_ID
                 for k in range(0, len(got), 4 * room):
                     piece = got[k : k + 4 * room]
                     out.append(((part << 40) + n, doc, k // 4 // room, k // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain, islice
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Chunks and pre-tokens that a worker remembers; later ones are worked out each time. The common ones come early.
 CHUNKS, WORDS = 400_000, 800_000
+#: Symbols of a pre-token beyond which a heap finds the next pair.
+HEAP = 48
 
 
 def byte_chars() -> list[str]:
@@ -49,6 +54,8 @@ class WordBpe:
         """Symbols of one pre-token: the leftmost pair of least rank, until none is left."""
         at = [self.chars[b] for b in word.encode()]
         at[-1] += self.end
+        if len(at) > HEAP:
+            return self.merge_long(at)
         rank, none = self.ranks.get, 1 << 30
         ranks = [rank(p, none) for p in zip(at, at[1:], strict=False)]
         while ranks and (least := min(ranks)) < none:
@@ -61,6 +68,28 @@ class WordBpe:
                 ranks[i - 1] = rank((at[i - 1], at[i]), none)
         return at
 
+    def merge_long(self, at: list[str]) -> list[str]:
+        """The same rule over a linked list with a heap of (rank, place): n log n for a pre-token of n symbols."""
+        rank, n = self.ranks.get, len(at)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank((at[i], at[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i] if at[i] else n
+            # an entry is stale where its place is gone or holds another pair by now
+            if j >= n or rank((at[i], at[j])) != r:
+                continue
+            at[i], at[j] = at[i] + at[j], ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((at[i], at[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank((at[h], at[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in at if x]
+
     def words(self, chunk: str):
         """Pre-tokens of a text, or the id of a special string. Beyond Latin letters the library itself splits: its Unicode tables are older."""
         for i, part in enumerate(self.cut.split(chunk)):
@@ -113,29 +142,22 @@ class Counter(dict):
 
 
 class Ids(dict):
-    """Ids of a chunk without white space as little-endian unsigned 32-bit bytes, remembered."""
+    """Ids of a chunk without white space as little-endian unsigned 32-bit bytes, remembered; the library encodes new ones."""
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe, self.rest = bpe, {}
+    def __init__(self, library: Tokenizer):
+        self.library, self.more = library, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        out = []
-        for w in self.bpe.words(chunk):
-            if isinstance(w, int):
-                out.append(w.to_bytes(4, "little"))
-            else:
-                if (k := self.rest.get(w)) is None:
-                    k = b"".join(self.bpe.vocab[s].to_bytes(4, "little") for s in self.bpe.merge(w))
-                    if len(self.rest) < WORDS:
-                        self.rest[w] = k
-                out.append(k)
-        got = b"".join(out)
-        if len(self) < CHUNKS:
-            self[chunk] = got
-        return got
+        return self.more[chunk]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, chunks(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [chunks(t) for t in texts]
+        new = list(set(chain.from_iterable(parts)).difference(self))
+        self.more = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        out = [b"".join(map(self.__getitem__, p)) for p in parts]
+        self.update(islice(self.more.items(), max(0, CHUNKS - len(self))))
+        self.more = {}
+        return out
 
 
 #: White space to str.split() that the file's \s does not match.
@@ -160,4 +182,4 @@ def counter(path: str, whole: frozenset) -> Counter:
 
 @lru_cache(maxsize=2)
 def ids(path: str) -> Ids:
-    return Ids(load(path))
+    return Ids(Tokenizer.from_file(path))

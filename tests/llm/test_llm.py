@@ -84,10 +84,26 @@ def test_byte_bpe_equals_the_library(docs, frame, empty):
     assert byte_bpe.encode_decode(empty, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).count() == 0
 
 
-def test_byte_bpe_merges_long_words_alone():
-    b = byte_bpe.load(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
-    word = "abcabcab" * 40
-    assert b.merged_alone(word) == b.merged([word])[word] == ",".join(map(str, encoder().encode_ordinary(word)))
+def test_byte_bpe_of_long_words():
+    """Words whose recursive query would keep too many steps: side by side, in bounded memory, as the library has them."""
+    b, e = byte_bpe.load(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN), encoder()
+    rng = random.Random(6)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    words = ["abcabcab" * 40, *["a" * k for k in range(60, 140, 3)], "aab" * 50, "é" * 100, "日本語" * 60, letters(30_000), letters(9000, "ab")]
+    words += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000)), *[letters(390) for _ in range(500)]]
+    got = b.merged(words)
+    for w in words:
+        assert got[w] == ",".join(map(str, e.encode_ordinary(w))), w[:20]
+    million = letters(1_000_000)
+    assert b.merged([million])[million] == ",".join(map(str, e.encode_ordinary(million)))
+
+
+def test_long_words_of_the_other_tokenizer():
+    b, t, rng = word_bpe.load(WORD), Tokenizer.from_file(WORD), random.Random(8)
+    for n in (40, 60, 300, 3000, 200_000):
+        for of in ("a", "ab", "abcdefghijklmnopqrstuvwxyz"):
+            w = "".join(rng.choice(of) for _ in range(n))
+            assert [b.vocab[s] for s in b.merge(w)] == t.encode(w, add_special_tokens=False).ids
 
 
 def test_token_counts_equal_the_library(docs, frame, empty):
@@ -162,12 +178,15 @@ def test_dominance_is_optimal_on_tiny_cases():
         return best[0]
 
     rng = random.Random(3)
-    for _ in range(150):
-        items = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 7))), reverse=True)
+    sizes = Counter()
+    for _ in range(600):
+        items = sorted((rng.randint(rng.randint(1, 4), rng.choice([6, 8, 12])) for _ in range(rng.randint(1, 9))), reverse=True)
         left = dict(Counter(items))
         fixed = packing.reduce_by_dominance(left, 12)
+        sizes.update(len(s) for s, _ in fixed)
         rest = sorted(Counter(left).elements(), reverse=True)
         assert sum(n for _, n in fixed) + optimum(rest, 12) == optimum(items, 12)
+    assert sizes[1] and sizes[2] and sizes[3] > 20
 
 
 def test_hilbert_neighbours_touch():
@@ -307,6 +326,13 @@ def test_suffix_dedup_equals_brute_force(frame, corpus, small_shards, docs, empt
     assert suffix_dedup.suffix_dedup(docs).count() == docs.count() and suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_hot_keys(frame, small_shards, monkeypatch):
+    """Keys dealt out by the digests of their windows give the same bytes."""
+    want = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame).collect()}
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame).collect()} == want
+
+
 def test_suffix_dedup_with_rows_of_a_shard_in_another_order(frame, small_shards, monkeypatch):
     """The two reads of a shard bring its rows in different orders, as remote fetches may."""
     want = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame).collect()}
