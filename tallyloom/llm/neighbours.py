@@ -9,34 +9,81 @@ from pyspark.sql import functions as F
 
 from .common import parts, spread, table
 from .curves import hilbert_key
+from .shards import ends_of
 
-#: Orders, projected coordinates, bits of each, share of all rows in a block at most, rows of a block at most, rows to fit on at most.
-ORDERS, COORDS, BITS, SHARE, BLOCK, SAMPLE = 24, 6, 2, 50, 2048, 20_000
+#: Orders, projected coordinates, bits of each, sample rows of a window, windows of an order at most, rows and queries that
+#: meet in a task, rows to fit on, queries and recall to choose the number of visited windows by.
+ORDERS, COORDS, BITS, EACH, WINDOWS, MEET, SAMPLE, PROBES, TARGET = 8, 12, 1, 8, 4096, 8192, 60_000, 256, 0.93
+#: Vectors dealt at a time.
+SLICE = 1024
+
+
+def mixed(ids: np.ndarray, salt: int) -> np.ndarray:
+    """24 bits of an id."""
+    with np.errstate(over="ignore"):
+        return ((ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
 
 
 class Orders:
-    """Projections, shifts and block limits, fitted on a sample; a pure function of a vector and its id after that."""
+    """Projections, shifts, windows of keys and their mean vectors, fitted on a sample; a pure function of a vector and its id after that.
 
-    def __init__(self, sample: np.ndarray, ids: np.ndarray, blocks: int, seed: int = 7):
+    An order's keys are cut into windows at quantiles of the sample. A query visits the windows whose mean vectors have the
+    largest inner product with it, `visits` in each order: as few as find TARGET of the neighbours of sampled queries.
+    """
+
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, whole: bool, k: int, seed: int = 7):
         rng, dim = np.random.default_rng(seed), sample.shape[1]
-        self.coords = min(COORDS, dim)
-        self.mean = sample.mean(0)
+        self.coords, self.mean = min(COORDS, dim), sample.mean(0)
+        self.windows = max(1, min(len(sample) // EACH, WINDOWS))
         self.turn = [np.linalg.qr(rng.normal(size=(dim, self.coords)))[0] for _ in range(ORDERS)]
-        self.shift = rng.uniform(-0.5, 0.5, (ORDERS, self.coords))
+        self.shift = rng.uniform(-0.1, 0.1, (ORDERS, self.coords))
         self.scale = [np.maximum(((sample - self.mean) @ t).std(0), 1e-12) for t in self.turn]
-        self.limits = [np.quantile(self.keys(sample, ids, o), np.arange(1, blocks) / blocks) for o in range(ORDERS)]
+        self.limits = [np.quantile(self.keys(sample, ids, o), np.arange(1, self.windows) / self.windows) for o in range(ORDERS)]
+        at = [self.window(sample, ids, o) for o in range(ORDERS)]
+        self.middle = [self.means(sample, w) for w in at]
+        self.visits = self.needed(sample, ids, at, whole, k)
 
     def keys(self, x: np.ndarray, ids: np.ndarray, o: int) -> np.ndarray:
         """Hilbert key; rows of one cell are spread by a hash of their id."""
         z = ((x - self.mean) @ self.turn[o]) / self.scale[o] + self.shift[o]
-        cell = np.clip((z + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-        with np.errstate(over="ignore"):
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * o)) >> np.uint64(40)
-        return hilbert_key(cell, BITS) + mixed.astype(np.float64) / (1 << 24)
+        cell = np.clip(np.floor((z + 1) / 2 * (1 << BITS)), 0, (1 << BITS) - 1).astype(np.int64)
+        return hilbert_key(cell, BITS) + mixed(ids, o) / (1 << 24)
 
-    def block(self, x: np.ndarray, ids: np.ndarray, o: int) -> np.ndarray:
+    def window(self, x: np.ndarray, ids: np.ndarray, o: int) -> np.ndarray:
         return np.searchsorted(self.limits[o], self.keys(x, ids, o), side="right")
 
+    def means(self, x: np.ndarray, window: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.windows, x.shape[1]))
+        np.add.at(out, window, x)
+        return out / np.maximum(np.bincount(window, minlength=self.windows), 1)[:, None]
+
+    def needed(self, x: np.ndarray, ids: np.ndarray, at: list[np.ndarray], whole: bool, k: int) -> int:
+        """Windows to visit in each order so that TARGET of the k nearest of sampled queries lie in one of them.
+
+        Where the sample is not the whole table, a row's own part in its window's mean is taken off: most rows have none.
+        """
+        q = np.argsort(mixed(ids, 99), kind="stable")[:PROBES]
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -np.inf
+        near = np.argsort(-s, axis=1, kind="stable")[:, : max(1, min(k, len(x) - 1))]
+        own = np.take_along_axis(s, near, 1)
+        place = np.full(near.shape, self.windows)
+        for w, middle in zip(at, self.middle, strict=True):
+            score, n = x[q] @ middle.T, np.bincount(w, minlength=self.windows)[w[near]]
+            there = np.take_along_axis(score, w[near], 1)
+            if not whole:
+                there = np.where(n > 1, (there * n - own) / np.maximum(n - 1, 1), -np.inf)
+            ranks = np.sort(-score, axis=1)
+            place = np.minimum(place, np.stack([np.searchsorted(r, -t, side="left") for r, t in zip(ranks, there, strict=True)]))
+        return int(min(self.windows, np.quantile(place, TARGET, method="higher") + 1))
+
+    def visited(self, q: np.ndarray, o: int) -> np.ndarray:
+        """The windows each query visits, in key order."""
+        score = q @ self.middle[o].T
+        if self.visits == self.windows:
+            return np.tile(np.arange(self.windows), (len(q), 1))
+        return np.sort(np.argpartition(-score, self.visits - 1, axis=1)[:, : self.visits], axis=1)
+
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
     """vec_id and v (double array) of the vectors that take part: of the commonest length, finite, not zero."""
@@ -56,9 +103,10 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", every: int = 20,
     """query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest found by inner product.
 
     Equal vectors are one class: only its k + 1 smallest ids can be among anyone's k nearest, and its queries are
-    answered once. Each order deals the classes to blocks of a bounded number of rows; a query meets its own block and
-    those within 1/SHARE of all rows on either side, so the share searched, and with it the recall, is the same at every
-    size. Rows with a null id take no part; of repeated ids each row counts. An empty table gives an empty result.
+    answered once. Each order deals the classes to windows of neighbouring keys, and ranges of windows to tasks; a query
+    goes to the ranges that hold windows it visits. Ranges of more than MEET rows or queries are dealt out further, so no
+    task grows with the table. Rows with a null id take no part; of repeated ids each row counts. An empty table gives
+    an empty result.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vector)
@@ -70,37 +118,54 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", every: int = 20,
     sample = classes.select("cid", "v").orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = max(min(SHARE, total // 40), -(-total // BLOCK), 1)
-    reach = -(-blocks // SHARE)
-    orders = Orders(matrix(sample["v"].combine_chunks()), sample["cid"].to_numpy(), blocks)
+    orders = Orders(matrix(sample["v"].combine_chunks()), sample["cid"].to_numpy(), sample.num_rows < SAMPLE, k)
+    windows = orders.windows
+    ranges = min(-(-total // MEET), windows)
+    row_deals = -(-total // (ranges * MEET))
+    query_deals = -(-(total // every) * min(ranges, orders.visits) // (ranges * MEET)) or 1
 
     def deal(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             x, ids, asks = matrix(b.column("v")), b.column("cid").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
             raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+            row, q = np.flatnonzero(~asks), np.flatnonzero(asks)
             for o in range(ORDERS):
-                at = orders.block(x, ids, o)
-                lo, hi = np.where(asks, np.maximum(at - reach, 0), at), np.where(asks, np.minimum(at + reach, blocks - 1), at)
-                n = hi - lo + 1
-                who = np.repeat(np.arange(len(x)), n)
-                block = lo[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                at = orders.window(x[row], ids[row], o)
+                who, part, seen = [np.repeat(row, query_deals)], [np.repeat((o * ranges + at * ranges // windows) * row_deals + mixed(ids[row], 50) % row_deals, query_deals) * query_deals + np.tile(np.arange(query_deals), len(row))], []
+                seen += [w.tobytes() for w in np.repeat(at, query_deals).astype(np.uint16)]
+                visits = orders.visited(x[q], o)
+                place = visits * ranges // windows
+                for k_, (w, r) in enumerate(zip(visits.astype(np.uint16), place, strict=True)):
+                    held = ends_of(r)
+                    for d in range(row_deals):
+                        who.append(np.full(len(held), q[k_]))
+                        part.append(((o * ranges + np.fromiter(held, np.int64, len(held))) * row_deals + d) * query_deals + int(mixed(ids[q[k_] : q[k_] + 1], 51)[0]) % query_deals)
+                        seen += [w[a:z].tobytes() for a, z in held.values()]
+                who, part = np.concatenate(who), np.concatenate(part)
                 cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), len(who), [None, pa.py_buffer(raw[who].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(o * blocks + block), pa.array(asks[who]), pa.array(ids[who]), cells.cast(pa.binary())], ["cell", "asks", "cid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(asks[who]), pa.array(ids[who]), pa.array(seen, pa.binary()), cells.cast(pa.binary())], ["part", "asks", "cid", "windows", "v"])
 
     def search(group: pa.Table) -> pa.Table:
-        asks, ids = group["asks"].to_numpy(), group["cid"].to_numpy()
+        """The k + 1 best of each query among the rows of the windows it visits here."""
+        asks, ids, seen = group["asks"].to_numpy(), group["cid"].to_numpy(), group["windows"].to_pylist()
         x = np.frombuffer(b"".join(group["v"].to_pylist()), np.float64).reshape(len(ids), -1)
         data, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out = []
-        for i in range(0, len(q) if len(data) else 0, 1024):
-            s = x[q[i : i + 1024]] @ x[data].T
-            m = min(k + 1, len(data))
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            out.append((np.repeat(ids[q[i : i + 1024]], m), ids[data][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table(dict(zip(("qid", "cid", "score"), cols, strict=True)))
+        own = np.frombuffer(b"".join([seen[i] for i in data.tolist()]), np.uint16)
+        order = np.argsort(own, kind="stable")
+        data, rows = data[order], ends_of(own[order])
+        of = np.repeat(q, [len(seen[i]) // 2 for i in q.tolist()])
+        wanted = np.frombuffer(b"".join([seen[i] for i in q.tolist()]), np.uint16)
+        order = np.argsort(wanted, kind="stable")
+        of, out = of[order], [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for w, (a, z) in ends_of(wanted[order]).items():
+            if w in rows:
+                here = data[slice(*rows[w])]
+                out.append((np.repeat(of[a:z], len(here)), np.tile(here, z - a), (x[of[a:z]] @ x[here].T).ravel()))
+        one, two, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((ids[two], -score, one))
+        one, two, score = one[order], two[order], score[order]
+        best = np.arange(len(one)) - np.searchsorted(one, one) <= k
+        return pa.table({"qid": ids[one[best]], "cid": ids[two[best]], "score": score[best]})
 
     def merge(group: pa.Table) -> pa.Table:
         q, c, s = (group[n].to_numpy() for n in ("qid", "cid", "score"))
@@ -115,7 +180,9 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", every: int = 20,
         return pa.table({"qid": q[top], "cid": c[top], "score": s[top]})
 
     both = classes.select("cid", "v", F.lit(False).alias("asks")).unionByName(asked.select("cid", "v", F.lit(True).alias("asks")))
-    found = spread(spark, both).mapInArrow(deal, "cell long, asks boolean, cid long, v binary").groupBy("cell").applyInArrow(search, "qid long, cid long, score double")
+    dealt = spread(spark, both).mapInArrow(deal, "part long, asks boolean, cid long, windows binary, v binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = dealt.repartitionByRange(tasks, "part").groupBy("part").applyInArrow(search, "qid long, cid long, score double")
     some = parts(total // every + 1, 2000, spark.sparkContext.defaultParallelism)
     best = found.groupBy(F.pmod(F.xxhash64("qid"), F.lit(some)).alias("part")).applyInArrow(merge, "qid long, cid long, score double")
     single = best.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
