@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..sources.tables import cut
+
 
 def top_level_parts(text: str, open_: str = "([{", close: str = ")]}", mark: str = ",") -> list[str]:
     """[SCA16, SCA17, SCA18] Parts between marks outside brackets and quoted strings, trimmed; an unclosed string ends the last part."""
@@ -55,6 +57,19 @@ def branch_choice(branches: DataFrame, keys: list[str], then: str, other: str, u
     return branches.withColumn("choice", F.when(a.isNull() & b.isNull(), "gates_nothing").when(F.col(lazy), "none").when(a >= b + u, F.when(a > b, "then").otherwise("none")).when(b >= a + u, "else").otherwise("none"))
 
 
+def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """[RUL20] node, level: the largest level among a node and all that reach it by edges (src, node), until nothing changes.
+
+    Rounds grow with the longest path; each is one join and one aggregation, written before the next.
+    """
+    while True:
+        up = edges.join(nodes.select(F.col("node").alias("src"), F.col("level").alias("up")), "src").groupBy("node").agg(F.max("up").alias("up"))
+        new = cut(nodes.join(up, "node", "left").select("node", F.col("level").alias("was"), F.greatest("level", "up").alias("level")))
+        nodes = new.select("node", "level")
+        if not new.filter("level > was").head(1):
+            return nodes
+
+
 def unfilled(bindings: DataFrame, key: str, origin: str, open_slots: str) -> DataFrame:
     """[R16, AGG29] key, fires, waiting: a group with an unresolved binding and a slot still open."""
     g = bindings.groupBy(key).agg(F.bool_or(F.col(origin) == "none").alias("none_"), F.sum(open_slots).alias("waiting"))

@@ -81,9 +81,21 @@ def batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> Data
 def half_holders(df: DataFrame, item: str, cost: str) -> DataFrame:
     """[AGG26] How few items hold half of the cost, over totals by item; median is the upper middle one. One row.
 
-    Ranks run over items, which are counted first; the running sum is two-level, by item buckets of the ordered costs.
+    Items are counted first and dealt to cells of like cost, 64 to a doubling. Totals of cells, a bounded number of rows,
+    are summed in one task; ranks and running sums inside a cell in that cell's.
     """
-    own = df.groupBy(item).agg(F.sum(cost).alias("c"))
-    w = Window.orderBy(F.desc("c"), item)
-    ranked = own.withColumns({"r": F.row_number().over(w), "run": F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "total": F.sum("c").over(Window.partitionBy()), "n": F.count("*").over(Window.partitionBy())})
+    own = df.groupBy(item).agg(F.sum(cost).alias("c")).withColumn("cell_", F.when(F.col("c") > 0, F.floor(F.log2(F.col("c").cast("double")) * 64)).otherwise(F.lit(-1_000_000)))
+    higher = Window.orderBy(F.desc("cell_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = own.groupBy("cell_").agg(F.sum("c").alias("s_"), F.count("*").alias("k_"))
+    every = Window.partitionBy()
+    cells = cells.select("cell_", (F.sum("s_").over(higher) - F.col("s_")).alias("before_"), (F.sum("k_").over(higher) - F.col("k_")).alias("above_"), F.sum("s_").over(every).alias("total"), F.sum("k_").over(every).alias("n"))
+    w = Window.partitionBy("cell_").orderBy(F.desc("c"), item)
+    rank, run = F.row_number().over(w), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = own.join(cells, "cell_").withColumns({"r": F.col("above_") + rank, "run": F.col("before_") + run})
     return ranked.agg(F.min(F.when(F.col("run") >= F.col("total") / 2, F.col("r"))).cast("long").alias("half_in"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("c"))).alias("upper_median"), F.max("c").alias("largest"))
+
+
+def lowest_of_group(df: DataFrame, group: str, item: str, salts: int = 4096) -> DataFrame:
+    """[WIN04, AGG24] item, lowest: the smallest item of each row's group. The group is worked out once, and a hot one is dealt out by salt."""
+    dealt = df.groupBy(group, F.pmod(F.xxhash64(item), F.lit(salts)).alias("s_")).agg(F.min(item).alias("m_"), F.collect_list(item).alias("i_"))
+    return dealt.withColumn("lowest", F.min("m_").over(Window.partitionBy(group))).select(F.explode("i_").alias(item), "lowest")

@@ -94,12 +94,29 @@ def nmi(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("mi", F.when(F.col("hr") + F.col("hk") > 0, 2 * F.col("mi") / (F.col("hr") + F.col("hk"))).alias("nmi"))
 
 
+#: Cells of [0, 1] that p-values are dealt to.
+CELLS = 1024
+
+
 def bh_qvalues(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-    """[WIN18] Benjamini-Hochberg q: the least p * m / rank of this and all larger p."""
-    ranked = df.withColumns({"rank_": F.rank().over(Window.partitionBy(*keys).orderBy(p)), "m_": F.count(p).over(Window.partitionBy(*keys))})
-    ties = ranked.withColumn("rank_", F.max(F.col("rank_") + F.lit(0)).over(Window.partitionBy(*keys, p)) + F.count("*").over(Window.partitionBy(*keys, p)) - 1)
-    later = Window.partitionBy(*keys).orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return ties.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m_") / F.col("rank_")).over(later))).drop("rank_", "m_")
+    """[WIN18] Benjamini-Hochberg q: the least p * m / rank of this and all larger p; a null p has none.
+
+    Equal p are counted first. Counts below and least values above come in two levels, over cells of p and inside a cell,
+    so a key with most of all rows is dealt to CELLS tasks, and each pass is linear.
+    """
+    counts = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("c_")).withColumn("cell_", F.floor(F.col(p) * CELLS))
+    inside = Window.partitionBy(*keys, "cell_")
+    cells = Window.partitionBy(*keys)
+    up = (Window.unboundedPreceding, Window.currentRow)
+    below = counts.groupBy(*keys, "cell_").agg(F.sum("c_").alias("n_"))
+    below = below.select(*keys, "cell_", (F.sum("n_").over(cells.orderBy("cell_").rowsBetween(*up)) - F.col("n_")).alias("below_"), F.sum("n_").over(cells).alias("m_"))
+    rank = F.col("below_") + F.sum("c_").over(inside.orderBy(p).rowsBetween(*up))
+    valued = counts.join(below, [*keys, "cell_"]).withColumn("v_", F.col(p) * F.col("m_") / rank)
+    above = valued.groupBy(*keys, "cell_").agg(F.min("v_").alias("least_"))
+    above = above.select(*keys, "cell_", F.min("least_").over(cells.orderBy(F.desc("cell_")).rowsBetween(Window.unboundedPreceding, -1)).alias("above_"))
+    least = F.min("v_").over(inside.orderBy(F.desc(p)).rowsBetween(*up))
+    q = valued.withColumn("q", least).join(above, [*keys, "cell_"]).select(*keys, p, F.least(F.lit(1.0), "q", "above_").alias("q"))
+    return df.join(q, [*keys, p], "left")
 
 
 def jackknife(df: DataFrame, group: str, hit: str) -> DataFrame:

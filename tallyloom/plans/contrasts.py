@@ -94,20 +94,11 @@ def full_compare(spark, sf):
 
 
 @query("SET05 SET04 R13 SCA15", """
-WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (event_id % 2 = 0)) AS a, list_sort(list(DISTINCT event_type) FILTER (event_id % 2 = 1)) AS b FROM (SELECT * FROM events WHERE value > 85) GROUP BY 1)
+WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (event_id % 2 = 0)) AS a, list_sort(list(DISTINCT event_type) FILTER (event_id % 2 = 1)) AS b FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN len(list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x))) > 0 AND len(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) > 0 THEN 'both'
 WHEN len(list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x))) > 0 THEN 'added' WHEN len(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) > 0 THEN 'removed' ELSE 'identical' END AS relation FROM s""")
 def binding_relation(spark, sf):
-    return _relation(read(spark, sf, "events").filter("value > 85"))
-
-
-@query("SET05 SET04 R13 SCA15")
-def binding_relation_all(spark, sf):
-    """Every event."""
-    return _relation(read(spark, sf, "events"))
-
-
-def _relation(e):
+    e = read(spark, sf, "events")
     even = F.pmod("event_id", F.lit(2)) == 0
     s = e.groupBy("user_id").agg(F.collect_set(F.when(even, F.col("event_type"))).alias("a"), F.collect_set(F.when(~even, F.col("event_type"))).alias("b"))
     return s.select("user_id", T.relation(F.array_except("b", "a"), F.array_except("a", "b")).alias("relation"))

@@ -44,11 +44,11 @@ def confusion(spark, sf):
 
 
 @query("WIN12", f"""
-WITH {_SCORED}, t AS (SELECT score, sum(y) AS p, count(*) AS m FROM s WHERE lang = 'en' GROUP BY 1)
-SELECT score, sum(p) OVER (ORDER BY score DESC)::BIGINT AS tp, (sum(m - p) OVER (ORDER BY score DESC))::BIGINT AS fp FROM t""")
+WITH {_SCORED}, t AS (SELECT lang, score, sum(y) AS p, count(*) AS m FROM s GROUP BY 1, 2)
+SELECT lang, score, sum(p) OVER (PARTITION BY lang ORDER BY score DESC)::BIGINT AS tp, (sum(m - p) OVER (PARTITION BY lang ORDER BY score DESC))::BIGINT AS fp FROM t""")
 def roc_points(spark, sf):
-    s = stats.score_steps(_scored(spark, sf).filter("lang = 'en'"), ["lang"], "score", "y")
-    return s.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"))
+    s = stats.score_steps(_scored(spark, sf), ["lang"], "score", "y")
+    return s.select("lang", "score", "tp", (F.col("seen") - F.col("tp")).alias("fp"))
 
 
 @query("WIN11 MLE25", f"""

@@ -27,20 +27,11 @@ def unfilled_fixtures(spark, sf):
 
 
 @query("R19 RUL23 RUL35", """
-WITH c AS (SELECT user_id AS k, event_type AS name, CASE WHEN event_id % 3 = 0 THEN 'child' WHEN event_id % 3 = 1 THEN 'body' ELSE 'extra' END AS param FROM events WHERE value > 90),
+WITH c AS (SELECT user_id AS k, event_type AS name, CASE WHEN event_id % 3 = 0 THEN 'child' WHEN event_id % 3 = 1 THEN 'body' ELSE 'extra' END AS param FROM events),
 s AS (SELECT * FROM (VALUES ('view', ['child']), ('click', ['child', 'body'])) t(name, params)), h AS (SELECT c.k, c.name || '.' || param AS d FROM c JOIN s USING (name) WHERE NOT list_contains(params, param))
 SELECT k, coalesce((SELECT string_agg(DISTINCT d, ',' ORDER BY d) FROM h WHERE h.k = a.k), '') AS drops FROM (SELECT DISTINCT k FROM c) a""")
 def shim_drops(spark, sf):
-    return _drops(spark, read(spark, sf, "events").filter("value > 90"))
-
-
-@query("R19 RUL23 RUL35")
-def shim_drops_all(spark, sf):
-    """Every event."""
-    return _drops(spark, read(spark, sf, "events"))
-
-
-def _drops(spark, e):
+    e = read(spark, sf, "events")
     m = F.pmod("event_id", F.lit(3))
     calls = e.select(F.col("user_id").alias("k"), F.col("event_type").alias("name"), F.when(m == 0, "child").when(m == 1, "body").otherwise("extra").alias("param"))
     made = spark.createDataFrame([("view", ["child"]), ("click", ["child", "body"])], "name string, params array<string>")
@@ -116,10 +107,10 @@ def static_index(spark, sf):
 
 
 @query("FLT19 SNK15 SNK19", """
-SELECT source, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (n_chars < 200) AS problems FROM documents WHERE lang <> 'de' GROUP BY 1""")
+SELECT source, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (n_chars < 200) AS problems FROM documents GROUP BY 1""")
 def problem_lists(spark, sf):
     bad = F.array_sort(F.collect_list(F.when(F.col("n_chars") < 200, F.col("doc_id"))))
-    g = read(spark, sf, "documents").filter("lang <> 'de'").groupBy("source").agg(F.count("*").alias("n"), bad.alias("b"))
+    g = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), bad.alias("b"))
     return g.select("source", "n", F.nullif(F.array_join(F.transform("b", lambda x: x.cast("string")), ","), F.lit("")).alias("problems"))
 
 

@@ -64,20 +64,10 @@ def verdict_cache(spark, sf):
 
 
 @query("SET08 RUL10", """
-SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS ok, count(*) FILTER (d.doc_id IS NULL) AS vanished, count(*) FILTER (l.doc_id IS NULL) AS unlisted FROM (SELECT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 6 <> 1) d USING (doc_id)""")
+SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS ok, count(*) FILTER (d.doc_id IS NULL) AS vanished, count(*) FILTER (l.doc_id IS NULL) AS unlisted FROM (SELECT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents) d USING (doc_id)""")
 def vanished(spark, sf):
     l = read(spark, sf, "labels").select("doc_id", F.lit(1).alias("l"))  # noqa: E741
-    return _present(l, read(spark, sf, "documents").filter("doc_id % 6 <> 1"))
-
-
-@query("SET08 RUL10")
-def vanished_all(spark, sf):
-    """All labels against all documents."""
-    return _present(read(spark, sf, "labels").select("doc_id", F.lit(1).alias("l")), read(spark, sf, "documents"))
-
-
-def _present(l, documents):  # noqa: E741
-    j = l.join(documents.select("doc_id", F.lit(1).alias("d")), "doc_id", "full_outer")
+    j = l.join(read(spark, sf, "documents").select("doc_id", F.lit(1).alias("d")), "doc_id", "full_outer")
     return j.agg(F.count_if(F.col("l").isNotNull() & F.col("d").isNotNull()).alias("ok"), F.count_if(F.col("d").isNull()).alias("vanished"), F.count_if(F.col("l").isNull()).alias("unlisted"))
 
 
@@ -94,16 +84,10 @@ def single_identity(spark, sf):
     return ids.agg(F.count("*").alias("identities"), (F.count("*") == 1).alias("single"))
 
 
-@query("INC20 INC25", """
-WITH o AS (SELECT user_id % 20 AS gid, event_type AS binding, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), f AS (SELECT user_id % 20 AS gid, event_type AS binding, max(event_id) AS v FROM events WHERE event_id % 7 = 0 AND user_id % 20 < 12 GROUP BY 1, 2)
+@query("INC20", """
+WITH o AS (SELECT user_id % 20 AS gid, event_type AS binding, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), f AS (SELECT user_id % 20 AS gid, event_type AS binding, max(event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
 SELECT gid, string_agg(binding || '=' || v, ',' ORDER BY binding) AS bindings FROM (SELECT gid, binding, coalesce(f.v, o.v) AS v FROM o FULL JOIN f USING (gid, binding)) GROUP BY 1""")
 def nested_map_merge(spark, sf):
-    e = read(spark, sf, "events").select(F.pmod("user_id", F.lit(20)).alias("gid"), F.col("event_type").alias("binding"), "event_id")
-    return _merged(e.filter("event_id % 2 = 0"), e.filter("event_id % 7 = 0 AND gid < 12"))
-
-
-@query("INC20 INC25")
-def nested_map_merge_all(spark, sf):
     """Even events are the old side, odd ones the fresh side: each event of each group is in one."""
     e = read(spark, sf, "events").select(F.pmod("user_id", F.lit(20)).alias("gid"), F.col("event_type").alias("binding"), "event_id")
     even = F.pmod("event_id", F.lit(2)) == 0

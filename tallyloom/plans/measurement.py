@@ -54,42 +54,9 @@ def drift_adjusted_slope(spark, sf):
     return stats.drift_slope(p, "event_type", "role", "pos", "y").select("event_type", "n", R(F.col("slope")).alias("slope"))
 
 
-_WINDOWS = """w AS (SELECT user_id, event_id AS run, epoch_us(ts) AS a, epoch_us(ts) + 1800000000 AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"""
-
-
-def _windows(spark, sf):
-    e = events(spark, sf)
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))
-    w = e.select("user_id", F.col("event_id").alias("run"), F.col("us").alias("a"), (F.col("us") + 1_800_000_000).alias("b"), k.alias("k"))
-    return w.filter(F.col("k") % 10 == 1).drop("k")
-
-
-@query("JOI07 AGG09 INC15", f"""
-WITH {_WINDOWS}, v AS (SELECT * FROM w WHERE k % 10 = 1)
-SELECT v.run, count(*) AS n_samples, round(min(e.value), 6) AS low, round(avg(e.value), 3) AS mean, round(max(e.value), 6) AS high, string_agg(DISTINCT e.event_type, ',' ORDER BY e.event_type) AS kinds
-FROM v JOIN events e ON e.user_id = v.user_id AND epoch_us(e.ts) BETWEEN v.a AND v.b GROUP BY 1""")
-def window_summary(spark, sf):
-    j = joins.interval_join(events(spark, sf), _windows(spark, sf), "user_id", "us", "a", "b", 1_800_000_000)
-    return j.groupBy("run").agg(F.count("*").alias("n_samples"), R(F.min("value")).alias("low"), R(F.avg("value"), 3).alias("mean"), R(F.max("value")).alias("high"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
-
-
-@query("JOI07 SNK09 SNK10 INC15", f"""
-WITH {_WINDOWS}, v AS (SELECT * FROM w WHERE k % 10 = 1),
-h AS (SELECT e.event_id, count(v.run) AS n FROM events e LEFT JOIN v ON e.user_id = v.user_id AND epoch_us(e.ts) BETWEEN v.a AND v.b GROUP BY 1)
-SELECT count(*) AS samples, count(*) FILTER (n > 0) AS assigned, count(*) FILTER (n = 0) AS unassigned FROM h""")
-def interval_conservation(spark, sf):
-    e = events(spark, sf)
-    hit = joins.interval_join(e, _windows(spark, sf), "user_id", "us", "a", "b", 1_800_000_000).select("event_id").distinct().withColumn("hit", F.lit(True))
-    return e.select("event_id").join(hit, "event_id", "left").agg(F.count("*").alias("samples"), F.count_if(F.col("hit").isNotNull()).alias("assigned"), F.count_if(F.col("hit").isNull()).alias("unassigned"))
-
-
-@query("JOI08", f"""
-WITH {_WINDOWS}, v AS (SELECT * FROM w WHERE k % 10 = 1),
-j AS (SELECT v.run, e.event_id, row_number() OVER (PARTITION BY v.run ORDER BY abs(epoch_us(e.ts) - (v.a + 600000000)), epoch_us(e.ts), e.event_id) AS r FROM v JOIN events e ON e.user_id = v.user_id AND epoch_us(e.ts) BETWEEN v.a AND v.b)
-SELECT run, event_id FROM j WHERE r = 1""")
-def nearest_sample(spark, sf):
-    j = joins.interval_join(events(spark, sf), _windows(spark, sf), "user_id", "us", "a", "b", 1_800_000_000).withColumn("target", F.col("a") + 600_000_000)
-    return joins.nearest(j, ["run"], "us", "target", "event_id").select("run", "event_id")
+_WINDOWS = """w AS (SELECT user_id, event_id AS run, epoch_us(ts) AS a, epoch_us(ts) + 1800000000 AS b FROM events),
+j AS (SELECT * FROM (SELECT e.event_id, e.value, e.event_type, epoch_us(e.ts) AS us, w.run, w.a, row_number() OVER (PARTITION BY e.event_id ORDER BY w.b, w.run) AS k
+  FROM events e JOIN w ON e.user_id = w.user_id AND epoch_us(e.ts) BETWEEN w.a AND w.b) WHERE k = 1)"""
 
 
 def _assigned(spark, sf):
@@ -99,24 +66,29 @@ def _assigned(spark, sf):
     return w, joins.first_window(joins.interval_join(e, w, "user_id", "us", "a", "b", 1_800_000_000), "event_id", "b", "run")
 
 
-@query("JOI07 AGG09 INC15")
-def window_summary_all(spark, sf):
+@query("JOI07 AGG09 INC15", f"""
+WITH {_WINDOWS}, s AS (SELECT run, count(*) AS n, round(min(value), 6) AS low, round(avg(value), 3) AS mean, round(max(value), 6) AS high, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM j GROUP BY 1)
+SELECT w.run, coalesce(s.n, 0) AS n_samples, low, mean, high, kinds FROM w LEFT JOIN s ON s.run = w.run""")
+def window_summary(spark, sf):
     """Every run; one whose window got no sample has n_samples 0."""
     w, j = _assigned(spark, sf)
     s = j.groupBy("run").agg(F.count("*").alias("n"), R(F.min("value")).alias("low"), R(F.avg("value"), 3).alias("mean"), R(F.max("value")).alias("high"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
     return w.select("run").join(s, "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n_samples"), "low", "mean", "high", "kinds")
 
 
-@query("JOI07 SNK09 SNK10 INC15")
-def interval_conservation_all(spark, sf):
+@query("JOI07 INC15", f"""
+WITH {_WINDOWS}, t AS (SELECT (SELECT count(*) FROM events) AS samples, (SELECT count(*) FROM j) AS assigned) SELECT samples, assigned, samples - assigned AS unassigned FROM t""")
+def interval_conservation(spark, sf):
     """Windows of every run; assigned counts rows of the assignment, so a sample in two would show."""
     _, j = _assigned(spark, sf)
     samples = events(spark, sf).agg(F.count("*").alias("samples"))
     return samples.crossJoin(j.agg(F.count("*").alias("assigned"))).withColumn("unassigned", F.col("samples") - F.col("assigned"))
 
 
-@query("JOI08")
-def nearest_sample_all(spark, sf):
+@query("JOI08", f"""
+WITH {_WINDOWS}, n AS (SELECT run, event_id, row_number() OVER (PARTITION BY run ORDER BY abs(us - (a + 600000000)), us, event_id) AS r FROM j)
+SELECT w.run, n.event_id FROM w LEFT JOIN n ON n.run = w.run AND n.r = 1""")
+def nearest_sample(spark, sf):
     """Every run; event_id is null where its window got no sample."""
     w, j = _assigned(spark, sf)
     n = joins.nearest(j.withColumn("target", F.col("a") + 600_000_000), ["run"], "us", "target", "event_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ordered
 from ..sources.tables import events, read
 from .registry import query
 
@@ -32,23 +33,12 @@ def pattern_detect(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(T.detect(F.col("text"), ["license", "the", "password="]), ",").alias("names"))
 
 
-@query("SCA05 SCA06 WIN04 R7", r"""
-WITH h AS (SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), chr(0))) AS d FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]'))
+@query("SCA05 WIN04", r"""
+WITH h AS (SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), chr(0))) AS d FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY d) AS lowest FROM h""")
 def near_duplicate_lowest_id(spark, sf):
-    d = read(spark, sf, "documents").filter(F.col("lang") == "en").filter(~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
-    return _lowest(d)
-
-
-@query("SCA05 SCA06 WIN04 R7")
-def near_duplicate_lowest_id_all(spark, sf):
     """Every document of every language; a null text is empty."""
-    return _lowest(read(spark, sf, "documents"))
-
-
-def _lowest(d):
-    h = d.select("doc_id", T.normal_digest(F.coalesce("text", F.lit(""))).alias("d"))
-    return h.join(h.groupBy("d").agg(F.min("doc_id").alias("lowest")), "d").select("doc_id", "lowest")
+    return ordered.lowest_of_group(read(spark, sf, "documents").select("doc_id", T.normal_digest(F.coalesce("text", F.lit(""))).alias("d")), "d", "doc_id")
 
 
 @query("FLT21 SET07 SCA29", r"""
@@ -84,21 +74,15 @@ def header_parse(spark, sf):
     return e.select("event_id", f("user").try_cast("long").alias("user_id"), f("kind").alias("kind"), f("value").alias("value"), f("none").alias("none"))
 
 
-@query("FLT22", r"""
-SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) = trim(regexp_replace(replace(text, chr(10), ' '), '\s+', ' ', 'g')) AS no_op, length(text) <> length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS reformatted FROM documents WHERE NOT contains(text, chr(160))""")
-def no_op_edits(spark, sf):
-    d = read(spark, sf, "documents").filter(~F.contains("text", F.lit(" ")))
-    return _edits(d, r"\s+")
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query("FLT22")
-def no_op_edits_all(spark, sf):
+@query("FLT22", rf"""
+SELECT doc_id, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) = trim(regexp_replace(replace(text, chr(10), ' '), '{_SPACE}', ' ', 'g')) AS no_op, length(text) <> length(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) AS reformatted FROM documents""")
+def no_op_edits(spark, sf):
     """Every document; no-break and other Unicode spaces are white space."""
-    return _edits(read(spark, sf, "documents"), r"(?U)\s+")
-
-
-def _edits(d, space):
-    return d.select("doc_id", T.same_text(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("no_op"), (F.length("text") != F.length(F.trim(F.regexp_replace("text", space, " ")))).alias("reformatted"))
+    d = read(spark, sf, "documents")
+    return d.select("doc_id", T.same_text(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("no_op"), (F.length("text") != F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))).alias("reformatted"))
 
 
 @query("FLT18 SRC22 SCA23", """
@@ -149,8 +133,8 @@ def path_rewrite(spark, sf):
 
 
 @query("RUL31 RUL33", r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM documents WHERE lang = 'en')
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM documents)
 SELECT name, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1 HAVING count(*) > 20""")
 def name_facts(spark, sf):
-    w = read(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1)).alias("name"))
+    w = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1)).alias("name"))
     return w.groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs")).filter("uses > 20")

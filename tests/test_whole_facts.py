@@ -38,7 +38,7 @@ def test_drops_of_every_event(spark, events):
     for k, user, kind, _ in rows:
         param = ["child", "body", "extra"][k % 3]
         want[user] |= {f"{kind}.{param}"} if param not in takes.get(kind, param) else set()
-    assert {r.k: r.drops for r in catalogue.QUERIES["shim_drops_all"](spark, sf).collect()} == {u: ",".join(sorted(d)) for u, d in want.items()}
+    assert {r.k: r.drops for r in catalogue.QUERIES["shim_drops"](spark, sf).collect()} == {u: ",".join(sorted(d)) for u, d in want.items()}
 
 
 def test_relations_of_every_event(spark, events):
@@ -47,4 +47,4 @@ def test_relations_of_every_event(spark, events):
     for k, user, kind, _ in rows:
         side[user][k % 2].add(kind)
     names = {(True, True): "both", (True, False): "added", (False, True): "removed", (False, False): "identical"}
-    assert {r.user_id: r.relation for r in catalogue.QUERIES["binding_relation_all"](spark, sf).collect()} == {u: names[bool(b - a), bool(a - b)] for u, (a, b) in side.items()}
+    assert {r.user_id: r.relation for r in catalogue.QUERIES["binding_relation"](spark, sf).collect()} == {u: names[bool(b - a), bool(a - b)] for u, (a, b) in side.items()}

@@ -17,9 +17,9 @@ def test_near_duplicates_of_all_documents(spark, tmp_path):
     first, want = {}, {}
     for k, t in enumerate(TEXTS):
         want[k] = first.setdefault(tuple(re.findall(r"\w+", (t or "").lower())), k)
-    assert {r.doc_id: r.lowest for r in catalogue.QUERIES["near_duplicate_lowest_id_all"](spark, documents(spark, tmp_path)).collect()} == want
+    assert {r.doc_id: r.lowest for r in catalogue.QUERIES["near_duplicate_lowest_id"](spark, documents(spark, tmp_path)).collect()} == want
 
 
 def test_no_op_edits_of_all_documents(spark, tmp_path):
     want = {k: (None, None) if t is None else (True, len(t) != len(" ".join(t.split()))) for k, t in enumerate(TEXTS)}
-    assert {r.doc_id: (r.no_op, r.reformatted) for r in catalogue.QUERIES["no_op_edits_all"](spark, documents(spark, tmp_path)).collect()} == want
+    assert {r.doc_id: (r.no_op, r.reformatted) for r in catalogue.QUERIES["no_op_edits"](spark, documents(spark, tmp_path)).collect()} == want

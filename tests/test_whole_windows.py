@@ -24,16 +24,16 @@ def events(spark, tmp_path):
 
 def test_every_run_has_a_summary(spark, events):
     sf, rows, own = events
-    got = {r.run: (r.n_samples, r.low, r.high, r.kinds) for r in catalogue.QUERIES["window_summary_all"](spark, sf).collect()}
+    got = {r.run: (r.n_samples, r.low, r.high, r.kinds) for r in catalogue.QUERIES["window_summary"](spark, sf).collect()}
     assert got == {r[0]: (len(o), min(x[3] for x in o), max(x[3] for x in o), ",".join(sorted({x[2] for x in o}))) if (o := own.get(r[0])) else (0, None, None, None) for r in rows}
 
 
 def test_every_sample_is_in_one_window(spark, events):
     sf, rows, _ = events
-    assert [tuple(r) for r in catalogue.QUERIES["interval_conservation_all"](spark, sf).collect()] == [(len(rows), len(rows), 0)]
+    assert [tuple(r) for r in catalogue.QUERIES["interval_conservation"](spark, sf).collect()] == [(len(rows), len(rows), 0)]
 
 
 def test_every_run_has_its_nearest_sample(spark, events):
     sf, rows, own = events
     want = {r[0]: min(own[r[0]], key=lambda x: (abs(x[4] - r[4] - 600), x[4], x[0]))[0] if r[0] in own else None for r in rows}
-    assert {r.run: r.event_id for r in catalogue.QUERIES["nearest_sample_all"](spark, sf).collect()} == want
+    assert {r.run: r.event_id for r in catalogue.QUERIES["nearest_sample"](spark, sf).collect()} == want
