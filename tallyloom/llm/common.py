@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, by a path that only Spark opens."""
@@ -52,20 +52,10 @@ def spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    own = os.path.join(tempfile.gettempdir(), f"tallyloom-checkpoints-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
-    return own
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
