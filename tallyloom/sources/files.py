@@ -35,6 +35,13 @@ def revision_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.filter(at(1) != "").select(at(1).alias("group"), at(2).cast("int").alias("ordinal"), at(3).alias("sha8"), "content")
 
 
+def targets(paths: DataFrame) -> DataFrame:
+    """[SRC07, SRC08, SRC28] group, kind (base, mutation, revision), ordinal and sha8 of files in groups named by digits; other files go."""
+    at = lambda k: F.regexp_extract("path", r"/([0-9]+)/(?:(base)|(mutation)_\w+|(rev)_(\d+)_([0-9a-f]+))\.\w+$", k)
+    kind = F.when(at(2) != "", "base").when(at(3) != "", "mutation").when(at(4) != "", "revision")
+    return paths.select(at(1).alias("group"), kind.alias("kind"), F.nullif(at(5), F.lit("")).try_cast("int").alias("ordinal"), F.nullif(at(6), F.lit("")).alias("sha8")).filter("kind IS NOT NULL")
+
+
 def capture_headers(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
     """[SRC09, SRC10] The first line of each log as typed fields; absent or unreadable ones are null, order does not matter."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
