@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +137,13 @@ def ceiling(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def any_moves(columns: list[str]) -> Column:
     """[FLT03] Whether any of the columns is not zero."""
     return reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns])
+
+
+def inflation_factors(df: DataFrame, features: list[str]) -> DataFrame:
+    """[AGG31] feature, vif: the diagonal of the inverse of the correlation matrix. One aggregate; the matrix has one row for each feature."""
+    pairs = [(i, j) for i in range(len(features)) for j in range(i)]
+    row = df.agg(*[F.corr(features[i], features[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
+    r = np.eye(len(features))
+    for i, j in pairs:
+        r[i, j] = r[j, i] = row[f"r{i}_{j}"]
+    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, np.diag(np.linalg.inv(r)), strict=True)], "feature string, vif double")

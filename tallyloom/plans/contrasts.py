@@ -59,7 +59,7 @@ def widest_pair(spark, sf):
     return p.select("l_orderkey", F.col("l_l_linenumber").cast("long").alias("a"), F.col("r_l_linenumber").cast("long").alias("b"))
 
 
-@query("WIN05 JOI05 INC03", """
+@query("WIN05 JOI05", """
 WITH c AS (SELECT user_id, event_id, event_type, row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT event_id, CASE WHEN ch THEN 'new' ELSE 'unchanged' END AS status, 'rev_' || lpad(CAST(sum(CAST(ch AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS VARCHAR), 3, '0') AS rev FROM c""")
 def change_detection(spark, sf):

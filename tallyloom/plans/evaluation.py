@@ -97,7 +97,7 @@ def discordant_pairs(spark, sf):
     return _scored(spark, sf).groupBy("lang").agg(F.count_if((F.col("z") == 1) & ~b).alias("only_a"), F.count_if((F.col("z") == 0) & b).alias("only_b"), F.count("*").alias("n"))
 
 
-@query("AGG31 AGG32", f"""
+@query("AGG32", f"""
 WITH {_SCORED}, v AS (SELECT lang, score // 500 AS b, count(*) AS m, sum(y) AS p FROM s GROUP BY 1, 2)
 SELECT count(*) AS vectors, count(*) FILTER (p > 0 AND p < m) AS conflicting, round(sum(greatest(p, m - p))::DOUBLE / sum(m), 6) AS ceiling FROM v""")
 def attainable_ceiling(spark, sf):

@@ -11,7 +11,7 @@ from .registry import query
 R = lambda c, n=6: F.round(c, n)
 
 
-@query("RUL14 RUL21 RUL38 SCA25", """
+@query("RUL14 SCA25", """
 WITH b AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS t, count(*) FILTER (event_type = 'click') AS e, count(*) FILTER (event_type = 'error') % 3 AS u, user_id % 10 = 3 AS lazy FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN lazy THEN 'none' WHEN t >= e + u THEN CASE WHEN t > e THEN 'then' ELSE 'none' END WHEN e >= t + u THEN 'else' ELSE 'none' END AS choice FROM b""")
 def branch_choice(spark, sf):
@@ -82,7 +82,7 @@ def reaches_build(spark, sf):
     return facts.reaches_build(b, m).select(F.col("binding").alias("c_custkey"), "reaches")
 
 
-@query("INC26 INC28 INC30", """
+@query("INC26", """
 WITH a AS (SELECT source, CAST(count(*) AS BIGINT) AS d, list(DISTINCT lang) AS n FROM documents WHERE n_chars > 1500 GROUP BY 1), s AS (SELECT source, CAST(count(*) AS BIGINT) AS d, list(DISTINCT lang) AS n FROM documents WHERE n_chars > 2500 AND source <> 'src1' GROUP BY 1)
 SELECT a.source, CASE WHEN s.source IS NULL THEN 'new' WHEN a.d = s.d THEN 'same' WHEN list_sort(a.n) <> list_sort(s.n) THEN 'changed' ELSE 'unknown' END AS action FROM a LEFT JOIN s USING (source)""")
 def authored_store(spark, sf):
@@ -114,7 +114,7 @@ def problem_lists(spark, sf):
     return g.select("source", "n", F.nullif(F.array_join(F.transform("b", lambda x: x.cast("string")), ","), F.lit("")).alias("problems"))
 
 
-@query("INC14 INC09 INC11", """
+@query("INC14", """
 SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS unpaired, (SELECT count(*) FROM customer) AS baseline""")
 def paired_tables(spark, sf):
     o, c, l = (read(spark, sf, t) for t in ("orders", "customer", "lineitem"))  # noqa: E741

@@ -44,7 +44,7 @@ def precedence_merge(spark, sf):
     return joins.precedence_merge([s, c, n], ["k"]).select(F.col("k").cast("long").alias("k"), "origin", "n", F.col("source").cast("long").alias("source"))
 
 
-@query("JOI11 JOI24", """
+@query("JOI11", """
 WITH m AS (SELECT doc_id, quality::BIGINT AS v FROM labels), c AS (SELECT doc_id, n_chars % 2 AS v FROM documents)
 SELECT c.doc_id, coalesce(m.v, c.v) AS v, CASE WHEN m.doc_id IS NULL THEN 'checkpoint' ELSE 'manifest' END AS origin FROM c LEFT JOIN m USING (doc_id)""")
 def manifest_wins(spark, sf):
@@ -53,7 +53,7 @@ def manifest_wins(spark, sf):
     return c.join(m, "doc_id", "left").select("doc_id", F.coalesce("m", "c").alias("v"), F.when(F.col("has").isNull(), "checkpoint").otherwise("manifest").alias("origin"))
 
 
-@query("INC05 INC06 INC07", """
+@query("INC05", """
 WITH cache AS (SELECT doc_id AS id, n_chars AS size, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE 'now' END AS stamp FROM documents WHERE doc_id % 5 <> 0)
 SELECT d.doc_id, c.id IS NOT NULL AS hit FROM documents d LEFT JOIN cache c ON c.id = d.doc_id AND c.size = d.n_chars AND c.stamp = 'now'""")
 def verdict_cache(spark, sf):
@@ -101,30 +101,18 @@ def _merged(old, fresh):
     return m.groupBy("gid").agg(F.array_join(F.array_sort(F.collect_list("b")), ",").alias("bindings"))
 
 
-@query("INC27 RUL19", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'measured' WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'warn' ELSE 'free' END AS guard FROM customer")
+@query("INC27", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'measured' WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'warn' ELSE 'free' END AS guard FROM customer")
 def measurement_guard(spark, sf):
     o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("done"))
     return read(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.when(F.col("done"), "measured").when(F.col("done").isNotNull(), "warn").otherwise("free").alias("guard"))
 
 
-@query("INC13 INC29", "SELECT user_id, event_type, CASE WHEN count(*) >= 15 THEN 'skip' WHEN count(*) >= 10 THEN 'redo' ELSE 'drop' END AS action FROM events GROUP BY 1, 2")
+@query("INC13", "SELECT user_id, event_type, CASE WHEN count(*) >= 15 THEN 'skip' WHEN count(*) >= 10 THEN 'redo' ELSE 'drop' END AS action FROM events GROUP BY 1, 2")
 def resume_actions(spark, sf):
     n = F.count("*")
     return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.when(n >= 15, "skip").when(n >= 10, "redo").otherwise("drop").alias("action"))
 
 
-@query("RUL18", """
-WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 5 AS errors FROM events), l AS (SELECT *, lag(errors) OVER (PARTITION BY user_id ORDER BY event_id) AS was, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS round FROM e)
-SELECT event_id, CASE WHEN errors = 0 THEN 'clean' WHEN was IS NOT NULL AND errors >= was THEN 'no_progress' WHEN round > 50 THEN 'exhausted' ELSE 'again' END AS verdict FROM l""")
-def prepare_rounds(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = read(spark, sf, "events").select("user_id", "event_id", F.pmod(F.floor("value").cast("long"), F.lit(5)).alias("errors"))
-    was = F.lag("errors").over(w)
-    return e.select("event_id", F.when(F.col("errors") == 0, "clean").when(was.isNotNull() & (F.col("errors") >= was), "no_progress").when(F.row_number().over(w) > 50, "exhausted").otherwise("again").alias("verdict"))
-
-
 @query("INC10 MLE28 MLE30", "SELECT 'orders' AS name, count(*) AS rows, count(*) = count(DISTINCT o_orderkey) AS unique_key, count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders")
 def rebuild_gate(spark, sf):
     return read(spark, sf, "orders").agg(F.lit("orders").alias("name"), F.count("*").alias("rows"), (F.count("*") == F.count_distinct("o_orderkey")).alias("unique_key"), F.count_if(F.col("o_orderkey").isNull()).alias("nulls")).select("name", "rows", "unique_key", "nulls")
@@ -136,13 +124,13 @@ def missing_with_reason(spark, sf):
     return read(spark, sf, "nation").select("n_nationkey").join(s, "n_nationkey", "left").select(F.col("n_nationkey").cast("long").alias("wanted"), F.when(F.col("s").isNull(), "not produced").otherwise("ok").alias("reason"))
 
 
-@query("JOI02 JOI28 AGG06", "SELECT o_custkey, count(*) AS n, round(median(o_totalprice), 4) AS median, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey), ',') AS keys FROM orders GROUP BY 1")
+@query("JOI02 AGG06", "SELECT o_custkey, count(*) AS n, round(median(o_totalprice), 4) AS median, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey), ',') AS keys FROM orders GROUP BY 1")
 def medians_by_role(spark, sf):
     g = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), R(F.median("o_totalprice"), 4).alias("median"), F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     return g.select("o_custkey", "n", "median", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("keys"))
 
 
-@query("JOI26 WIN03", "SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("WIN03", "SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def trusted_next(spark, sf):
     from pyspark.sql import Window
 
@@ -151,7 +139,7 @@ def trusted_next(spark, sf):
     return o.select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next"))
 
 
-@query("SRT02 SRT08 WIN19 FLT07 FLT08 FLT09", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 20 AND p_retailprice >= 1000 AND p_type IS NOT NULL")
+@query("SRT08 FLT07", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 20 AND p_retailprice >= 1000 AND p_type IS NOT NULL")
 def thresholds(spark, sf):
     return read(spark, sf, "part").filter("p_size >= 20 AND p_retailprice >= 1000 AND p_type IS NOT NULL").select("p_partkey", "p_brand").sortWithinPartitions("p_brand", "p_partkey")
 
@@ -169,7 +157,7 @@ def unseen_candidates(spark, sf):
     return joins.work_list(d, read(spark, sf, "labels"), ["doc_id"]).groupBy("source").agg(F.min("doc_id").alias("first_doc"))
 
 
-@query("FLT14 R14", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'absent' WHEN l.quality <> 1 THEN 'unresolved' ELSE 'extracted' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("FLT14", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'absent' WHEN l.quality <> 1 THEN 'unresolved' ELSE 'extracted' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def closure_status(spark, sf):
     l = read(spark, sf, "labels").select("doc_id", "quality", F.lit(1).alias("h"))  # noqa: E741
     return read(spark, sf, "documents").select("doc_id").join(l, "doc_id", "left").select("doc_id", F.when(F.col("h").isNull(), "absent").when(F.col("quality") != 1, "unresolved").otherwise("extracted").alias("status"))

@@ -21,7 +21,7 @@ def _verdicts(spark, sf):
     return rules.group_verdict(fired, HARD, SOFT)
 
 
-@query("RUL01 RUL02 R0 R1 R2 R3 R4 R5 R6", _FIRED + " SELECT doc_id, array_to_string(ex, ',') AS excluded_by, array_to_string(fl, ',') AS flagged_by, len(ex) = 0 AS eligible FROM v")
+@query("RUL01 RUL02", _FIRED + " SELECT doc_id, array_to_string(ex, ',') AS excluded_by, array_to_string(fl, ',') AS flagged_by, len(ex) = 0 AS eligible FROM v")
 def hard_soft_verdict(spark, sf):
     return _verdicts(spark, sf).select("doc_id", F.array_join("excluded_by", ",").alias("excluded_by"), F.array_join("flagged_by", ",").alias("flagged_by"), "eligible")
 
@@ -31,7 +31,7 @@ def rule_counts(spark, sf):
     return rules.rule_counts(_verdicts(spark, sf))
 
 
-@query("AGG12 AGG16", _FIRED + " SELECT CASE WHEN len(ex) = 0 THEN 'eligible' ELSE 'excluded' END AS verdict, count(*) AS n, count(*) FILTER (len(fl) > 0) AS flagged FROM v GROUP BY 1")
+@query("AGG12", _FIRED + " SELECT CASE WHEN len(ex) = 0 THEN 'eligible' ELSE 'excluded' END AS verdict, count(*) AS n, count(*) FILTER (len(fl) > 0) AS flagged FROM v GROUP BY 1")
 def verdict_counts(spark, sf):
     return _verdicts(spark, sf).groupBy(F.when(F.col("eligible"), "eligible").otherwise("excluded").alias("verdict")).agg(F.count("*").alias("n"), F.count_if(F.size("flagged_by") > 0).alias("flagged"))
 
@@ -69,7 +69,7 @@ def funnel(spark, sf):
     return rules.funnel(flags, {"all": F.lit(True), "english": F.col("e"), "long": F.col("l"), "clean": F.col("c")}, ["source"])
 
 
-@query("AGG01 AGG13 AGG14 JOI01 JOI12", """
+@query("AGG01 AGG13 AGG14 JOI01", """
 SELECT n.n_name, count(*) AS orders, round(avg(o.o_totalprice), 4) AS mean, count(DISTINCT o.o_custkey) AS customers, round(count(*)::DOUBLE / sum(count(*)) OVER (), 4) AS share
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1""")
 def project_share(spark, sf):
@@ -94,7 +94,7 @@ def totals(spark, sf):
     return read(spark, sf, "lineitem").agg(F.count("*").alias("total"), F.count_distinct("l_orderkey").alias("scopes"), F.count_if(F.col("l_quantity") > 25).alias("measurable"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("held"), R(F.avg((F.col("l_discount") != 0).cast("int")), 4).alias("nonzero_share"))
 
 
-@query("AGG18 R10 R11 R12", """
+@query("AGG18", """
 WITH v AS (SELECT d.doc_id, l.quality = 1 AS verified, l.toxic AS errors FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT count(*) FILTER (verified IS NOT NULL) AS seen, count(*) FILTER (verified AND errors = 0) AS clean, count(*) FILTER (verified IS NOT NULL AND (NOT verified OR coalesce(errors, 0) > 0)) AS unclean, count(*) FILTER (verified IS NULL) AS unknown FROM v""")
 def verification_summary(spark, sf):
@@ -118,7 +118,7 @@ def worst_groups(spark, sf):
     return read(spark, sf, "documents").filter("n_chars < 1000").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
-@query("R8 R9 RUL10 JOI20", """
+@query("RUL10 JOI20", """
 SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1 HAVING count(*) < 2""")
 def no_pair(spark, sf):
     barred = read(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
@@ -139,7 +139,7 @@ def representative(spark, sf):
     return read(spark, sf, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct((F.col("lang") != "en").cast("int"), "doc_id")).alias("representative"))
 
 
-@query("RUL11 R21 R22", """
+@query("RUL11", """
 WITH v AS (SELECT user_id, CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS severity, event_type FROM events)
 SELECT user_id, arg_max(event_type, (severity, event_type)) AS verdict, max(severity)::BIGINT AS severity FROM v GROUP BY 1""")
 def severity_fold(spark, sf):
@@ -148,7 +148,7 @@ def severity_fold(spark, sf):
     return v.groupBy("user_id").agg(F.max_by("event_type", F.struct("s", "event_type")).alias("verdict"), F.max("s").alias("severity"))
 
 
-@query("RUL34 RUL36", """
+@query("RUL34", """
 WITH b AS (SELECT c_custkey, c_acctbal FROM customer), s AS (SELECT * FROM (VALUES (-1000.0, 0.0, 'low'), (0.0, 5000.0, 'mid'), (1000.0, 3000.0, 'core'), (5000.0, 20000.0, 'high')) t(a, z, region))
 SELECT c_custkey, arg_max(region, a) AS region FROM b JOIN s ON c_acctbal >= a AND c_acctbal < z GROUP BY 1""")
 def innermost_span(spark, sf):
@@ -160,21 +160,12 @@ def innermost_span(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", pick.alias("region")).filter("region IS NOT NULL")
 
 
-@query("JOI13 R18 R17", """
-SELECT d.source, count(*) AS docs, CASE WHEN n.n_name IS NULL THEN 'unattributed' WHEN n.n_regionkey = 1 THEN 'disallowed' ELSE 'pass' END AS licence
-FROM documents d LEFT JOIN nation n ON n.n_nationkey = TRY_CAST(substr(d.source, 4) AS INT) - 2 GROUP BY d.source, n.n_name, n.n_regionkey""")
-def missing_licence_fires(spark, sf):
-    d = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("docs")).withColumn("k", F.substring("source", 4, 9).try_cast("int") - 2)
-    n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")
-    return d.join(n, "k", "left").select("source", "docs", F.when(F.col("n_name").isNull(), "unattributed").when(F.col("n_regionkey") == 1, "disallowed").otherwise("pass").alias("licence"))
-
-
 @query("ext rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus)::BIGINT AS g1, grouping(o_orderpriority)::BIGINT AS g2 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def rollup_strata(spark, sf):
     return read(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping("o_orderstatus").cast("long").alias("g1"), F.grouping("o_orderpriority").cast("long").alias("g2"))
 
 
-@query("FLT01 FLT05 AGG10 SCA27", """
+@query("FLT01 FLT05 AGG10", """
 SELECT l_returnflag, l_linestatus, count(*) AS n, round(max(l_quantity), 2) AS most, count(*) FILTER (abs(l_discount - 0.05) < 0.011) AS near, count(*) FILTER (l_returnflag = 'R') AS is_r, count(*) FILTER (l_returnflag = 'N') AS is_n FROM lineitem GROUP BY 1, 2""")
 def strata(spark, sf):
     f = F.col("l_returnflag")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import facts, rules, stats
 from ..operators import sourcerules as S
+from ..sources import sinks
 from ..sources.tables import read
 from .registry import query
 
@@ -291,3 +292,72 @@ def totals_block(spark, sf):
         F.count_distinct("o_custkey").alias("repositories"), some(ok, "o_custkey").alias("repositories_eligible"), F.count_if(wide).alias("measurable"), some(wide, "l_orderkey").alias("scopes_measurable"), F.count_if(F.col("o_orderstatus") == "P").alias("held"),
         F.count_if(F.col("l_discount") == 0).alias("zero_delta"), F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.count_if(F.col("l_linestatus") == "F").alias("finished"), F.count_distinct("l_suppkey").alias("suppliers"), F.round(F.count_if(ok) / F.count("*"), 4).alias("share"),
     )
+
+
+@query("JOI28", """
+SELECT doc_id, doc_id % 5 AS fold, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""")
+def fold_positions(spark, sf):
+    """Stored folds are lists of ids; each id finds the position of its row. Positions come from counts by range of ids, then inside a range."""
+    d = read(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 1000).alias("range"))
+    folds = d.groupBy((F.col("doc_id") % 5).alias("fold")).agg(F.collect_list("doc_id").alias("ids")).select("fold", F.explode("ids").alias("doc_id"))
+    n = d.groupBy("range").agg(F.count("*").alias("n"))
+    below = n.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    at = d.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))).join(below, "range")
+    return folds.join(at, "doc_id").select("doc_id", "fold", (F.col("below") + F.col("k") - 1).alias("position"))
+
+
+@query("JOI26 JOI24", """
+WITH gate AS (SELECT c_nationkey AS scope, c_custkey AS gid FROM customer WHERE c_acctbal > 0)
+SELECT g.scope::BIGINT AS scope, o.o_orderdate::DATE::VARCHAR AS day, string_agg(g.gid || ':' || o.o_orderkey, ',' ORDER BY g.gid, o.o_orderkey) AS revisions FROM gate g JOIN orders o ON o.o_custkey = g.gid WHERE o.o_orderstatus <> 'P' GROUP BY 1, 2""")
+def needed_revisions(spark, sf):
+    """Trusted groups of a scope, and by commit (here: day) their revisions that still need attribution, keyed by group and file."""
+    gate = read(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_nationkey").cast("long").alias("scope"), F.col("c_custkey").alias("gid"))
+    o = read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("gid"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    g = gate.join(o, "gid").groupBy("scope", "day").agg(F.array_sort(F.collect_list(F.struct("gid", "o_orderkey"))).alias("r"))
+    return g.select("scope", "day", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["gid"].cast("string"), x["o_orderkey"].cast("string"))), ",").alias("revisions"))
+
+
+@query("SCA16 SCA17 SCA18", """
+SELECT o_orderkey, 3 + (o_orderkey % 2) AS n, 'f(' || o_custkey || ', [1, 2])' AS first, CASE WHEN o_orderkey % 2 = 1 THEN '''a, b''' ELSE '{k: (1, 2)}' END AS last FROM orders""")
+def split_arguments(spark, sf):
+    """Argument lists cut at commas outside brackets and strings."""
+    k = F.col("o_orderkey") % 2
+    text = F.concat(F.lit("f("), F.col("o_custkey").cast("string"), F.lit(", [1, 2]), "), F.lit("x"), F.when(k == 1, ", y, 'a, b'").otherwise(", {k: (1, 2)}"))
+    parts = read(spark, sf, "orders").select("o_orderkey", facts.split_top_level(text).alias("p"))
+    return parts.select("o_orderkey", F.size("p").cast("long").alias("n"), F.col("p")[0].alias("first"), F.element_at("p", -1).alias("last"))
+
+
+@query("RUL07", "SELECT count(*) AS rows FROM orders WHERE o_orderstatus <> 'P'")
+def scoped_rows(spark, sf):
+    """Rows that may be used; one without a scope fails the job."""
+    o = read(spark, sf, "orders").filter("o_orderstatus <> 'P'")
+    sinks.require_none(o.filter("o_custkey IS NULL"), "a row without a scope")
+    return o.agg(F.count("*").alias("rows"))
+
+
+@query("SCA29 SCA23", """
+SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS code_lines, min(o_orderkey) FILTER (o_orderstatus = 'F') AS first_exception FROM orders GROUP BY 1""")
+def stripped_log(spark, sf):
+    """Comment and banner lines go from a text; of the rest the first exception line gives its message."""
+    k = F.col("o_orderkey").cast("string")
+    line = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("// note "), k)).when(F.col("o_orderstatus") == "F", F.concat(F.lit("Exception: no "), k, F.lit(" // seen"))).otherwise(F.concat(F.lit("run "), k))
+    t = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l"))))["l"], "\n").alias("t"))
+    code = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(F.regexp_replace(x, r"//.*$", ""))), lambda x: x != "")
+    hit = F.filter(code, lambda x: F.startswith(x, F.lit("Exception: ")))
+    return t.select("o_custkey", F.size(code).cast("long").alias("code_lines"), F.regexp_extract(F.try_element_at(hit, F.lit(1)), r"no (\d+)", 1).try_cast("long").alias("first_exception"))
+
+
+@query("INC25", """
+WITH RECURSIVE need(node, v) AS (SELECT n_nationkey, n_regionkey FROM nation), f(node, v) AS (SELECT node, v FROM need UNION SELECT n.n_nationkey, f.v FROM f JOIN nation n ON n.n_nationkey = f.node + 3 WHERE f.v > n.n_regionkey)
+SELECT node::BIGINT AS node, max(v)::BIGINT AS level FROM f GROUP BY 1""")
+def override_rounds(spark, sf):
+    """Overrides accumulate: a version that one package asks for binds those that depend on it, round by round until none is new."""
+    n = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").cast("long").alias("level"))
+    return facts.propagate(n, n.select((F.col("node") - 3).alias("src"), "node"))
+
+
+@query("AGG31", """
+WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r)
+SELECT 'l_quantity' AS feature, round((1 - c * c) / det, 6) AS vif FROM d UNION ALL SELECT 'l_extendedprice', round((1 - b * b) / det, 6) FROM d UNION ALL SELECT 'l_discount', round((1 - a * a) / det, 6) FROM d""")
+def inflation_factors(spark, sf):
+    return stats.inflation_factors(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).select("feature", F.round("vif", 6).alias("vif"))

@@ -41,7 +41,7 @@ def near_duplicate_lowest_id(spark, sf):
     return ordered.lowest_of_group(read(spark, sf, "documents").select("doc_id", T.normal_digest(F.coalesce("text", F.lit(""))).alias("d")), "d", "doc_id")
 
 
-@query("FLT21 SET07 SCA29", r"""
+@query("FLT21", r"""
 WITH t AS (SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') AS h FROM pages)
 SELECT page_id, contains(h, '<script') AS script, contains(h, '<style') AS style, len(list_distinct(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)))::BIGINT AS tags FROM t""")
 def forbidden_constructs(spark, sf):
@@ -50,7 +50,7 @@ def forbidden_constructs(spark, sf):
     return p.select("page_id", F.contains("h", F.lit("<script")).alias("script"), F.contains("h", F.lit("<style")).alias("style"), F.size(F.array_distinct(F.regexp_extract_all("h", F.lit("<([a-z][a-z0-9]*)"), 1))).cast("long").alias("tags"))
 
 
-@query("SCA01 SRC26", r"""
+@query("SCA01", r"""
 WITH u AS (SELECT page_id, string_split(regexp_replace(regexp_replace(trim(url), '(\.git)?/*$', ''), '^[a-z]+://', ''), '/') AS p FROM pages)
 SELECT page_id, lower(concat_ws('_', p[-2], p[-1])) AS repo_key FROM u""")
 def repo_keys(spark, sf):
@@ -64,7 +64,7 @@ def version_floor(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.version_at_least(F.col("url"), r"([0-9]+)()()", (2, 12, 0)).alias("modern"))
 
 
-@query("SRC09 SRC10 SRC12", r"""
+@query("SRC09 SRC10", r"""
 WITH l AS (SELECT event_id, 'user=' || user_id || ' kind=' || event_type || ' value= ok=1' AS line FROM events)
 SELECT event_id, TRY_CAST(regexp_extract(line, '(?:^|\s)user=(\S*)', 1) AS BIGINT) AS user_id, nullif(regexp_extract(line, '(?:^|\s)kind=(\S*)', 1), '') AS kind, nullif(regexp_extract(line, '(?:^|\s)value=(\S*)', 1), '') AS value, nullif(regexp_extract(line, '(?:^|\s)none=(\S*)', 1), '') AS none FROM l""")
 def header_parse(spark, sf):
@@ -85,7 +85,7 @@ def no_op_edits(spark, sf):
     return d.select("doc_id", T.same_text(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("no_op"), (F.length("text") != F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))).alias("reformatted"))
 
 
-@query("FLT18 SRC22 SCA23", """
+@query("FLT18", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
 SELECT doc_id, count(*) AS lines, min(pos) FILTER (contains(line, 'the')) AS first_hit, count(*) FILTER (contains(line, 'the')) AS hits FROM l GROUP BY 1""")
 def line_scan(spark, sf):
@@ -94,14 +94,6 @@ def line_scan(spark, sf):
     return l.groupBy("doc_id").agg(F.count("*").alias("lines"), F.min(F.when(hit, F.col("pos").cast("long"))).alias("first_hit"), F.count_if(hit).alias("hits"))
 
 
-@query("SRC23", r"""
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
-SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM l GROUP BY 1""")
-def link_extract(spark, sf):
-    l = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))  # noqa: E741
-    return l.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
-
-
 @query("SCA02 SCA04 SCA07", """
 SELECT conv_id, substr(sha256(string_agg(role || '::' || text, chr(0) ORDER BY turn)), 1, 16) AS digest FROM conversations GROUP BY 1""")
 def content_digest(spark, sf):
@@ -109,7 +101,7 @@ def content_digest(spark, sf):
     return c.select("conv_id", F.substring(F.sha2(F.array_join("x.t", "\x00"), 256), 1, 16).alias("digest"))
 
 
-@query("SCA14 SCA20", """
+@query("SCA14", """
 SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh%02dm', CAST(s // 3600 AS BIGINT), CAST(s % 3600 // 60 AS BIGINT)) WHEN s >= 60 THEN printf('%dm%02ds', CAST(s // 60 AS BIGINT), CAST(s % 60 AS BIGINT)) ELSE printf('%ds', CAST(s AS BIGINT)) END AS elapsed
 FROM (SELECT event_id, (epoch_us(ts) // 1000000) % 10000 AS s FROM events)""")
 def elapsed_format(spark, sf):
@@ -119,20 +111,7 @@ def elapsed_format(spark, sf):
     return e.select("event_id", F.when(s >= 3600, F.format_string("%dh%02dm", div(s, 3600), div(s % 3600, 60))).when(s >= 60, F.format_string("%dm%02ds", div(s, 60), s % 60)).otherwise(F.format_string("%ds", s)).alias("elapsed"))
 
 
-@query("SCA24", """SELECT doc_id, CASE WHEN regexp_matches(text, '^!') THEN 'negated' WHEN regexp_matches(text, '^[A-Z][a-z]+ ') THEN 'plain' WHEN contains(text, '==') THEN 'equals' ELSE 'none' END AS form FROM documents""")
-def condition_table(spark, sf):
-    t = F.col("text")
-    return read(spark, sf, "documents").select("doc_id", F.when(t.rlike("^!"), "negated").when(t.rlike("^[A-Z][a-z]+ "), "plain").when(F.contains(t, F.lit("==")), "equals").otherwise("none").alias("form"))
-
-
-@query("RUL28 RUL29 RUL30 SNK07", r"""
-SELECT page_id, regexp_replace(regexp_replace(html, 'https?://[a-z.]+', 'site://', 'g'), '<script[^>]*>', '<script>', 'g') = html AS untouched, length(regexp_replace(html, 'https?://[a-z.]+', 'site://', 'g')) AS n FROM pages""")
-def path_rewrite(spark, sf):
-    h = F.regexp_replace("html", "https?://[a-z.]+", "site://")
-    return read(spark, sf, "pages").select("page_id", (F.regexp_replace(h, "<script[^>]*>", "<script>") == F.col("html")).alias("untouched"), F.length(h).cast("long").alias("n"))
-
-
-@query("RUL31 RUL33", r"""
+@query("RUL31", r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM documents)
 SELECT name, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1 HAVING count(*) > 20""")
 def name_facts(spark, sf):
