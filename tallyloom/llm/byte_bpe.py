@@ -212,7 +212,7 @@ class ByteBpe:
         """Each text's ids, joined by commas; an empty text has the empty string."""
         parts = [self.split(t) for t in texts]
         kept, known = self.pieces, self.words
-        new = {p: self.pretokens(p) for p in set(chain.from_iterable(parts)).difference(kept)}
+        new = {p: self.pretokens(p) for p in set(chain.from_iterable(parts)) if p not in kept}
         words = self.merged([w for w in set(chain.from_iterable(new.values())) if w not in known])
         ids = {p: ",".join([known[w] if w in known else words[w] for w in ws]) for p, ws in new.items()}
         kept.more = ids

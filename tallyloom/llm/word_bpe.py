@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from functools import lru_cache
 from itertools import chain, islice
@@ -14,6 +15,8 @@ from tokenizers import Tokenizer
 
 #: Chunks and pre-tokens that a worker remembers; later ones are worked out each time. The common ones come early.
 CHUNKS, WORDS = 400_000, 800_000
+#: A worker is one of many on its machine: no threads of the library beside it.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Symbols of a pre-token beyond which a heap finds the next pair.
 HEAP = 48
 
@@ -142,20 +145,31 @@ class Counter(dict):
 
 
 class Ids(dict):
-    """Ids of a chunk without white space as little-endian unsigned 32-bit bytes, remembered; the library encodes new ones."""
+    """Ids of a chunk without white space as little-endian unsigned 32-bit bytes, remembered; the library encodes new pre-tokens."""
 
-    def __init__(self, library: Tokenizer):
-        self.library, self.more = library, {}
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.rest, self.more = bpe, {}, {}
 
     def __missing__(self, chunk: str) -> bytes:
         return self.more[chunk]
 
+    def parts(self, chunk: str) -> list[str]:
+        """Pre-tokens of an ASCII chunk; any other chunk, or one with a special string, whole."""
+        if not chunk.isascii() or "<|" in chunk:
+            return [chunk]
+        low = chunk.lower()
+        return [low] if low.isalpha() else self.bpe.word.findall(low)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(self))
-        self.more = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = [b"".join(map(self.__getitem__, p)) for p in parts]
-        self.update(islice(self.more.items(), max(0, CHUNKS - len(self))))
+        split = [chunks(t) for t in texts]
+        new = {c: self.parts(c) for c in set(chain.from_iterable(split)) if c not in self}
+        words = [w for w in set(chain.from_iterable(new.values())) if w not in self.rest]
+        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.bpe.library.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        known = self.rest
+        self.more = {c: b"".join([known[w] if w in known else found[w] for w in ws]) for c, ws in new.items()}
+        out = [b"".join(map(self.__getitem__, c)) for c in split]
+        for memory, more, most in ((self, self.more, CHUNKS), (known, found, WORDS)):
+            memory.update(islice(more.items(), max(0, most - len(memory))))
         self.more = {}
         return out
 
@@ -182,4 +196,4 @@ def counter(path: str, whole: frozenset) -> Counter:
 
 @lru_cache(maxsize=2)
 def ids(path: str) -> Ids:
-    return Ids(Tokenizer.from_file(path))
+    return Ids(load(path))

@@ -323,7 +323,48 @@ def test_suffix_dedup_equals_brute_force(frame, corpus, small_shards, docs, empt
         for s in reversed(r.removed_spans):
             del raw[s.start : s.start + s.length]
         assert bytes(raw) == want[k] and r.n_removed == r.n_bytes - len(raw)
-    assert suffix_dedup.suffix_dedup(docs).count() == docs.count() and suffix_dedup.suffix_dedup(empty).count() == 0
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_odd_rows_of_the_substring_operators(spark):
+    """Null texts, null ids and repeated rows: the values, not only that there is one for each row."""
+    long, other = "".join(f"word{k} " for k in range(60)), "".join(f"term{k} " for k in range(60))
+    rows = [(7, long, 1), (7, long, 1), (9, long, 1), (None, long, 1), (5, None, 1), (None, None, 1), (8, "", 1), (4, other, 1), (None, other, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int").withColumn("count", F.lit(1))
+    n, m = len(long.encode()), len(other.encode())
+    want = Counter({(7, n, 0): 2, (9, n, n): 1, (None, n, n): 1, (5, 0, 0): 1, (None, 0, 0): 1, (8, 0, 0): 1, (4, m, 0): 1, (None, m, m): 1})
+    assert Counter(map(tuple, suffix_dedup.suffix_dedup(df).select("doc_id", "n_bytes", "n_removed").collect())) == want
+    got = chunk_dedup.substring_dedup(df)
+    assert Counter(map(tuple, got.select("doc_id", "n_bytes", "n_removed").collect())) == want
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({(7, long): 2, (9, ""): 1, (None, ""): 2, (5, None): 1, (None, None): 1, (8, ""): 1, (4, other): 1}) 
+
+
+def test_clashing_columns_and_null_ids(spark, docs):
+    wide = docs.withColumns({c: F.lit(1) for c in ("n", "node", "row", "length", "part", "n_bytes", "piece", "root", "token")})
+    assert token_counts.token_counts(wide, WORD).count() == packing.pack_documents(wide, WORD, with_ids=False).filter("piece = 0").count() == docs.count()
+    assert byte_bpe.encode_decode(wide, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).count() == suffix_dedup.suffix_dedup(wide).count() == docs.count()
+    kept = jaccard_join.keep_representatives(wide)
+    assert kept.columns == wide.columns and Counter(r.doc_id for r in kept.filter("doc_id >= 100 OR doc_id IS NULL").collect()) == Counter({100: 1, None: 1})
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got[(None, 1)] == got[(101, 1)] == got[(100, 1)] == 100 and got[(None, 0)] is None and got[(0, 0)] == 0
+
+
+def test_chained_near_copies_are_one_component(spark):
+    """Each text differs from the one before in a word or two: neighbours link, distant ones share nothing."""
+    rng = random.Random(5)
+    w, rows = [f"w{rng.randint(0, 10**6)}" for _ in range(60)], []
+    for i in range(400):
+        w[rng.randrange(60)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    sets, root = [shingle_set(t) for _, t in rows], list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
 
 
 def test_suffix_dedup_of_hot_keys(frame, small_shards, monkeypatch):
@@ -381,7 +422,7 @@ def test_chunk_dedup_equals_brute_force(frame, corpus, small_shards, docs, empty
     wide = frame.withColumn("bucket", F.lit(3)).withColumn("n_bytes", F.lit("x"))
     got = chunk_dedup.substring_dedup(wide)
     assert {r.doc_id: r.text for r in got.collect()} == want and got.select("bucket").distinct().first()[0] == 3
-    assert chunk_dedup.substring_dedup(docs).count() == docs.count() and chunk_dedup.substring_dedup(empty).count() == 0
+    assert chunk_dedup.substring_dedup(empty).count() == 0
 
 
 def test_an_insertion_moves_few_cuts():
@@ -423,16 +464,3 @@ def test_registered_queries_with_sql(spark):
         cols = sorted(got.columns)
         want = con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
         assert Counter(map(tuple, got.select(*cols).collect())) == Counter(want), name
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == docs.columns, name
-        docs = spark.createDataFrame(out.collect(), out.schema)
-        assert docs.count() > 100
-    packed = p.run(spark, SMALL)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
