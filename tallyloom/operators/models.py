@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREE = "struct<feature: array<int>, threshold: array<double>, left: array<int>, right: array<int>, p: array<double>>"
@@ -81,3 +81,52 @@ def permutation_importance(df: DataFrame, trees: list[dict], features: str, labe
 
     parts = df.select(features, label).mapInPandas(run, "feature int, lost long, n long")
     return parts.groupBy("feature").agg((F.sum("lost") / F.sum("n")).alias("drop"))
+
+
+def leave_one_out_bayes(df: DataFrame, keys: list[str], group: str, features: list[str], label: str) -> DataFrame:
+    """[MLE10, MLE11] keys, group, n, hits: rows of each group that a naive Bayes learner, trained on all other groups, classes right.
+
+    Counts of 0/1 features by label are sums, so training without a group is all sums less its own: one aggregation for
+    every model, then one pass that scores the rows. Counts are smoothed by one; a tie is class 0.
+    """
+    y = F.col(label).cast("int")
+    sums = [F.sum(F.when(y == c, 1).otherwise(0)).alias(f"n{c}") for c in (0, 1)] + [F.sum(F.when(y == c, F.col(f)).otherwise(0)).alias(f"{f}_{c}") for f in features for c in (0, 1)]
+    own = df.groupBy(*keys, group).agg(*sums)
+    names = [c for c in own.columns if c not in (*keys, group)]
+    every = own.groupBy(*keys).agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    rest = (own.join(every, keys) if keys else own.crossJoin(F.broadcast(every))).select(*keys, group, *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in names])
+    p = lambda f, c: (F.col(f"{f}_{c}") + 1) / (F.col(f"n{c}") + 2)
+    score = F.log((F.col("n1") + 1) / (F.col("n0") + 1))
+    for f in features:
+        score = score + F.when(F.col(f"x_{f}") == 1, F.log(p(f, 1) / p(f, 0))).otherwise(F.log((1 - p(f, 1)) / (1 - p(f, 0))))
+    rows = df.select(*keys, group, y.alias("y_"), *[F.col(f).alias(f"x_{f}") for f in features]).join(rest, [*keys, group])
+    return rows.groupBy(*keys, group).agg(F.count("*").alias("n"), F.count_if((score > 0).cast("int") == F.col("y_")).alias("hits"))
+
+
+def shuffled_labels(df: DataFrame, item: str, label: str, draws: int, seed: int) -> DataFrame:
+    """[MLE26] df once for each draw from 1, its labels dealt to other rows by two orders of hashes; draw 0 is df itself.
+
+    Orders are ranks inside ranges of the hash, whose sizes are counted first, so a draw is dealt to many tasks.
+    """
+    at = lambda salt: F.pmod(F.xxhash64("draw", F.lit(f"{seed}{salt}"), item), F.lit(1 << 40))
+    many = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+    def ranked(salt: str) -> DataFrame:
+        rows = many.withColumn("h_", at(salt)).withColumn("cell_", F.shiftright("h_", 34))
+        before = Window.partitionBy("draw").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
+        below = rows.groupBy("draw", "cell_").count().select("draw", "cell_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below_"))
+        own = F.row_number().over(Window.partitionBy("draw", "cell_").orderBy("h_", item))
+        return rows.withColumn("k_", own).join(below, ["draw", "cell_"]).withColumn("r_", F.col("below_") + F.col("k_"))
+
+    given = ranked("b").select("draw", "r_", F.col(label).alias("new_"))
+    moved = ranked("a").join(given, ["draw", "r_"]).select(*[F.col("new_").alias(c) if c == label else F.col(c) for c in df.columns], "draw")
+    return df.withColumn("draw", F.lit(0)).unionByName(moved)
+
+
+def permutation_test(df: DataFrame, item: str, group: str, features: list[str], label: str, draws: int, seed: int) -> DataFrame:
+    """[MLE26] observed, chance (mean over draws), p_value, draws: the share of right answers of the whole leave-one-out procedure against shuffled labels."""
+    s = leave_one_out_bayes(shuffled_labels(df, item, label, draws, seed), ["draw"], group, features, label)
+    share = s.groupBy("draw").agg((F.sum("hits") / F.sum("n")).alias("share"))
+    seen = share.filter("draw = 0").select(F.col("share").alias("observed"))
+    null = share.filter("draw > 0").crossJoin(F.broadcast(seen))
+    return null.groupBy("observed").agg(F.avg("share").alias("chance"), ((1 + F.count_if(F.col("share") >= F.col("observed"))) / (1 + F.count("*"))).alias("p_value"), F.count("*").alias("draws"))

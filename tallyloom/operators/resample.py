@@ -17,13 +17,29 @@ def group_bootstrap(df: DataFrame, group: str, hits: Column, total: Column, draw
     a multinomial over many groups. Rows are draws times groups, bounded by the number of groups, and are summed by draw.
     """
     own = df.groupBy(group).agg(hits.alias("a"), total.alias("t"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", group), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    weighted = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(seed, "draw", group))
+    return weighted.groupBy("draw").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("share"))
+
+
+def poisson(seed: int, *by) -> Column:
+    """A Poisson(1) number of a hash of columns."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weight, cut = F.lit(0), 0.0
     for k in range(8):
         cut += math.exp(-1) / math.factorial(k)
         weight = weight + (u >= cut).cast("int")
-    weighted = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    return weighted.groupBy("draw").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("share"))
+    return weight
+
+
+def two_stage_bootstrap(df: DataFrame, outer: str, inner: str, hits: Column, total: Column, draws: int, seed: int) -> DataFrame:
+    """[MLE08] draw, share: outer clusters drawn with replacement, then, for each time one is drawn, its inner clusters.
+
+    Weights are Poisson numbers of hashes as in group_bootstrap; an inner cluster adds one for each time its outer one came.
+    """
+    own = df.groupBy(outer, inner).agg(hits.alias("a"), total.alias("t"))
+    rows = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("o", poisson(seed, "draw", outer)).filter("o > 0")
+    w = F.aggregate(F.sequence(F.lit(1), F.col("o")), F.lit(0), lambda n, k: n + poisson(seed + 1, "draw", outer, inner, k))
+    return rows.withColumn("w", w).groupBy("draw").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("share"))
 
 
 def percentile_interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import resample, stats
+from ..operators import models, resample, stats
 from ..sources.tables import read
 from .registry import query
 
@@ -148,6 +148,46 @@ def exact_binomial(spark, sf):
     return resample.exact_intervals(s, "lang", "hits", "total")
 
 
+@query("MLE08")
+def cluster_bootstrap_lower(spark, sf):
+    """Sources, then blocks of documents inside them: the share of agreements and its 5% quantile over 2000 draws."""
+    s = _scored(spark, sf).withColumn("block", F.floor(F.col("doc_id") / 10))
+    d = resample.two_stage_bootstrap(s, "source", "block", F.sum((F.col("y") == F.col("z")).cast("long")), F.count("*"), 2000, 20260803)
+    return d.agg(F.count("share").alias("draws"), F.avg("share").alias("share"), F.percentile("share", F.lit(0.05)).alias("lower"))
+
+
+def _binary(spark, sf):
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
+    one = lambda p: p.cast("int")
+    return d.select("doc_id", "source", "lang", F.col("quality").alias("y"), one(F.col("n_chars") > 2000).alias("long"), one(F.contains("text", F.lit("!"))).alias("loud"), one(F.contains("text", F.lit("http"))).alias("linked"))
+
+
+def _bayes_sql(group):
+    p = lambda f, c: f"(t.{f}_{c} - o.{f}_{c} + 1) / (t.n{c} - o.n{c} + 2)::DOUBLE"
+    sums = ", ".join([f"count(*) FILTER (y = {c}) AS n{c}" for c in (0, 1)] + [f"coalesce(sum({f}) FILTER (y = {c}), 0) AS {f}_{c}" for f in ("long", "loud", "linked") for c in (0, 1)])
+    score = "ln((t.n1 - o.n1 + 1) / (t.n0 - o.n0 + 1)::DOUBLE)" + "".join(f" + CASE WHEN d.{f} = 1 THEN ln(({p(f, 1)}) / ({p(f, 0)})) ELSE ln((1 - {p(f, 1)}) / (1 - {p(f, 0)})) END" for f in ("long", "loud", "linked"))
+    return f"""
+WITH d AS (SELECT {group}, quality AS y, (n_chars > 2000)::INT AS long, contains(text, '!')::INT AS loud, contains(text, 'http')::INT AS linked FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT {sums} FROM d), o AS (SELECT {group}, {sums} FROM d GROUP BY 1)
+SELECT d.{group}, count(*) AS n, count(*) FILTER (CASE WHEN {score} > 0 THEN 1 ELSE 0 END = y) AS hits FROM d JOIN o ON o.{group} = d.{group}, t GROUP BY 1"""
+
+
+@query("MLE10", _bayes_sql("source"))
+def leave_one_source_out(spark, sf):
+    return models.leave_one_out_bayes(_binary(spark, sf), [], "source", ["long", "loud", "linked"], "y")
+
+
+@query("MLE11", _bayes_sql("lang"))
+def leave_one_language_out(spark, sf):
+    return models.leave_one_out_bayes(_binary(spark, sf), [], "lang", ["long", "loud", "linked"], "y")
+
+
+@query("MLE26")
+def permutation_test(spark, sf):
+    """The leave-one-source-out procedure against 200 shuffles of its labels."""
+    return models.permutation_test(_binary(spark, sf), "doc_id", "source", ["long", "loud", "linked"], "y", 200, 20260803)
+
+
 @query("MLE14 MLE18")
 def group_cv_auc(spark, sf):
     """Group-disjoint folds: logistic regression and a forest on embeddings, label 0 or 1 against parity of the id block."""
