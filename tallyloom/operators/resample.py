@@ -21,14 +21,15 @@ def group_bootstrap(df: DataFrame, group: str, hits: Column, total: Column, draw
     return weighted.groupBy("draw").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("share"))
 
 
+#: P(X <= k) of a Poisson(1) number, k from 0.
+POISSON = [math.exp(-1) * math.fsum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
 def poisson(seed: int, *by) -> Column:
-    """A Poisson(1) number of a hash of columns."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, cut = F.lit(0), 0.0
-    for k in range(8):
-        cut += math.exp(-1) / math.factorial(k)
-        weight = weight + (u >= cut).cast("int")
-    return weight
+    """A Poisson(1) number of 52 bits of a digest of columns."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in by]))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
 
 
 def two_stage_bootstrap(df: DataFrame, outer: str, inner: str, hits: Column, total: Column, draws: int, seed: int) -> DataFrame:

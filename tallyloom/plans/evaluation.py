@@ -125,15 +125,25 @@ def spearman(spark, sf):
     return e.groupBy("event_type").agg(R(F.corr("r", "v")).alias("spearman"))
 
 
-@query("MLE07")
+def _poisson_sql(*by):
+    u = f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(by)})), 1, 13) AS BIGINT) + 0.5) / {float(1 << 52)!r}"
+    return "(" + " + ".join(f"({u} >= {c!r})::INT" for c in resample.POISSON) + ")"
+
+
+def _draws_sql(group, hits, seed):
+    return f"""WITH {_SCORED}, g AS (SELECT {group}, sum({hits}) AS a, count(*) AS t FROM s GROUP BY 1), w AS (SELECT draw, a, t, {_poisson_sql(f"'{seed}'", "draw", group)} AS w FROM g, (SELECT unnest(range(2000)) AS draw)),
+d AS (SELECT draw, sum(a * w)::DOUBLE / nullif(sum(t * w), 0) AS share FROM w GROUP BY 1)"""
+
+
+@query("MLE07", _draws_sql("source", "z", 20260803) + " SELECT round(quantile_cont(share, 0.025), 6) AS low, round(quantile_cont(share, 0.975), 6) AS high, count(share) AS used FROM d")
 def group_bootstrap(spark, sf):
     d = resample.group_bootstrap(_scored(spark, sf), "source", F.sum("z"), F.count("*"), 2000, 20260803)
-    return resample.percentile_interval(d, "share")
+    return resample.percentile_interval(d, "share").select(R(F.col("low")).alias("low"), R(F.col("high")).alias("high"), "used")
 
 
-@query("ext cluster bootstrap")
+@query("ext cluster bootstrap", _draws_sql("lang", "y", 7) + " SELECT draw, round(share, 6) AS share FROM d")
 def cluster_bootstrap(spark, sf):
-    return resample.group_bootstrap(_scored(spark, sf), "lang", F.sum("y"), F.count("*"), 2000, 7)
+    return resample.group_bootstrap(_scored(spark, sf), "lang", F.sum("y"), F.count("*"), 2000, 7).select("draw", R(F.col("share")).alias("share"))
 
 
 @query("MLE09")
@@ -148,12 +158,17 @@ def exact_binomial(spark, sf):
     return resample.exact_intervals(s, "lang", "hits", "total")
 
 
-@query("MLE08")
+@query("MLE08", f"""
+WITH {_SCORED}, g AS (SELECT source, doc_id // 10 AS block, sum((y = z)::INT) AS a, count(*) AS t FROM s GROUP BY 1, 2),
+o AS (SELECT * FROM (SELECT g.*, draw, {_poisson_sql("'20260803'", "draw", "source")} AS o FROM g, (SELECT unnest(range(2000)) AS draw)) WHERE o > 0),
+k AS (SELECT *, unnest(range(1, o + 1)) AS k FROM o),
+d AS (SELECT draw, sum(a * w)::DOUBLE / nullif(sum(t * w), 0) AS share FROM (SELECT draw, a, t, {_poisson_sql("'20260804'", "draw", "source", "block", "k")} AS w FROM k) GROUP BY 1)
+SELECT count(share) AS draws, round(avg(share), 6) AS share, round(quantile_cont(share, 0.05), 6) AS lower FROM d""")
 def cluster_bootstrap_lower(spark, sf):
     """Sources, then blocks of documents inside them: the share of agreements and its 5% quantile over 2000 draws."""
     s = _scored(spark, sf).withColumn("block", F.floor(F.col("doc_id") / 10))
     d = resample.two_stage_bootstrap(s, "source", "block", F.sum((F.col("y") == F.col("z")).cast("long")), F.count("*"), 2000, 20260803)
-    return d.agg(F.count("share").alias("draws"), F.avg("share").alias("share"), F.percentile("share", F.lit(0.05)).alias("lower"))
+    return d.agg(F.count("share").alias("draws"), R(F.avg("share")).alias("share"), R(F.percentile("share", F.lit(0.05))).alias("lower"))
 
 
 def _binary(spark, sf):

@@ -144,10 +144,10 @@ def thresholds(spark, sf):
     return read(spark, sf, "part").filter("p_size >= 20 AND p_retailprice >= 1000 AND p_type IS NOT NULL").select("p_partkey", "p_brand").sortWithinPartitions("p_brand", "p_partkey")
 
 
-@query("SRT05")
+@query("SRT05", "SELECT s_suppkey, md5('7:' || s_suppkey) AS at FROM supplier")
 def seeded_order(spark, sf):
     """[SRT05] Work in an order fixed by a seed: by hash, so it needs no shuffle of its own beyond the sort."""
-    return read(spark, sf, "supplier").select("s_suppkey", F.xxhash64(F.lit(7), "s_suppkey").alias("at")).orderBy("at", "s_suppkey")
+    return read(spark, sf, "supplier").select("s_suppkey", F.md5(F.concat(F.lit("7:"), F.col("s_suppkey").cast("string"))).alias("at")).orderBy("at", "s_suppkey")
 
 
 @query("FLT12 JOI20", """
