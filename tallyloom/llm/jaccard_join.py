@@ -106,7 +106,7 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 #: What a shard returns, all in one table: rows of documents, entries of rare tokens by bucket, entries of common ones, sets.
 DOCUMENT, RARE, COMMON, SET = range(4)
-KINDS = {"kind": pa.int8(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "bucket": pa.int32(), "tokens": pa.binary(), "nodes": pa.binary(), "sizes": pa.binary(), "places": pa.binary(), "commons": pa.binary(), "token": pa.int64(), "middle": pa.float64(), "shingles": pa.binary(), "rare": pa.binary()}
+KINDS = {"kind": pa.int8(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "bucket": pa.int32(), "tokens": pa.binary(), "nodes": pa.binary(), "sizes": pa.binary(), "places": pa.binary(), "commons": pa.binary(), "token": pa.int64(), "middle": pa.float64(), "shingles": pa.binary(), "rare": pa.binary(), "h": pa.int64()}
 
 
 def typed(kind: int, rows: int, **columns) -> pa.Table:
@@ -118,6 +118,7 @@ def typed(kind: int, rows: int, **columns) -> pa.Table:
 def entries(docs: DataFrame) -> DataFrame:
     """The written table of KINDS. A node stands for a set: the shard that owns it, the smallest that holds it, and its place there."""
     plain, _, total = sharded(docs)
+    plain = plain.withColumn("h", F.xxhash64("text"))
     buckets = parts(total, BUCKET)
 
     def offer(group: pa.Table) -> pa.Table:
@@ -165,7 +166,7 @@ def entries(docs: DataFrame) -> DataFrame:
             rare[a:z], node[c:e] = np.frombuffer(levels, np.uint8), np.frombuffer(owners, np.int64)
         has = p.row >= 0
         padded = np.append(node, 0)[p.row]
-        out = [typed(DOCUMENT, len(has), doc_id=group["doc_id"].combine_chunks(), n=np.append(p.n, 0)[p.row], node=pa.array(padded, pa.int64(), mask=~has))]
+        out = [typed(DOCUMENT, len(has), doc_id=group["doc_id"].combine_chunks(), n=np.append(p.n, 0)[p.row], node=pa.array(padded, pa.int64(), mask=~has), h=group["h"].combine_chunks())]
         on, place = p.prefixes(rare)
         shared = (rare[p.distinct_of[on]] > 1) & (node == (shard << 32) + np.arange(len(node)))[p.of[on]]
         on, place = on[shared], place[shared]
@@ -350,7 +351,7 @@ def apart(members: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFram
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per input row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), h (hash of the text), one row per input row.
 
     A null text is empty; texts without words have no shingle and link with nothing: their component is their own id. Under
     five words the sequence is the one shingle. Rows with equal sets are one node, found by a 128-bit digest. A null id is
@@ -388,21 +389,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     salts = lambda c: F.bit_or(F.expr(f"shiftleft(1L, {c})"))
     spread_ = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1))
-    rows = of(DOCUMENT).select("doc_id", "n", "node").withColumn("s", salt("doc_id"))
+    rows = of(DOCUMENT).select("doc_id", "n", "node", "h").withColumn("s", salt("doc_id"))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), salts("s").alias("salts"))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("rs", salt("node"))
     # the smallest id of a component returns to its nodes, and from those to the rows, by salt: a hot one is dealt out
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), salts("rs").alias("salts")).select("root", "component_id", spread_.alias("rs"))
     answer = rooted.join(least, ["root", "rs"]).select("node", "component_id", spread_.alias("s"))
     out = rows.join(answer, ["node", "s"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of their component."""
-    best = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(best, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs, with all their columns, whose id is the smallest of their component; rows that repeat that id there all stay."""
+    best = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__h"))
+    return docs.join(best, mine, "left_semi")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("h")

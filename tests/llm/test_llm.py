@@ -328,7 +328,7 @@ def test_suffix_dedup_equals_brute_force(frame, corpus, small_shards, docs, empt
 
 def test_odd_rows_of_the_substring_operators(spark):
     """Null texts, null ids and repeated rows: the values, not only that there is one for each row."""
-    long, other = "".join(f"word{k} " for k in range(60)), "".join(f"term{k} " for k in range(60))
+    long, other = "".join(f"word{k} " for k in range(60)), "".join(f"term{k} " for k in range(70))
     rows = [(7, long, 1), (7, long, 1), (9, long, 1), (None, long, 1), (5, None, 1), (None, None, 1), (8, "", 1), (4, other, 1), (None, other, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int").withColumn("count", F.lit(1))
     n, m = len(long.encode()), len(other.encode())
