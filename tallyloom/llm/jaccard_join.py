@@ -376,8 +376,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     centres = common.groupBy("token").agg(F.max_by("node", "middle").alias("centre"), F.max_by("n", "middle").alias("p"), F.count("*").alias("held")).filter("held > 1").drop("held")
     members = cut(common.drop("middle").join(centres, "token"))
     alike = 100 * F.least("n", "p") >= LEAST * F.greatest("n", "p")
-    spokes = members.filter((F.col("node") != F.col("centre")) & alike).select(F.col("node").alias("x"), F.col("centre").alias("y"))
-    compared = compare(rare.filter("k + more >= need").select("x", "y").union(spokes).distinct(), sets)
+    spokes = members.filter((F.col("node") != F.col("centre")) & alike).select(F.col("node").alias("x"), F.col("centre").alias("y")).distinct()
+    # a pair that is a spoke either way round is compared as one
+    other = rare.filter("k + more >= need").select("x", "y")
+    for x, y in (("x", "y"), ("y", "x")):
+        other = other.join(spokes.select(F.col("x").alias(x), F.col("y").alias(y)), ["x", "y"], "left_anti")
+    compared = compare(other.union(spokes), sets)
     roots = components(compared.filter("linked"))
     rest = apart(members, compared, roots).join(rare, ["x", "y"], "left_anti")
     for x, y in (("x", "y"), ("y", "x")):
