@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from .common import doc_rows, spread, table
 
 #: Labelled documents to learn from at most; hashed features; a feature of fewer documents is ignored; words remembered.
 SAMPLE, DIMS, LEAST_DOCS, WORDS = 5000, 1 << 19, 4, 600_000
+#: Bytes of a text to learn from at most (longer ones are only scored); words remembered while learning.
+MOST, KNOWN = 64_000, 150_000
 #: What a toxic document counts in the loss beside a clean one; there are few of them.
 GAIN = 1.5
 SENTENCE = regex.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -26,31 +29,39 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % DIMS for f in (w, w[:4] + "*", w[:5] + "*")] if len(w) > 2 else []
 
 
+class Slots(dict):
+    """Slots of a word, remembered for the first KNOWN words."""
+
+    def __missing__(self, word: str) -> array:
+        got = array("i", features(word))
+        if len(self) < KNOWN:
+            self[word] = got
+        return got
+
+
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence score, by Adam on the loss of the noisy-or of each document."""
-    seen: dict[str, list[int]] = {}
-    slots, sentence, doc = [], [], []
-    for d, text in enumerate(texts):
+    slots_of, every, sizes, doc = Slots(), array("i"), [], []
+    n, bad = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
+    for d, (text, y) in enumerate(zip(texts, toxic, strict=True)):
+        whole: set[int] = set()
         for s in SENTENCE.findall(text):
-            own = set()
-            for w in s.split():
-                if w not in seen:
-                    seen[w] = features(w)
-                own.update(seen[w])
-            slots.append(np.fromiter(own, np.int32, len(own)))
-            sentence.append(len(own))
+            own: set[int] = set().union(*map(slots_of.__getitem__, s.split()))
+            every.extend(own)
+            whole |= own
+            sizes.append(len(own))
             doc.append(d)
-    doc, slots = np.array(doc, np.int32), np.concatenate([*slots, np.empty(0, np.int32)])
-    sent = np.repeat(np.arange(len(doc), dtype=np.int32), sentence)
-    pairs = np.unique(doc[sent].astype(np.int64) * DIMS + slots) if len(doc) else np.empty(0, np.int64)
-    keep = np.bincount(pairs % DIMS, minlength=DIMS) >= LEAST_DOCS
-    used = np.flatnonzero(keep)
-    index = np.zeros(DIMS, np.int32)
+        own_slots = np.fromiter(whole, np.int64, len(whole))
+        n[own_slots] += 1
+        bad[own_slots] += int(y > 0)
+    used = np.flatnonzero(n >= LEAST_DOCS)
+    index = np.full(DIMS, -1, np.int32)
     index[used] = np.arange(len(used))
-    on = keep[slots]
-    slots, sent = index[slots[on]], sent[on]
-    own_doc, slot = index_pairs(pairs, index, keep)
-    w, b = np.append(log_odds(np.bincount(slot, toxic[own_doc] > 0, len(used)), np.bincount(slot, minlength=len(used)), float((toxic > 0).sum()), len(texts)), 0.0), -7.0
+    slots = index[np.frombuffer(every, np.int32)]
+    sent = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)[slots >= 0]
+    slots, doc = slots[slots >= 0], np.array(doc, np.int32)
+    del every, slots_of, sizes
+    w, b = np.append(log_odds(bad[used], n[used], float((toxic > 0).sum()), len(texts)), 0.0), -7.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
         z = np.bincount(sent, w[slots], len(doc)) + b
@@ -67,13 +78,6 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0
     return out, float(b)
 
 
-def index_pairs(pairs: np.ndarray, index: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and place of each (document, kept slot)."""
-    doc, slot = np.divmod(pairs, DIMS)
-    on = keep[slot]
-    return doc[on], index[slot[on]]
-
-
 def log_odds(bad: np.ndarray, n: np.ndarray, toxic: float, total: int) -> np.ndarray:
     """A start for the weights: smoothed log odds of features far likelier in toxic documents than chance allows, else 0."""
     rate = max(toxic, 1e-9) / max(total, 1)
@@ -109,10 +113,10 @@ def score(text: str, weights: Weights, bias: float) -> tuple[float, list[dict]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Learn from `sample` labelled documents at most, the least by a hash of the id, none of them held out."""
+    """Learn from `sample` labelled documents of up to MOST bytes at most, the least by a hash of the id, none of them held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropna().filter(~held_out())
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = doc_rows(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic").toArrow()
+    rows = doc_rows(docs).filter(F.octet_length("text") <= MOST).join(F.broadcast(picked), "doc_id").select("text", "toxic").toArrow()
     order = np.lexsort((np.arange(rows.num_rows), [zlib.crc32(t.as_py().encode()) for t in rows["text"]])) if rows.num_rows else []
     return train([rows["text"][int(i)].as_py() for i in order], rows["toxic"].to_numpy()[order] if rows.num_rows else np.empty(0))
 
