@@ -17,7 +17,7 @@ from .shards import KEY, ends_of, sharded, unpack
 WIDTH, LEAST, ALL, BUCKET, SALTS, HOT, BLOCK = 5, 75, 8, 16 << 20, 64, 256, 2048
 #: Fixed odd factors, one for each word of a shingle, and words that a worker remembers.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-WORDS = 250_000
+WORDS = 150_000
 
 
 class WordHash(dict):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import doc_rows, spread, table
 
 #: Labelled documents to learn from at most; hashed features; a feature of fewer documents is ignored; words remembered.
-SAMPLE, DIMS, LEAST_DOCS, WORDS = 5000, 1 << 19, 4, 600_000
+SAMPLE, DIMS, LEAST_DOCS, WORDS = 5000, 1 << 19, 4, 200_000
 #: Bytes of a text to learn from at most (longer ones are only scored); words remembered while learning.
 MOST, KNOWN = 64_000, 150_000
 #: What a toxic document counts in the loss beside a clean one; there are few of them.

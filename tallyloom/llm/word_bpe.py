@@ -14,7 +14,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Chunks and pre-tokens that a worker remembers; later ones are worked out each time. The common ones come early.
-CHUNKS, WORDS = 400_000, 800_000
+CHUNKS, WORDS = 400_000, 500_000
 #: A worker is one of many on its machine: no threads of the library beside it.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Symbols of a pre-token beyond which a heap finds the next pair.
