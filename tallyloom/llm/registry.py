@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, chunk_dedup, exact_dedup, filter_audit, jaccard_join, neighbours, packing, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, chat_format, chunk_dedup, exact_dedup, filter_audit, jaccard_join, neighbours, packing, suffix_dedup, token_counts, token_files, toxicity, whitening
 
 QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
@@ -16,5 +16,7 @@ QUERIES = {
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {"op7_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL}
