@@ -21,7 +21,7 @@ def spdx_classify(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.spdx(F.col("text"), SPDX).alias("spdx"))
 
 
-@query("SCA22 AGG22 SCA30", """
+@query("SCA22 SCA30", """
 SELECT CASE WHEN regexp_matches(text, '(?i)socket|timeout') THEN 'network' WHEN regexp_matches(text, '(?i)password|token|secret') THEN 'auth' WHEN regexp_matches(text, '(?i)[a-z0-9._]+@[a-z0-9.]+') THEN 'mail' WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' ELSE 'other' END AS cause, count(*) AS n FROM documents GROUP BY 1""")
 def failure_classify(spark, sf):
     return read(spark, sf, "documents").groupBy(T.first_match(F.col("text"), CAUSES, "other").alias("cause")).agg(F.count("*").alias("n"))
