@@ -66,13 +66,6 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], flag: Column, memb
     return marked.filter("f_").groupBy(*keys, "island").agg(F.count("*").alias("length"), F.count_distinct(member).alias("members"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
-def run_windows(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """[WIN07] setup_start = end of the run before, never after the own start; measure_start never after the end."""
-    before = F.lag(end).over(Window.partitionBy(*keys).orderBy(start, end))
-    clamped = F.least(F.col(start), F.col(end))
-    return df.withColumns({"measure_start": clamped, "setup_start": F.least(F.coalesce(before, clamped), clamped)})
-
-
 def batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """[SRT06] Batch number of rows in order."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))

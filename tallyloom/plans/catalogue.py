@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contrasts, evaluation, facts, landed, ledger, measurement, prepare, screening, sourcerules, textual  # noqa: F401  they register on import
+from . import contrasts, evaluation, facts, landed, ledger, measurement, prepare, runs, screening, sourcerules, textual  # noqa: F401  they register on import
 from .registry import IDS, ORACLE_SQL, QUERIES
 
 __all__ = ["IDS", "ORACLE_SQL", "QUERIES"]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..operators import joins
 from ..sources import files, sinks
 from ..sources.tables import events, read, shared_dir
-from .measurement import _WINDOWS, _assigned
 from .registry import query
 
 
@@ -129,19 +128,6 @@ def changed_copies(spark, sf):
     return sinks.changed_only(p, target, "page_id", "sha").select("page_id")
 
 
-@query("SNK09 SNK10", f"""
-WITH {_WINDOWS} SELECT coalesce(j.run, -1) AS run, CASE WHEN j.run IS NULL THEN 'unassigned' WHEN j.us - j.a < 600000000 THEN 'setup' ELSE 'measure' END AS phase, count(*) AS samples,
-  round(coalesce(max((j.us - j.a) / 1000000.0), 0), 3) AS last_elapsed_s FROM events e LEFT JOIN j ON j.event_id = e.event_id GROUP BY 1, 2""")
-def telemetry_split(spark, sf):
-    """Every sample with its run, its phase and the seconds since the run began; samples of no run apart."""
-    _, j = _assigned(spark, sf)
-    since = F.col("us") - F.col("a")
-    mine = j.select("event_id", "run", (since / 1_000_000).alias("run_elapsed_s"), F.when(since < 600_000_000, "setup").otherwise("measure").alias("phase"))
-    every = events(spark, sf).select("event_id").join(mine, "event_id", "left")
-    g = every.groupBy(F.coalesce("run", F.lit(-1)).alias("run"), F.coalesce("phase", F.lit("unassigned")).alias("phase"))
-    return g.agg(F.count("*").alias("samples"), F.round(F.coalesce(F.max("run_elapsed_s"), F.lit(0.0)), 3).alias("last_elapsed_s"))
-
-
 @query("SNK11 SNK12", """
 SELECT '| n_name | suppliers |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n || ' |', chr(10) ORDER BY n_name) AS report
 FROM (SELECT n_name, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1)""")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, ordered, stats
+from ..operators import joins, ordered, stats, windows
 from ..sources.tables import events, read
 from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
+#: Microseconds of a cell of time.
+DAY = 86_400_000_000
 
 
 @query("AGG08 SCA11 MLE21", """
@@ -24,11 +26,14 @@ def cliffs_delta_labels(spark, sf):
 
 
 @query("WIN02 FLT17 AGG05 AGG06", """
-WITH i AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)
-SELECT user_id, count(*) AS n_raw, count(*) FILTER (idx >= 10) AS n_used, least(count(*), 10) AS warmup_dropped, round(median(value) FILTER (idx >= 10), 6) AS median FROM i GROUP BY 1 HAVING count(*) > 10""")
+WITH i AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS idx FROM events)
+SELECT user_id, event_type, count(*) AS n_raw, CASE WHEN count(*) > 10 THEN count(*) - 10 ELSE count(*) END AS n_used, CASE WHEN count(*) > 10 THEN 10 ELSE 0 END AS warmup_dropped,
+round(CASE WHEN count(*) > 10 THEN median(value) FILTER (idx >= 10) ELSE median(value) END, 6) AS median FROM i GROUP BY 1, 2""")
 def warmup_trimmed_median(spark, sf):
-    m = ordered.trimmed_median(events(spark, sf), ["user_id"], ["us", "event_id"], "value", 10)
-    return m.filter("n_raw > 10").select("user_id", "n_raw", "n_used", "warmup_dropped", R(F.col("median")).alias("median"))
+    """Every user and type; where nothing follows the warm-up all rows count."""
+    keys = ["user_id", "event_type"]
+    m = ordered.trimmed_median(events(spark, sf), keys, ["us", "event_id"], "value", 10)
+    return m.select(*keys, "n_raw", "n_used", "warmup_dropped", R(F.col("median")).alias("median"))
 
 
 @query("AGG07", """
@@ -62,11 +67,12 @@ j AS (SELECT * FROM (SELECT e.event_id, e.value, e.event_type, epoch_us(e.ts) AS
 def _assigned(spark, sf):
     """The window of every run, and each sample in the first by end of the windows it lies in."""
     e = events(spark, sf)
-    w = e.select("user_id", F.col("event_id").alias("run"), F.col("us").alias("a"), (F.col("us") + 1_800_000_000).alias("b"))
-    return w, joins.first_window(joins.interval_join(e, w, "user_id", "us", "a", "b", 1_800_000_000), "event_id", "b", "run")
+    w = e.select("user_id", F.col("event_id").alias("run"), F.col("us").alias("a"), (F.col("us") + 1_800_000_000).alias("end"))
+    j = windows.assign(e, w, ["user_id"], "us", "a", "run", DAY).filter("w_ IS NOT NULL")
+    return w.drop("end"), j.select(*e.columns, "w_.run", "w_.a")
 
 
-@query("JOI07 AGG09 INC15", f"""
+@query("JOI07 AGG09", f"""
 WITH {_WINDOWS}, s AS (SELECT run, count(*) AS n, round(min(value), 6) AS low, round(avg(value), 3) AS mean, round(max(value), 6) AS high, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM j GROUP BY 1)
 SELECT w.run, coalesce(s.n, 0) AS n_samples, low, mean, high, kinds FROM w LEFT JOIN s ON s.run = w.run""")
 def window_summary(spark, sf):
@@ -76,15 +82,6 @@ def window_summary(spark, sf):
     return w.select("run").join(s, "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n_samples"), "low", "mean", "high", "kinds")
 
 
-@query("JOI07 INC15", f"""
-WITH {_WINDOWS}, t AS (SELECT (SELECT count(*) FROM events) AS samples, (SELECT count(*) FROM j) AS assigned) SELECT samples, assigned, samples - assigned AS unassigned FROM t""")
-def interval_conservation(spark, sf):
-    """Windows of every run; assigned counts rows of the assignment, so a sample in two would show."""
-    _, j = _assigned(spark, sf)
-    samples = events(spark, sf).agg(F.count("*").alias("samples"))
-    return samples.crossJoin(j.agg(F.count("*").alias("assigned"))).withColumn("unassigned", F.col("samples") - F.col("assigned"))
-
-
 @query("JOI08", f"""
 WITH {_WINDOWS}, n AS (SELECT run, event_id, row_number() OVER (PARTITION BY run ORDER BY abs(us - (a + 600000000)), us, event_id) AS r FROM j)
 SELECT w.run, n.event_id FROM w LEFT JOIN n ON n.run = w.run AND n.r = 1""")
@@ -95,14 +92,6 @@ def nearest_sample(spark, sf):
     return w.select("run").join(n.select("run", "event_id"), "run", "left")
 
 
-@query("WIN07 WIN08 WIN09", """
-WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + 60000000 AS e FROM events)
-SELECT event_id, least(coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id), s), s) AS setup_start, s AS measure_start FROM r""")
-def run_windows(spark, sf):
-    e = events(spark, sf).select("user_id", "event_id", F.col("us").alias("s"), (F.col("us") + 60_000_000).alias("e"))
-    return ordered.run_windows(e, ["user_id"], "s", "e").select("event_id", "setup_start", "measure_start")
-
-
 @query("WIN08", """SELECT user_id, CASE WHEN count(*) >= 2 THEN epoch_us(max(ts)) - epoch_us(min(ts)) END AS span_us FROM events GROUP BY 1""")
 def device_span(spark, sf):
     return events(spark, sf).groupBy("user_id").agg(F.when(F.count("*") >= 2, F.max("us") - F.min("us")).alias("span_us"))
@@ -188,7 +177,7 @@ def cost_concentration(spark, sf):
     return ordered.half_holders(o, "c_nationkey", "cost").select("half_in", F.col("upper_median").cast("double").alias("upper_median"), F.col("largest").cast("double").alias("largest"))
 
 
-@query("INC16", """
+@query("ext spread of types", """
 SELECT event_type AS window_source, count(*) AS n, round(median(abs(value - 50)), 6) AS median_abs, round(min(abs(value - 50)), 6) AS low, round(max(abs(value - 50)), 6) AS high, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1""")
 def alignment_score(spark, sf):
     d = F.abs(F.col("value") - 50)
