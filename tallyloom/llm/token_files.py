@@ -21,7 +21,7 @@ from .common import doc_rows, release, slices, spread, table
 from .records import frames, unframe
 
 #: Characters encoded and bytes of a file read at a time; files that a task holds open.
-SLICE, SPAN, OPEN = 4_000_000, 8_000_000, 64
+SLICE, SPAN, OPEN = 2_000_000, 8_000_000, 64
 #: Shards whose totals are summed in one group.
 SHARDS = 4096
 #: Payload: doc_id, 1 if there is no doc_id, bytes of an id; then the ids. All little-endian.
@@ -103,8 +103,8 @@ def read_index(spark, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """shard, record, before, doc_id, n_tokens, ids (little-endian unsigned 32-bit) of the rows of an index, in their order.
+def read_records(index: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """shard, record, before, doc_id, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit) of the rows of an index, in their order.
 
     Frames that lie side by side are read at once, SPAN bytes at most or one record. Both checksums of every frame are
     compared, and doc_id and n_tokens with the index; a record that differs ends the job with its file and place.
@@ -138,12 +138,15 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 if docs != rows.column("doc_id").to_pylist() or n_tokens != rows.column("n_tokens").to_pylist():
                     raise ValueError(f"the index and {file[i]} differ at {offset[i]}")
                 kept = [rows.column(c) for c in ("shard", "record", "before")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(docs, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["shard", "record", "before", "doc_id", "n_tokens", "ids"])
+                out = [*kept, *(pa.array(x, pa.int64()) for x in (docs, n_tokens, [zlib.crc32(x) for x in ids])), *[pa.array([x.tobytes() for x in ids], pa.binary())] * with_ids]
+                yield pa.RecordBatch.from_arrays(out, names)
                 i = j
         for f in opened.values():
             f.close()
 
-    return index.mapInArrow(run, "shard int, record int, before long, doc_id long, n_tokens long, ids binary")
+    kinds = {"shard": "int", "record": "int", "before": "long", "doc_id": "long", "n_tokens": "long", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {})
+    names = list(kinds)
+    return index.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
 def read_shuffled(index: DataFrame, folder: str, seed: int, parts: int) -> DataFrame:
@@ -161,19 +164,8 @@ def shard_starts(index: DataFrame) -> DataFrame:
     return total.withColumn("inside", inside).join(blocks, "block").select("shard", (F.col("of_block") + F.col("inside")).alias("base"))
 
 
-def sums(records: DataFrame) -> DataFrame:
-    """ids_crc32 in place of ids."""
-
-    def run(batches):
-        for b in batches:
-            crc = [zlib.crc32(x.as_py()) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], [*b.schema.names[:-1], "ids_crc32"])
-
-    return records.mapInArrow(run, "shard int, record int, before long, doc_id long, n_tokens long, ids_crc32 long")
-
-
 def op12_token_files(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     index = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
-    found = sums(read_records(spread(spark, index), folder))
+    found = read_records(spread(spark, index), folder, with_ids=False)
     return found.join(shard_starts(index), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -148,29 +148,33 @@ class Ids(dict):
     """Ids of a chunk without white space as little-endian unsigned 32-bit bytes, remembered; the library encodes new pre-tokens."""
 
     def __init__(self, bpe: WordBpe):
-        self.bpe, self.rest, self.more = bpe, {}, {}
+        self.bpe, self.rest = bpe, {}
+        self.mark = os.path.commonprefix(list(bpe.special))
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.more[chunk]
+    def special(self, chunk: str) -> bool:
+        """Whether a special string may be inside."""
+        return self.mark in chunk if self.mark else bool(self.bpe.special and self.bpe.cut.search(chunk))
 
     def parts(self, chunk: str) -> list[str]:
         """Pre-tokens of an ASCII chunk; any other chunk, or one with a special string, whole."""
-        if not chunk.isascii() or "<|" in chunk:
+        if not chunk.isascii() or self.special(chunk):
             return [chunk]
         low = chunk.lower()
         return [low] if low.isalpha() else self.bpe.word.findall(low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [chunks(t) for t in texts]
-        new = {c: self.parts(c) for c in set(chain.from_iterable(split)) if c not in self}
-        words = [w for w in set(chain.from_iterable(new.values())) if w not in self.rest]
+        new = {c: self.parts(c) for c in set(chain.from_iterable(split)).difference(self)}
+        words = list(set(chain.from_iterable(new.values())).difference(self.rest))
         found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.bpe.library.encode_batch_fast(words, add_special_tokens=False), strict=True)}
         known = self.rest
-        self.more = {c: b"".join([known[w] if w in known else found[w] for w in ws]) for c, ws in new.items()}
+        more = {c: b"".join([known[w] if w in known else found[w] for w in ws]) for c, ws in new.items()}
+        over = list(islice(more, max(0, CHUNKS - len(self)), None))
+        self.update(more)
         out = [b"".join(map(self.__getitem__, c)) for c in split]
-        for memory, more, most in ((self, self.more, CHUNKS), (known, found, WORDS)):
-            memory.update(islice(more.items(), max(0, most - len(memory))))
-        self.more = {}
+        for c in over:
+            del self[c]
+        known.update(islice(found.items(), max(0, WORDS - len(known))))
         return out
 
 
