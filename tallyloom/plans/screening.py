@@ -148,18 +148,6 @@ def severity_fold(spark, sf):
     return v.groupBy("user_id").agg(F.max_by("event_type", F.struct("s", "event_type")).alias("verdict"), F.max("s").alias("severity"))
 
 
-@query("RUL34", """
-WITH b AS (SELECT c_custkey, c_acctbal FROM customer), s AS (SELECT * FROM (VALUES (-1000.0, 0.0, 'low'), (0.0, 5000.0, 'mid'), (1000.0, 3000.0, 'core'), (5000.0, 20000.0, 'high')) t(a, z, region))
-SELECT c_custkey, arg_max(region, a) AS region FROM b JOIN s ON c_acctbal >= a AND c_acctbal < z GROUP BY 1""")
-def innermost_span(spark, sf):
-    # four spans: a chain of expressions, not a join
-    x, pick = F.col("c_acctbal"), None
-    for a, z, name in ((-1000.0, 0.0, "low"), (0.0, 5000.0, "mid"), (1000.0, 3000.0, "core"), (5000.0, 20000.0, "high")):
-        hit = F.when((x >= a) & (x < z), name)
-        pick = hit if pick is None else F.coalesce(hit, pick)
-    return read(spark, sf, "customer").select("c_custkey", pick.alias("region")).filter("region IS NOT NULL")
-
-
 @query("ext rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus)::BIGINT AS g1, grouping(o_orderpriority)::BIGINT AS g2 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def rollup_strata(spark, sf):
     return read(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping("o_orderstatus").cast("long").alias("g1"), F.grouping("o_orderpriority").cast("long").alias("g2"))

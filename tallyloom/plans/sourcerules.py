@@ -317,7 +317,7 @@ def needed_revisions(spark, sf):
     return g.select("scope", "day", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["gid"].cast("string"), x["o_orderkey"].cast("string"))), ",").alias("revisions"))
 
 
-@query("SCA16 SCA17 SCA18", """
+@query("SCA18", """
 SELECT o_orderkey, 3 + (o_orderkey % 2) AS n, 'f(' || o_custkey || ', [1, 2])' AS first, CASE WHEN o_orderkey % 2 = 1 THEN '''a, b''' ELSE '{k: (1, 2)}' END AS last FROM orders""")
 def split_arguments(spark, sf):
     """Argument lists cut at commas outside brackets and strings."""
@@ -335,7 +335,7 @@ def scoped_rows(spark, sf):
     return o.agg(F.count("*").alias("rows"))
 
 
-@query("SCA29 SCA23", """
+@query("SCA29", """
 SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS code_lines, min(o_orderkey) FILTER (o_orderstatus = 'F') AS first_exception FROM orders GROUP BY 1""")
 def stripped_log(spark, sf):
     """Comment and banner lines go from a text; of the rest the first exception line gives its message."""

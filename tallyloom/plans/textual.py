@@ -111,9 +111,9 @@ def elapsed_format(spark, sf):
     return e.select("event_id", F.when(s >= 3600, F.format_string("%dh%02dm", div(s, 3600), div(s % 3600, 60))).when(s >= 60, F.format_string("%dm%02ds", div(s, 60), s % 60)).otherwise(F.format_string("%ds", s)).alias("elapsed"))
 
 
-@query("RUL31", r"""
+@query("ext name counts", r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM documents)
-SELECT name, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1 HAVING count(*) > 20""")
+SELECT name, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1""")
 def name_facts(spark, sf):
     w = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1)).alias("name"))
-    return w.groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs")).filter("uses > 20")
+    return w.groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))
