@@ -52,37 +52,6 @@ def score_forest(df: DataFrame, trees: list[dict], features: str, keep: list[str
     return df.select(*keep, features).mapInPandas(run, f"{kinds}, score double")
 
 
-def permutation_importance(df: DataFrame, trees: list[dict], features: str, label: str, repeats: int, seed: int) -> DataFrame:
-    """[MLE14, SRT08] feature, drop: mean loss of accuracy when one feature's values are exchanged inside each batch of rows."""
-    packed = [{k: np.array(v) for k, v in t.items()} for t in trees]
-
-    def predict(x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in packed:
-            at = np.zeros(len(x), np.int64)
-            while len(on := np.flatnonzero(t["feature"][at] >= 0)):
-                node = at[on]
-                at[on] = np.where(x[on, t["feature"][node]] <= t["threshold"][node], t["left"][node], t["right"][node])
-            total += t["p"][at]
-        return total / max(1, len(packed)) >= 0.5
-
-    def run(batches):
-        rng = np.random.default_rng(seed)
-        for b in batches:
-            if not len(b):
-                continue
-            x, y = np.stack(b[features].to_numpy()), b[label].to_numpy() > 0
-            base = (predict(x) == y).sum()
-            for f in range(x.shape[1]):
-                for _ in range(repeats):
-                    z = x.copy()
-                    z[:, f] = rng.permutation(z[:, f])
-                    yield pd.DataFrame({"feature": [f], "lost": [int(base - (predict(z) == y).sum())], "n": [len(b)]})
-
-    parts = df.select(features, label).mapInPandas(run, "feature int, lost long, n long")
-    return parts.groupBy("feature").agg((F.sum("lost") / F.sum("n")).alias("drop"))
-
-
 def leave_one_out_bayes(df: DataFrame, keys: list[str], group: str, features: list[str], label: str) -> DataFrame:
     """[MLE10, MLE11] keys, group, n, hits: rows of each group that a naive Bayes learner, trained on all other groups, classes right.
 

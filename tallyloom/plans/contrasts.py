@@ -30,7 +30,7 @@ def zero_delta(spark, sf):
     return _pairs(spark, sf).groupBy("adjacent").agg(F.count("*").alias("pairs"), F.count_if(~stats.any_moves(["d_q", "d_d"])).alias("zero"), F.count_if(F.abs("d_q") > 20).alias("decisive"))
 
 
-@query("MLE18 SCA13", _PAIRS + """
+@query("SCA13", _PAIRS + """
 SELECT l_orderkey, a::BIGINT AS a, b::BIGINT AS b, CAST(coalesce(nullif(sign(dq), 0), nullif(sign(dd), 0), 0) AS BIGINT) AS lex2, CAST(sign(sign(dq) + sign(dd)) AS BIGINT) AS vote2 FROM p""")
 def sign_rules(spark, sf):
     s = lambda c: F.signum(c).cast("long")
@@ -38,7 +38,7 @@ def sign_rules(spark, sf):
     return _pairs(spark, sf).select("l_orderkey", F.col("l_l_linenumber").cast("long").alias("a"), F.col("r_l_linenumber").cast("long").alias("b"), lex.cast("long").alias("lex2"), s(s("d_q") + s("d_d")).alias("vote2"))
 
 
-@query("MLE16 MLE17 MLE19 MLE15", _PAIRS + """
+@query("ext both orientations", _PAIRS + """
 , s AS (SELECT dq AS x, dd AS y FROM p UNION ALL SELECT -dq, -dd FROM p) SELECT count(*) AS readings, count(*) FILTER (x > 0) AS slower, count(*) FILTER (x > 0 AND y > 0) AS agree, count(*) FILTER (x = 0) AS zero FROM s""")
 def both_orientations(spark, sf):
     p = _pairs(spark, sf).select(F.col("d_q").alias("x"), F.col("d_d").alias("y"))
@@ -75,8 +75,8 @@ def ordinals(spark, sf):
 SELECT doc_id, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY text) AS lowest, doc_id > min(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents""")
 def duplicate_lowest_id(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    low = d.groupBy("sha").agg(F.min("doc_id").alias("lowest"))
-    return d.join(low, "sha").select("doc_id", "sha", "lowest", (F.col("doc_id") > F.col("lowest")).alias("duplicate"))
+    low = ordered.lowest_of_group(d, "sha", "doc_id")
+    return d.join(low, "doc_id").select("doc_id", "sha", "lowest", (F.col("doc_id") > F.col("lowest")).alias("duplicate"))
 
 
 @query("JOI16 JOI17 JOI18 JOI32", """

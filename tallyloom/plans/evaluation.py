@@ -110,13 +110,6 @@ def baselines(spark, sf):
     return _scored(spark, sf).groupBy("source").agg(F.count("*").alias("n"), R(F.avg("y")).alias("prevalence"), R(F.greatest(F.avg("y"), 1 - F.avg("y"))).alias("majority"))
 
 
-@query("MLE03 MLE28", """
-WITH f AS (SELECT DISTINCT source, CAST(substr(source, 4) AS BIGINT) % 5 AS fold FROM documents), c AS (SELECT source, count(DISTINCT fold) AS k FROM f GROUP BY 1) SELECT count(*) AS groups, count(*) FILTER (k <> 1) AS straddling FROM c""")
-def folds_disjoint(spark, sf):
-    f = read(spark, sf, "documents").select("source", (F.substring("source", 4, 9).cast("long") % 5).alias("fold"))
-    return f.groupBy("source").agg(F.count_distinct("fold").alias("k")).agg(F.count("*").alias("groups"), F.count_if(F.col("k") != 1).alias("straddling"))
-
-
 @query("AGG31", """
 SELECT event_type, round(corr(r, v), 6) AS spearman FROM (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS r, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS v FROM events) GROUP BY 1""")
 def spearman(spark, sf):
@@ -203,7 +196,7 @@ def permutation_test(spark, sf):
     return models.permutation_test(_binary(spark, sf), "doc_id", "source", ["long", "loud", "linked"], "y", 200, 20260803)
 
 
-@query("MLE14 MLE18")
+@query("ext forest and logistic folds")
 def group_cv_auc(spark, sf):
     """Group-disjoint folds: logistic regression and a forest on embeddings, label 0 or 1 against parity of the id block."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier

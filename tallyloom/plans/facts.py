@@ -137,12 +137,6 @@ def forest_from_arrays(spark, sf):
     return models.score_forest(e, models.tree_arrays(model), "x", ["vec_id"])
 
 
-@query("MLE14 MLE27 SRT08")
-def permutation_importance(spark, sf):
-    e, model = _forest(spark, sf)
-    return models.permutation_importance(e, models.tree_arrays(model), "x", "y", 2, 5).orderBy(F.desc("drop"), "feature")
-
-
 @query("MLE27 MLE13", """
 WITH s AS (SELECT d.n_chars AS a, length(d.text) - length(replace(d.text, ' ', '')) AS b, l.toxic AS y FROM documents d JOIN labels l USING (doc_id)),
 p AS (SELECT 'chars' AS feature, a AS score, y FROM s UNION ALL SELECT 'spaces', b, y FROM s), t AS (SELECT feature, score, sum(y) AS p, count(*) AS m FROM p GROUP BY 1, 2),

@@ -50,11 +50,10 @@ def json_documents(spark, sf):
     n = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("members"))
     d = read(spark, sf, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
     one = F.regexp_replace(F.to_json(F.struct(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.struct("members").alias("body"))), ",", ",\n  ")
-    for row in range(5):
-        d.filter(F.col("r_regionkey") == row).select(one.alias("value")).coalesce(1).write.mode("append").text(path)
+    d.select(F.col("r_regionkey").alias("key"), one.alias("value")).repartition("key").write.partitionBy("key").text(path)
     spark.range(1).select(F.lit("{broken").alias("value")).write.text(broken)
     schema = "id long, name string, body struct<members: array<string>>"
-    rows = files.json_document(spark, path, schema).unionByName(files.json_document(spark, broken, schema, default=True))
+    rows = files.json_document(spark, path, schema).drop("key").unionByName(files.json_document(spark, broken, schema, default=True))
     return rows.select("id", "name", F.when(F.col("body").isNotNull(), F.size("body.members")).cast("long").alias("members"))
 
 

@@ -97,6 +97,8 @@ def image_bands(images: DataFrame, top: float, bottom: float) -> DataFrame:
 
 def decode_png(raw: bytes) -> np.ndarray:
     """Pixels of an 8-bit, not interlaced RGB or RGBA image, as the PNG specification describes chunks and filters."""
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG signature")
     at, data, head = 8, b"", None
     while at < len(raw):
         size, kind = struct.unpack(">I4s", raw[at : at + 8])

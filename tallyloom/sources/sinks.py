@@ -47,9 +47,11 @@ def retarget(df: DataFrame, columns: list[str], source: str, dest: str) -> DataF
     return df.withColumns({c: F.when(F.startswith(c, F.lit(source)), F.concat(F.lit(dest), F.substring(F.col(c), F.lit(len(source) + 1), F.length(c)))).otherwise(F.col(c)) for c in columns})
 
 
-def report(df: DataFrame, key: str, measures: list[str]) -> str:
-    """[SNK11, SNK12] A Markdown table of a small aggregated frame, ordered by key."""
-    rows = df.select(key, *measures).orderBy(key).limit(1000).collect()
+def report(df: DataFrame, key: str, measures: list[str], most: int = 1000) -> str:
+    """[SNK11, SNK12] A Markdown table of an aggregated frame, ordered by key; an error where it has more than `most` rows, never a part of it."""
+    rows = df.select(key, *measures).orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
     return "\n".join([line([key, *measures]), line(["---"] * (1 + len(measures))), *[line(r) for r in rows]])
 

@@ -167,3 +167,42 @@ def test_rules_and_readings(spark):
     scored = both.withColumn("score", F.col("a"))
     out = {r.id: (r.s, r.agrees) for r in learners.antisymmetric(scored, "id").collect()}
     assert out == {1: (4.0, True), 2: (0.0, False), 3: (-2.0, True), 4: (0.0, False), 5: (2.0, True)}
+
+
+def test_permuted_features_against_the_deals(data):
+    """Each repeat is a permutation inside its fold, the same in any partitioning, and the drop is what it costs."""
+    p, s, v = data
+    fitted = learners.fit_logistic(p, DESIGN, s, [3.0])
+    deals = learners.shuffled(p, ["fold"], "id", "x", 3, 4).collect()
+    again = {(r.repeat, r.id): r.given_ for r in learners.shuffled(p.repartition(5), ["fold"], "id", "x", 3, 4).collect()}
+    assert {(r.repeat, r.id): r.given_ for r in deals} == again and len(deals) == 3 * 320
+    lost, moved = np.zeros(4), 0
+    for k in (1, 2, 3):
+        for o in range(3):
+            own = [r for r in deals if r.repeat == k and r.fold == o]
+            assert sorted(map(tuple, (r.x for r in own))) == sorted(map(tuple, (r.given_ for r in own)))
+            moved += sum(r.x != r.given_ for r in own)
+            x, g, y = np.array([r.x for r in own]), np.array([r.given_ for r in own]), np.array([r.y for r in own])
+            right = lambda z, o=o, y=y: ((fitted.predict(DESIGN.at(o, DESIGN.inner), 0, z) >= 0.5) == (y > 0)).sum()
+            for j in range(4):
+                z = x.copy()
+                z[:, j] = g[:, j]
+                lost[j] += right(x) - right(z)
+    got = {r.feature: r["drop"] for r in learners.permutation_drop(p, DESIGN, fitted, dict.fromkeys(range(3), 0), 3, 4).collect()}
+    assert moved > 900 and all(abs(got[j] - lost[j] / 960) < 1e-12 for j in range(4)) and got[0] > 0.05
+
+
+def test_arrays_of_a_forest_score_as_the_forest(spark):
+    """Parity of the exported arrays with the fitted model's own probabilities."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from tallyloom.operators import models
+
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist(), float(x[0] + x[1] ** 2 > 0.8)) for i, x in enumerate(rng.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y double").withColumn("features", array_to_vector("x"))
+    model = RandomForestClassifier(labelCol="y", numTrees=7, maxDepth=4, seed=1).fit(df)
+    want = {r.id: r.p for r in model.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    got = {r.id: r.score for r in models.score_forest(df, models.tree_arrays(model), "x", ["id"]).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
