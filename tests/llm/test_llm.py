@@ -453,11 +453,47 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.without_toxic(docs.withColumn("score", F.lit(1)), labels).columns == [*docs.columns, "score"]
 
 
+def test_toxicity_scores_as_it_learns(spark):
+    """Scores, noisy-or and offending sentences by plain loops over distinct slots, the function that training sums."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = [r.text for r in rows.limit(150).collect()] + ["", None, "abcd abcd, ABCD. \nabcde? x", "word " * 250_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    offence = 0
+    far = lambda t: t.withColumn("doc_id", F.col("doc_id") + 1000)
+    both, labels = df.unionByName(far(rows.select("doc_id", "text"))), far(labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(both, labels).filter("doc_id < 1000").collect()}
+    own = toxicity.fit(both, labels)
+    for i, text in enumerate(texts):
+        clean, bad, at = 1.0, [], 0
+        for s in toxicity.SENTENCE.findall(text or ""):
+            slots = {k for word in s.split() for k in toxicity.features(word)}
+            p = 1 / (1 + np.exp(-min(30, max(-30, sum(float(own[0][k]) for k in slots) + own[1]))))
+            clean *= 1 - p
+            if p >= toxicity.THRESHOLD:
+                bad.append((at, len(s)))
+            at += len(s)
+        assert abs(got[i].score - (1 - clean if text else 0)) < 1e-6 and [(o.start, o.length) for o in got[i].offending] == bad
+        offence += len(bad)
+    assert offence > 0 and own[1] < 0 and (own[0] >= 0).all()
+
+
+def test_long_texts_are_learned_from_by_excerpts():
+    long = "".join(f"sentence number {i}. " for i in range(9000))
+    some = toxicity.excerpt(long, 5000)
+    assert 4900 < len(some) <= 5000 and all(s in long for s in toxicity.SENTENCE.findall(some)) and toxicity.excerpt(some, 5000) == some
+    assert [int(s.split()[2][:-1]) for s in toxicity.SENTENCE.findall(some) if s.strip()] == sorted(int(s.split()[2][:-1]) for s in toxicity.SENTENCE.findall(some) if s.strip())
+    texts = ["this is vile stuff. fine words here. " * 3, "calm words in a row. fine words here. "] * 40
+    w, b = toxicity.learn([t + " " * k for k, t in enumerate(texts)], np.array([1, 0] * 40))
+    s = toxicity.Weights(w, b)
+    assert toxicity.score(texts[0], s)[0] >= toxicity.THRESHOLD > toxicity.score(texts[1], s)[0]
+
+
 def test_registered_queries_with_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for n in ("documents", "conversations"):
+    for n in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{SMALL}/{n}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         got = registry.QUERIES[name](spark, SMALL)

@@ -72,8 +72,8 @@ def without_repeats(docs):
 def by_brute_force(spark, sf):
     rows = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     w, bias = toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    weights = toxicity.Weights(w)
-    clean = {i: t for i, t in rows.items() if toxicity.score(t or "", weights, bias)[0] < toxicity.THRESHOLD}
+    weights = toxicity.Weights(w, bias)
+    clean = {i: t for i, t in rows.items() if toxicity.score(t or "", weights)[0] < toxicity.THRESHOLD}
     least = {}
     for i in sorted(clean):
         least.setdefault(clean[i] or "", i)
