@@ -113,42 +113,6 @@ def without_images(text: Column) -> Column:
     return F.regexp_replace(sized, r"Image\.(?:network|asset)\([^()]*\)", "GreyBox()")
 
 
-def cover_imports(rows: DataFrame, file: str, unit: str, name: str) -> DataFrame:
-    """[RUL26] file, unit: units kept by greedy cover of the names a file uses, the widest first, ties by name. Bounded by a file."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, kept = set(pdf[name]), []
-        gives = {u: set(g) for u, g in pdf.groupby(unit)[name]}
-        while left:
-            best = min(gives, key=lambda u: (-len(gives[u] & left), u))
-            if not gives[best] & left:
-                break
-            kept.append(best)
-            left -= gives[best]
-        return pd.DataFrame({file: [pdf[file].iloc[0]] * len(kept), unit: kept})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(file).applyInPandas(one, f"{file} {kinds[file]}, {unit} {kinds[unit]}")
-
-
-def fixture_union(rows: DataFrame, group: str, role: str, order: str, name: str, shape: str) -> DataFrame:
-    """[RUL16, SET06] group, role, accepted: roles in order; one whose shapes clash with what earlier ones registered is dropped whole, registry unchanged."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict = {}
-        out = []
-        for r, g in pdf.sort_values([order, role]).groupby(role, sort=False):
-            own = dict(zip(g[name], g[shape], strict=True))
-            ok = all(known.get(k, v) == v for k, v in own.items()) and len(own) == len(set(zip(g[name], g[shape], strict=True)))
-            if ok:
-                known |= own
-            out.append((pdf[group].iloc[0], r, ok))
-        return pd.DataFrame(out, columns=[group, role, "accepted"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {role} {kinds[role]}, accepted boolean")
-
-
 def overlapping_edits(edits: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """[RUL31] Edits that begin before an earlier one of their file ends."""
     w = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)

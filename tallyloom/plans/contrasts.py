@@ -45,7 +45,7 @@ def both_orientations(spark, sf):
     return p.union(p.select(-F.col("x"), -F.col("y"))).agg(F.count("*").alias("readings"), F.count_if(F.col("x") > 0).alias("slower"), F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("agree"), F.count_if(F.col("x") == 0).alias("zero"))
 
 
-@query("FLT20 AGG28", _PAIRS + """
+@query("AGG28", _PAIRS + """
 , m AS (SELECT l_orderkey, 'q' AS feature, dq <> 0 AS moves FROM p UNION ALL SELECT l_orderkey, 'd', dd <> 0 FROM p)
 SELECT feature, count(*) AS pairs, count(*) FILTER (moves) AS moved, round(avg(CAST(moves AS INT)), 6) AS share, count(DISTINCT l_orderkey) FILTER (moves) AS scopes FROM m GROUP BY 1""")
 def moving_features(spark, sf):
@@ -104,7 +104,7 @@ def binding_relation(spark, sf):
     return s.select("user_id", T.relation(F.array_except("b", "a"), F.array_except("a", "b")).alias("relation"))
 
 
-@query("FLT13 SRT07", """
+@query("FLT13", """
 SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts >= (SELECT min(ts) FROM events)) WHERE r <= 5""")
 def most_recent(spark, sf):
     from pyspark.sql import Window

@@ -45,17 +45,6 @@ def overlapping_edits(spark, sf):
     return facts.overlapping_edits(o, "o_custkey", "o_orderkey", "e").select("o_custkey", "o_orderkey")
 
 
-@query("RUL26")
-def import_cover(spark, sf):
-    return facts.cover_imports(read(spark, sf, "events").select("user_id", "event_type", F.floor("value").alias("name")), "user_id", "event_type", "name")
-
-
-@query("RUL16 SET06")
-def fixture_union(spark, sf):
-    e = read(spark, sf, "events").select("event_type", "user_id", "event_id", F.pmod("event_id", F.lit(97)).alias("name"), F.pmod("event_id", F.lit(2)).alias("shape"))
-    return facts.fixture_union(e, "event_type", "user_id", "event_id", "name", "shape")
-
-
 @query("RUL32 RUL39 SCA19", """
 SELECT n_nationkey::BIGINT AS k, CASE WHEN n_regionkey = 0 THEN 'rebuild' WHEN n_regionkey = 1 THEN 'lifecycle' ELSE 'none' END AS region, '_' || lower(substr(n_name, 1, 1)) || substr(n_name, 2) || CASE WHEN n_regionkey = 2 THEN 'State' ELSE '' END AS field, '''' || n_name || '''' AS source FROM nation""")
 def member_names(spark, sf):

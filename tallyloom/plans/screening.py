@@ -160,7 +160,7 @@ def strata(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), R(F.max("l_quantity"), 2).alias("most"), F.count_if(F.abs(F.col("l_discount") - 0.05) < 0.011).alias("near"), F.count_if(f == "R").alias("is_r"), F.count_if(f == "N").alias("is_n"))
 
 
-@query("JOI15 RUL13 AGG23", """
+@query("JOI15", """
 WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN -1 ELSE 0 END AS expected, sign(l_discount - l_tax) AS got FROM lineitem)
 SELECT CASE WHEN expected = 0 THEN 'unjoinable' WHEN got = expected THEN 'clean' WHEN got = 0 THEN 'weak' ELSE 'label_disagree' END AS outcome, count(*) AS n FROM x GROUP BY 1""")
 def expectation_audit(spark, sf):

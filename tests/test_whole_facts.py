@@ -16,22 +16,6 @@ def events(spark, tmp_path):
     return str(tmp_path), rows
 
 
-def test_every_user_has_a_cover(spark, events):
-    sf, rows = events
-    want = set()
-    for user in {r[1] for r in rows}:
-        gives = defaultdict(set)
-        for _, u, kind, value in rows:
-            if u == user:
-                gives[kind].add(int(value))
-        left = set().union(*gives.values())
-        while left:
-            best = min(gives, key=lambda g: (-len(gives[g] & left), g))
-            want.add((user, best))
-            left -= gives[best]
-    assert {tuple(r) for r in catalogue.QUERIES["import_cover"](spark, sf).collect()} == want
-
-
 def test_drops_of_every_event(spark, events):
     sf, rows = events
     takes, want = {"view": ["child"], "click": ["child", "body"]}, defaultdict(set)
