@@ -11,11 +11,12 @@ def eligible(candidates: DataFrame, barred: list[DataFrame], url: str, normal, w
 
     normal: Column to Column. Keys are compared after it on both sides, so spelling does not let one pass.
     """
-    rows = candidates.withColumn("key_", normal(F.col(url)))
+    key = F.when(F.col(url).isNotNull(), normal(F.col(url)))
+    rows = candidates.withColumn("key_", key)
     for b in barred:
-        rows = rows.join(b.select(normal(F.col(url)).alias("key_")).filter("key_ IS NOT NULL").distinct(), "key_", "left_anti")
+        rows = rows.join(b.select(key.alias("key_")).filter("key_ IS NOT NULL").distinct(), "key_", "left_anti")
     if wanted is not None:
-        rows = rows.join(wanted.select(normal(F.col(url)).alias("key_")).distinct(), "key_", "left_semi")
+        rows = rows.join(wanted.select(key.alias("key_")).distinct(), "key_", "left_semi")
     return rows.drop("key_")
 
 
