@@ -9,15 +9,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def log_cell(value: str) -> Column:
+    """A cell of like values, 64 to a doubling of their size, in the values' order; a null value has none."""
+    v = F.col(value).cast("double")
+    return F.floor(F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 64)).cast("long")
+
+
+def below(counted: DataFrame, keys: list[str], value: str, sums: list[str], descending: bool = False, cell: Column | None = None) -> DataFrame:
+    """counted with below_<c> and all_<c> for each of sums: its total over the rows of the keys with a smaller value (larger if descending), and over all.
+
+    One row for each key and value comes in. Totals of cells, a bounded number for a key, are summed in order, and rows in order inside
+    a cell alone, so a handful of keys with all rows is dealt to as many tasks as there are cells.
+    """
+    c = counted.withColumn("c_", log_cell(value) if cell is None else cell)
+    order = F.desc if descending else F.asc
+    before = (Window.unboundedPreceding, -1)
+    per = c.groupBy(*keys, "c_").agg(*(F.sum(x).alias(x) for x in sums))
+    across, whole = Window.partitionBy(*keys).orderBy(order("c_")).rowsBetween(*before), Window.partitionBy(*keys)
+    per = per.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("c_").alias("k_c"), *(F.coalesce(F.sum(x).over(across), F.lit(0)).alias(f"cells_{x}") for x in sums), *(F.sum(x).over(whole).alias(f"all_{x}") for x in sums))
+    inside = Window.partitionBy(*keys, "c_").orderBy(order(value)).rowsBetween(*before)
+    same = [c[k].eqNullSafe(per[f"k_{k}"]) for k in keys] + [c["c_"].eqNullSafe(per["k_c"])]
+    placed = c.withColumns({f"own_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).join(per, same)
+    return placed.select(*counted.columns, *((F.col(f"cells_{x}") + F.col(f"own_{x}")).alias(f"below_{x}") for x in sums), *(f"all_{x}" for x in sums))
+
+
 def cliffs_delta(df: DataFrame, keys: list[str], arm: str, value: str) -> DataFrame:
     """[AGG08] keys, n0, n1, delta = mean sign(right - left) by mid-ranks, O(n log n). arm is 0 (left) or 1 (right).
 
     A group without one arm has a null delta. Values are first counted, so the ordered pass sees distinct values only.
     """
     counts = df.groupBy(*keys, value).agg(F.count_if(F.col(arm) == 0).alias("c0"), F.count_if(F.col(arm) == 1).alias("c1"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("below", F.coalesce(F.sum("c0").over(below), F.lit(0)))
-    u = F.sum(F.col("c1") * (F.col("below") + F.col("c0") / 2))
+    placed = below(counts, keys, value, ["c0"])
+    u = F.sum(F.col("c1") * (F.col("below_c0") + F.col("c0") / 2))
     n0, n1 = F.sum("c0"), F.sum("c1")
     delta = F.when((n0 > 0) & (n1 > 0), 2 * u / (n0 * n1) - 1)
     return placed.groupBy(*keys).agg(n0.alias("n0"), n1.alias("n1"), delta.alias("delta"))
@@ -47,9 +70,26 @@ def drift_slope(df: DataFrame, group: str, role: str, pos: str, value: str) -> D
 def score_steps(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """[MLE04, MLE05, WIN11, WIN12, WIN20] One row for each distinct score, highest first, with counts so far: the basis of all curves."""
     steps = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("m"))
-    so_far = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    return steps.withColumns({"tp": F.sum("p").over(so_far), "seen": F.sum("m").over(so_far), "pos": F.sum("p").over(whole), "n": F.sum("m").over(whole)})
+    placed = below(steps, keys, score, ["p", "m"], descending=True)
+    return placed.select(*keys, score, "p", "m", (F.col("below_p") + F.col("p")).alias("tp"), (F.col("below_m") + F.col("m")).alias("seen"), F.col("all_p").alias("pos"), F.col("all_m").alias("n"))
+
+
+def rank_correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """[AGG31] keys, rho: Spearman's correlation by mid-ranks. Ranks are worked out on counted values; a null value ranks before all others."""
+
+    def ranked(c: str) -> DataFrame:
+        counted = df.groupBy(*keys, c).agg(F.count("*").alias("n_"))
+        r = below(counted, keys, c, ["n_"], cell=F.coalesce(log_cell(c), F.lit(-(1 << 40))))
+        return r.select(*(F.col(k).alias(f"{c}_{k}") for k in keys), F.col(c).alias(f"{c}_v"), (F.col("below_n_") + (F.col("n_") + 1) / 2).alias(f"{c}_r"))
+
+    pairs = df.groupBy(*keys, a, b).agg(F.count("*").alias("w_"))
+    for c in (a, b):
+        r = ranked(c)
+        pairs = pairs.join(r, [pairs[k].eqNullSafe(r[f"{c}_{k}"]) for k in keys] + [pairs[c].eqNullSafe(r[f"{c}_v"])])
+    w, x, y = F.col("w_"), F.col(f"{a}_r"), F.col(f"{b}_r")
+    sums = pairs.groupBy(*keys).agg(F.sum(w).alias("n"), *(F.sum(w * e).alias(n) for n, e in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))))
+    n, var = F.col("n"), lambda c: F.col(c * 2) - F.col(c) * F.col(c) / F.col("n")
+    return sums.select(*keys, F.when((var("x") > 0) & (var("y") > 0), (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(var("x") * var("y"))).alias("rho"))
 
 
 def ranking_metrics(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

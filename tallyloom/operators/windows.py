@@ -5,31 +5,43 @@ Times are whole numbers of one unit. Long keys are dealt to cells of time, so no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+from .stats import log_cell
+
 
 def cell(at: Column | str, width: int) -> Column:
     return F.floor((F.col(at) if isinstance(at, str) else at) / width).cast("long")
 
 
-def median_by(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """keys, name: the exact median of the values that are not null, the mean of the two middle ones for an even count.
+def quantiles_by(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and, by name, the exact quantiles of the values that are not null, between the two nearest ranks in proportion.
 
-    Values are counted first and dealt to cells, 64 to a doubling of their size; cells of a key, a bounded number, tell which
-    two hold the middle, and ranks run inside those alone.
+    Values are counted first and dealt to cells of like size; totals of a key's cells, a bounded number, tell which hold the ranks asked
+    for, and ranks run inside those alone.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("k_"))
-    counted = counted.withColumn("c_", (F.signum("v_") * F.floor(F.log2(F.abs("v_") + 1) * 64)).cast("long"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("k_")).withColumn("c_", log_cell("v_"))
     of, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("c_").rowsBetween(Window.unboundedPreceding, -1)
     cells = counted.groupBy(*keys, "c_").agg(F.sum("k_").alias("s_"))
     cells = cells.select(*keys, "c_", F.coalesce(F.sum("s_").over(upto), F.lit(0)).alias("below_"), "s_", F.sum("s_").over(of).alias("n_"))
-    low, high = F.floor((F.col("n_") - 1) / 2), F.floor(F.col("n_") / 2)
-    middle = cells.filter((F.col("below_") <= high) & (F.col("below_") + F.col("s_") > low)).drop("s_")
+    place = {name: (F.col("n_") - 1) * q for name, q in at.items()}
+    ranks = [r for p in place.values() for r in (F.floor(p), F.ceil(p))]
+    hit = reduce(lambda a, b: a | b, ((F.col("below_") <= r) & (F.col("below_") + F.col("s_") > r) for r in ranks))
     inside = Window.partitionBy(*keys, "c_").orderBy("v_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.join(middle, [*keys, "c_"]).withColumn("to_", F.col("below_") + F.sum("k_").over(inside))
-    at = lambda rank: F.min(F.when(F.col("to_") > rank, F.col("v_")))
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+    ranked = counted.join(cells.filter(hit).drop("s_"), [*keys, "c_"]).withColumn("to_", F.col("below_") + F.sum("k_").over(inside))
+    value_at = lambda rank: F.min(F.when(F.col("to_") > rank, F.col("v_")))
+    n = F.max("n_")
+    found = ranked.groupBy(*keys).agg(n.alias("n_"), *(value_at(f(p)).alias(f"{name}_{k}") for name, p in place.items() for k, f in enumerate((F.floor, F.ceil))))
+    return found.select(*keys, *((F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (p - F.floor(p))).alias(name) for name, p in place.items()))
+
+
+def median_by(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, name: the exact median, the mean of the two middle values for an even count."""
+    return quantiles_by(df, keys, value, {name: 0.5})
 
 
 def previous_end(runs: DataFrame, keys: list[str], end: str, tie: str, width: int) -> DataFrame:
@@ -51,15 +63,16 @@ def build_windows(runs: DataFrame, keys: list[str], fallback: int, width: int) -
     with one of zero, the median span of the session's runs before it, or `fallback` where none has one. Setup begins at
     preflight, else at the end of the run before. The first run's is the median of the other runs' setups, those over zero,
     before its measuring, not before session_start. Medians are rounded down. Then both starts are clamped to the end of the run before,
-    setup to measuring, measuring to the run's end. Runs without an end have no window; order is by (end, run).
+    setup to measuring, measuring to the run's end. Runs without an end have no window; order is by (end, run). Each pass reads
+    what the one before has written.
     """
     rows = previous_end(runs.filter(F.col("end").isNotNull()), keys, "end", "run", width)
     span = F.when(F.col("started").isNotNull(), F.col("end") - F.col("started")).otherwise(F.col("span"))
-    rows = rows.withColumn("span_", span)
+    rows = cut(rows.withColumn("span_", span))
     rows = rows.join(median_by(rows, keys, "span_", "usual_"), keys, "left")
     guess = F.when(F.coalesce("span", F.lit(0)) == 0, F.floor(F.coalesce("usual_", F.lit(fallback)))).otherwise(F.col("span"))
     measure = F.coalesce("started", F.col("end") - guess)
-    rows = rows.withColumn("m_", measure).withColumn("s_", F.coalesce("preflight", "prev_", "m_"))
+    rows = cut(rows.withColumn("m_", measure).withColumn("s_", F.coalesce("preflight", "prev_", "m_")))
     setups = rows.withColumn("pad_", F.when(F.col("prev_").isNotNull() & (F.col("m_") > F.col("s_")), F.col("m_") - F.col("s_")))
     rows = rows.join(median_by(setups, keys, "pad_", "pad_"), keys, "left")
     first = F.col("m_") - F.floor(F.coalesce("pad_", F.lit(0)))
@@ -68,7 +81,7 @@ def build_windows(runs: DataFrame, keys: list[str], fallback: int, width: int) -
     # greatest and least pass over nulls
     rows = rows.withColumn("m_", F.greatest("m_", "prev_")).withColumn("s_", F.least(F.greatest("s_", "prev_"), "m_"))
     source = F.when(F.col("started").isNotNull(), "header").when(F.coalesce("span", F.lit(0)) > 0, "device").otherwise("median")
-    return rows.select(*keys, "run", source.alias("source"), F.col("s_").cast("long").alias("setup_start"), F.least("m_", "end").cast("long").alias("measure_start"), "end")
+    return cut(rows.select(*keys, "run", source.alias("source"), F.col("s_").cast("long").alias("setup_start"), F.least("m_", "end").cast("long").alias("measure_start"), "end"))
 
 
 def next_end(points: DataFrame, windows: DataFrame, keys: list[str], at: str, tie: str, width: int) -> DataFrame:

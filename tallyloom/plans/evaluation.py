@@ -113,9 +113,7 @@ def baselines(spark, sf):
 @query("AGG31", """
 SELECT event_type, round(corr(r, v), 6) AS spearman FROM (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS r, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS v FROM events) GROUP BY 1""")
 def spearman(spark, sf):
-    mid = lambda c: F.rank().over(Window.partitionBy("event_type").orderBy(c)) + (F.count("*").over(Window.partitionBy("event_type", c)) - 1) / 2
-    e = read(spark, sf, "events").select("event_type", mid("user_id").alias("r"), mid("value").alias("v"))
-    return e.groupBy("event_type").agg(R(F.corr("r", "v")).alias("spearman"))
+    return stats.rank_correlation(read(spark, sf, "events"), ["event_type"], "user_id", "value").select("event_type", R(F.col("rho")).alias("spearman"))
 
 
 def _poisson_sql(*by):

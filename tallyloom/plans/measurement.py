@@ -39,8 +39,10 @@ def warmup_trimmed_median(spark, sf):
 @query("AGG07", """
 SELECT event_type, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / median(value), 6) AS iqr_over_median, round(max(value) / median(value), 6) AS range_ratio FROM events GROUP BY 1""")
 def spread_of_values(spark, sf):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    return events(spark, sf).groupBy("event_type").agg(R((q[1] - q[0]) / F.median("value")).alias("iqr_over_median"), R(F.max("value") / F.median("value")).alias("range_ratio"))
+    e = events(spark, sf)
+    q = windows.quantiles_by(e, ["event_type"], "value", {"low": 0.25, "mid": 0.5, "high": 0.75})
+    top = e.groupBy("event_type").agg(F.max("value").alias("top"))
+    return q.join(top, "event_type").select("event_type", R((F.col("high") - F.col("low")) / F.col("mid")).alias("iqr_over_median"), R(F.col("top") / F.col("mid")).alias("range_ratio"))
 
 
 @query("WIN01", """
@@ -180,8 +182,9 @@ def cost_concentration(spark, sf):
 @query("ext spread of types", """
 SELECT event_type AS window_source, count(*) AS n, round(median(abs(value - 50)), 6) AS median_abs, round(min(abs(value - 50)), 6) AS low, round(max(abs(value - 50)), 6) AS high, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1""")
 def alignment_score(spark, sf):
-    d = F.abs(F.col("value") - 50)
-    return read(spark, sf, "events").groupBy(F.col("event_type").alias("window_source")).agg(F.count("*").alias("n"), R(F.median(d)).alias("median_abs"), R(F.min(d)).alias("low"), R(F.max(d)).alias("high"), R(F.stddev_samp("value")).alias("sd"))
+    e = read(spark, sf, "events").select(F.col("event_type").alias("window_source"), "value", F.abs(F.col("value") - 50).alias("d"))
+    d, middle = F.col("d"), windows.median_by(e, ["window_source"], "d", "median_abs").withColumn("median_abs", R(F.col("median_abs")))
+    return middle.join(e.groupBy("window_source").agg(F.count("*").alias("n"), R(F.min(d)).alias("low"), R(F.max(d)).alias("high"), R(F.stddev_samp("value")).alias("sd")), "window_source")
 
 
 @query("AGG30 SCA21", """

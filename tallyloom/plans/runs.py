@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows
-from ..sources.tables import events
+from ..sources.tables import cut, events
 from .registry import query
 
 S, DAY = 1_000_000, 86_400_000_000
@@ -87,6 +87,7 @@ def window_alignment(spark, sf):
     near = F.min_by("value", F.struct(F.abs(F.col("us") - F.col("measure_start")), "us", "event_id"))
     hit = j.filter("w_ IS NOT NULL").select(*KEYS, "event_id", "us", "value", "w_.run", "w_.source", "w_.measure_start")
     d = hit.groupBy(*KEYS, "run", "source").agg(near.alias("value")).join(noted, [*KEYS, "run"]).withColumn("d", F.abs(F.col("value") - F.col("noted")))
+    d = cut(d.select("source", "d"))
     r = lambda f: F.round(f("d"), 6)
     rest = d.groupBy("source").agg(F.count("*").alias("runs"), r(F.min).alias("low"), r(F.max).alias("high"), r(F.avg).alias("mean"), r(F.stddev_samp).alias("sd"))
     return rest.join(windows.median_by(d, ["source"], "d", "median"), "source").withColumn("median", F.round("median", 6))
