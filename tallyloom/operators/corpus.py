@@ -77,3 +77,40 @@ def moving(deltas: DataFrame, scope: str, feature: str, delta: str, share: float
     moves = F.col(delta) != 0
     out = deltas.groupBy(feature).agg(F.count("*").alias("pairs"), F.count_if(moves).alias("moved"), F.count_distinct(F.when(moves, F.col(scope))).alias("scopes"))
     return out.filter((F.col("moved") >= share * F.col("pairs")) & (F.col("scopes") >= scopes))
+
+
+def content(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """[INC10, MLE30] keys, rows, bytes and digest of what each key holds: sums of parts of row digests, so no order and no group in one task matters; a repeated row counts."""
+    sha = F.sha2(F.coalesce(F.col(body), F.lit("")), 256)
+    part = lambda k: F.conv(F.substring(sha, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")
+    sums = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.coalesce(F.col(body), F.lit(""))).cast("long")).alias("bytes"), *(F.sum(part(k)).cast("string").alias(f"s{k}") for k in range(8)))
+    return sums.select(*keys, "rows", "bytes", F.sha2(F.concat_ws(",", *(f"s{k}" for k in range(8))), 256).alias("digest"))
+
+
+def rebuilt(baseline: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """[INC10, INC28] keys, verdict: same, or the first that differs of rows, bytes and digest; missing or new where one side lacks the key. Both sides are `content`."""
+    a, b = (d.select(*keys, F.struct("rows", "bytes", "digest").alias(n)) for d, n in ((baseline, "a_"), (now, "b_")))
+    differs = lambda c: ~F.col(f"a_.{c}").eqNullSafe(F.col(f"b_.{c}"))
+    verdict = F.when(F.col("b_").isNull(), "missing").when(F.col("a_").isNull(), "new").when(differs("rows"), "rows").when(differs("bytes"), "bytes").when(differs("digest"), "digest").otherwise("same")
+    return a.join(b, keys, "full").select(*keys, verdict.alias("verdict"))
+
+
+def gate(sources: DataFrame, forbidden: dict[str, str], frozen: list[str], checked: list[str]) -> DataFrame:
+    """[RUL12] id, violations: what a mutated source breaks, in the order of the checks; empty where it may stay.
+
+    sources: id, base_<part> and made_<part> for every part of `frozen` (what must not change, white space aside; null is absent), base and
+    made (whole texts), base_texts and made_texts (arrays of the strings shown), and a boolean for each of `checked`, what other
+    tools found. A forbidden construct is looked for outside strings and comments; a made text equal to its base is none.
+    """
+    from .spans import COMMENT, STRING
+
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    bare = F.regexp_replace("made", rf"{COMMENT}|{STRING}", " ")
+    broken = [F.when(bare.rlike(pattern), f"forbidden {name}") for name, pattern in forbidden.items()]
+    broken += [F.when(flat(f"made_{part}") != flat(f"base_{part}"), f"{part} changed") for part in frozen]
+    broken.append(F.when(flat("made") == flat("base"), "no change"))
+    shown = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
+    drift = F.concat(F.lit("texts +"), shown("made_texts", "base_texts"), F.lit(" -"), shown("base_texts", "made_texts"))
+    broken.append(F.when(F.size(F.array_except("made_texts", "base_texts")) + F.size(F.array_except("base_texts", "made_texts")) > 0, drift))
+    broken += [F.when(~F.coalesce(F.col(c), F.lit(False)), f"not {c}") for c in checked]
+    return sources.select("id", F.array_compact(F.array(*broken)).alias("violations"))

@@ -50,12 +50,34 @@ def percentile_interval(draws: DataFrame, value: str, level: float = 0.95) -> Da
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """[SCA12] P(X >= k)."""
+    """[SCA12] P(X >= k), the regularised incomplete beta function of p at (k, n - k + 1), by its continued fraction.
+
+    The fraction takes some dozens of steps around its middle for any n, in place of a sum over n terms.
+    """
     if k <= 0:
         return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(log)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
+    if k > n or p <= 0:
+        return 0.0
+    if p >= 1:
+        return 1.0
+    a, b = k, n - k + 1
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p))
+    # the fraction converges fast on the side of the mean; the other side is its complement
+    return front * _fraction(p, a, b) / a if p < (a + 1) / (a + b + 2) else 1 - front * _fraction(1 - p, b, a) / b
+
+
+def _fraction(x: float, a: float, b: float, steps: int = 100_000, close: float = 1e-15) -> float:
+    """The continued fraction of the incomplete beta function, evaluated forwards by ratios of convergents."""
+    tiny = 1e-300
+    over, under = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value = under
+    for m in range(1, steps):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            under, over = 1 / (1 + term * under or tiny), 1 + term / over or tiny
+            value *= under * over
+        if abs(under * over - 1) < close:
+            break
+    return value
 
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:

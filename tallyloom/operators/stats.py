@@ -104,12 +104,12 @@ def ranking_metrics(df: DataFrame, keys: list[str], score: str, label: str) -> D
 
 
 def confusion(df: DataFrame, keys: list[str], predicted: str, label: str) -> DataFrame:
-    """[MLE06] tp, fp, fn, tn, precision, recall, specificity, f1, mcc; null where a denominator is zero."""
+    """[MLE06] tp, fp, fn, tn, precision, recall, specificity, balanced_accuracy, f1, mcc; null where a denominator is zero."""
     p, y = F.col(predicted), F.col(label)
     c = df.groupBy(*keys).agg(*[F.count_if((p == a) & (y == b)).alias(n) for n, a, b in (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))])
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     ratio = lambda a, b: F.when(b != 0, a / b)
-    return c.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn), "mcc": ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))})
+    return c.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "balanced_accuracy": (ratio(tp, tp + fn) + ratio(tn, tn + fp)) / 2, "f1": ratio(2 * tp, 2 * tp + fp + fn), "mcc": ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))})
 
 
 def kappa(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

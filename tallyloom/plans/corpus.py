@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, unions
+from ..operators import corpus, spans, unions
 from ..sources.tables import events, read
 from .registry import query
 
@@ -140,3 +140,44 @@ def pruned_corpus(spark, sf):
     except ValueError:
         return same.crossJoin(F.broadcast(o.agg(F.count("*").alias("roles"))))
     raise AssertionError("a pruned corpus was not refused")
+
+
+_GATE = {"forbidden await": "k % 23 = 0", "imports changed": "k % 19 = 0", "fields changed": "k % 17 = 0", "start changed": "k % 13 = 0", "stop changed": "k % 11 = 0"}
+
+
+@query("RUL12", f"""
+WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS id, array_to_string(list_filter([{", ".join(f"CASE WHEN {w} THEN '{n}' END" for n, w in _GATE.items())}, CASE WHEN k % 7 = 0 AND {" AND ".join(f"NOT ({w})" for w in _GATE.values())} AND k % 29 > 0 THEN 'no change' END,
+  CASE WHEN k % 29 = 0 THEN 'texts +new' || k || ' -old' || k END, CASE WHEN k % 31 = 0 THEN 'not compiled' END], lambda v: v IS NOT NULL), '; ') AS violations FROM c""")
+def mutation_gate(spark, sf):
+    """Every customer's source and its mutation: imports, fields and lifecycle bodies cut out of both texts and compared, texts shown, constructs outside strings."""
+    k = F.col("c_custkey")
+    on = lambda n, a, b: F.when(k % n == 0, a).otherwise(b)
+    id_ = k.cast("string")
+
+    def source(start, stop, field, imports, shown, tree, extra):
+        return F.concat(F.lit("import 'a.dart';\n"), imports, F.lit("class _S extends State<A> {\n  final n = 1; // {\n"), field, F.lit("  @override\n  void initState() { if (a) { "), start, F.lit(" } }\n  void dispose() { "), stop, F.lit(" }\n  Widget build(c) { return "), tree, F.lit("(Text('await "), id_, F.lit("'), Text('"), shown, id_, F.lit("')); }\n"), extra, F.lit("}"))
+
+    base = source(F.lit("x();"), F.lit("y();"), F.lit("  int q = 2;\n"), F.lit(""), F.lit("old"), F.lit("Row"), F.lit(""))
+    made = source(on(13, "x(1);", "x();"), on(11, "", "y();"), on(17, "  int q = 3;\n", "  int   q = 2;\n"), on(19, "import 'b.dart';\n", ""), on(29, "new", "old"), on(7, "Row", "Column"), on(23, "  f() async { await g(); }\n", ""))
+    own = read(spark, sf, "customer").select(k.alias("id"), base.alias("base"), made.alias("made"), (k % 31 > 0).alias("compiled"))
+    for side in ("base", "made"):
+        own = own.withColumn(f"{side}_imports", F.array_join(F.array_sort(F.regexp_extract_all(side, F.lit(r"(?m)^(import\s+'[^']+';)"), F.lit(1))), "|"))
+        own = own.withColumn(f"{side}_texts", F.regexp_extract_all(side, F.lit(r"Text\('([^']*)'\)"), F.lit(1)))
+        own = own.withColumn(f"{side}_fields", F.regexp_extract(side, r"class _S[^{]*\{([\s\S]*?)@override", 1))
+        for part, mark in (("start", r"\binitState\s*\([^)]*\)"), ("stop", r"\bdispose\s*\([^)]*\)")):
+            own = spans.brace_block(own, "id", side, mark, strings=True).withColumnRenamed("block", f"{side}_{part}")
+    found = corpus.gate(own, {"await": r"\bawait\b"}, ["imports", "fields", "start", "stop"], ["compiled"])
+    return found.select("id", F.array_join("violations", "; ").alias("violations"))
+
+
+@query("INC10 MLE30 INC28", """
+WITH b AS (SELECT page_id, page_id % 40 AS part, html FROM pages WHERE page_id % 40 <> 3), n AS (SELECT page_id, page_id % 40 AS part, CASE WHEN page_id % 40 = 5 THEN html || 'x' WHEN page_id % 40 = 6 THEN reverse(html) ELSE html END AS html FROM pages WHERE page_id % 40 <> 4 AND NOT (page_id % 40 = 7 AND page_id < 40)),
+x AS (SELECT part, count(*) AS r, sum(strlen(html)) AS s, string_agg(sha256(html), ',' ORDER BY sha256(html)) AS d FROM b GROUP BY 1), y AS (SELECT part, count(*) AS r, sum(strlen(html)) AS s, string_agg(sha256(html), ',' ORDER BY sha256(html)) AS d FROM n GROUP BY 1)
+SELECT coalesce(x.part, y.part) AS part, CASE WHEN y.part IS NULL THEN 'missing' WHEN x.part IS NULL THEN 'new' WHEN x.r <> y.r THEN 'rows' WHEN x.s <> y.s THEN 'bytes' WHEN x.d <> y.d THEN 'digest' ELSE 'same' END AS verdict FROM x FULL JOIN y ON x.part = y.part""")
+def rebuild_verdicts(spark, sf):
+    """Parts of the pages against a baseline of their counts, bytes and digests: one gone, one new, others changed in each of the three."""
+    p, part = read(spark, sf, "pages").select("page_id", (F.col("page_id") % 40).alias("part"), "html"), F.col("part")
+    changed = F.when(part == 5, F.concat("html", F.lit("x"))).when(part == 6, F.reverse("html")).otherwise(F.col("html"))
+    now = p.filter((part != 4) & ~((part == 7) & (F.col("page_id") < 40))).withColumn("html", changed)
+    return corpus.rebuilt(corpus.content(p.filter(part != 3), ["part"], "html"), corpus.content(now, ["part"], "html"), ["part"])

@@ -35,12 +35,12 @@ def average_precision(spark, sf):
 
 @query("MLE06", f"""
 WITH {_SCORED}, c AS (SELECT lang, count(*) FILTER (score > 2000 AND y = 1) AS tp, count(*) FILTER (score > 2000 AND y = 0) AS fp, count(*) FILTER (score <= 2000 AND y = 1) AS fn, count(*) FILTER (score <= 2000 AND y = 0) AS tn FROM s GROUP BY 1)
-SELECT lang, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall,
-round((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS mcc FROM c""")
+SELECT lang, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(tn / nullif(tn + fp, 0)::DOUBLE, 6) AS specificity,
+round((tp / nullif(tp + fn, 0)::DOUBLE + tn / nullif(tn + fp, 0)::DOUBLE) / 2, 6) AS balanced_accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS mcc FROM c""")
 def confusion(spark, sf):
     s = _scored(spark, sf).withColumn("pred", (F.col("score") > 2000).cast("int"))
     c = stats.confusion(s, ["lang"], "pred", "y")
-    return c.select("lang", "tp", "fp", "fn", "tn", *[R(F.col(x)).alias(x) for x in ("precision", "recall", "mcc")])
+    return c.select("lang", "tp", "fp", "fn", "tn", *[R(F.col(x)).alias(x) for x in ("precision", "recall", "specificity", "balanced_accuracy", "f1", "mcc")])
 
 
 @query("WIN12", f"""
@@ -143,7 +143,7 @@ def pair_bootstrap(spark, sf):
     return resample.pair_bootstrap(e, "event_type", "arm", "value", 2000, 20260803)
 
 
-@query("SCA12 MLE24")
+@query("SCA12")
 def exact_binomial(spark, sf):
     s = _scored(spark, sf).groupBy("lang").agg(F.sum((F.col("z") == 1).cast("long")).alias("hits"), F.count("*").alias("total"))
     return resample.exact_intervals(s, "lang", "hits", "total")

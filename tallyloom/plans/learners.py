@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learners, stats
+from ..operators import learners, resample, stats
 from ..sources.tables import read
 from .registry import query
 
@@ -129,3 +129,13 @@ def permutation_importance(spark, sf):
     fitted = learners.fit_forest(rows, DESIGN, learners.scales(rows, DESIGN), 100, [4], [2], SEED)
     drop = learners.permutation_drop(rows, DESIGN, fitted, dict.fromkeys(range(DESIGN.outer), 0), 10, SEED)
     return drop.select(F.array(*(F.lit(f) for f in FEATURES))[F.col("feature")].alias("feature"), R(F.col("drop")).alias("drop")).orderBy(F.desc("drop"), "feature")
+
+
+@query("MLE24 SCA12")
+def agreement_by_bin(spark, sf):
+    """How often the rise of one feature agrees with the label, by bins of another's change and near its threshold against elsewhere, with exact intervals."""
+    p = _pairs(spark, sf).select(F.abs("n_chars").alias("d"), ((F.col("commas") > 0) == (F.col("y") == 1)).cast("long").alias("hit"))
+    bins = F.array(F.concat(F.lit("bin "), F.least(F.floor(F.col("d") / 500), F.lit(9)).cast("string")), F.when(F.abs(F.col("d") - 1000) < 500, "near").otherwise("elsewhere"))
+    sums = p.select(F.explode(bins).alias("bin"), "hit").groupBy("bin").agg(F.sum("hit").alias("hits"), F.count("*").alias("total"))
+    out = resample.exact_intervals(sums, "bin", "hits", "total")
+    return out.select("bin", "hits", "total", *(R(F.col(c)).alias(c) for c in ("p_value", "low", "high")))

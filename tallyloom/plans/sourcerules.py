@@ -146,15 +146,6 @@ def foreign_edits(spark, sf):
     return s.select("file", F.sha2("s", 256).alias("sha256"), F.length("s").cast("long").alias("n"))
 
 
-@query("RUL12", """
-SELECT o_orderkey AS file, array_to_string(list_filter([CASE WHEN o_totalprice < 1000 THEN 'no change' END, CASE WHEN o_orderstatus = 'P' THEN 'does not parse' END, CASE WHEN o_custkey % 7 = 0 THEN 'other directive' END, CASE WHEN o_orderkey % 9 = 0 THEN 'label moved' END,
-  CASE WHEN o_orderkey % 10 = 0 THEN 'import added' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'banner lost' END], lambda q: q IS NOT NULL), '; ') AS violations FROM orders""")
-def mutation_gate(spark, sf):
-    """Six checks in their order; a mutation with a violation goes."""
-    checks = {"no change": F.col("o_totalprice") < 1000, "does not parse": F.col("o_orderstatus") == "P", "other directive": F.col("o_custkey") % 7 == 0, "label moved": F.col("o_orderkey") % 9 == 0, "import added": F.col("o_orderkey") % 10 == 0, "banner lost": F.startswith("o_orderpriority", F.lit("1"))}
-    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), F.array_join(F.array_compact(F.array(*[F.when(p, n) for n, p in checks.items()])), "; ").alias("violations"))
-
-
 @query("SRC11 SRC12 FLT06 FLT16", """
 WITH e AS (SELECT user_id, event_id, greatest(CAST(floor(value) AS BIGINT) - 20, 0) AS us FROM events)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, us FROM e WHERE us > 0""")

@@ -59,3 +59,24 @@ def test_features_that_move(spark):
     rows = [("f", s, d) for s, d in ((1, 1), (2, -1), (3, 1), (3, 0))] + [("g", s, 1 if s < 3 else 0) for s in range(1, 5)] + [("h", s, 1 if s < 4 else 0) for s in range(1, 101)]
     got = {r.f: (r.pairs, r.moved, r.scopes) for r in corpus.moving(frame(spark, rows, "f string, s int, d int"), "s", "f", "d").collect()}
     assert got == {"f": (4, 3, 3)}
+
+
+def test_rebuilt_content(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "q"), ("c", "é"), ("d", None), ("e", "12")]
+    then = corpus.content(frame(spark, rows, "k string, t string"), ["k"], "t")
+    assert {r.k: (r.rows, r.bytes) for r in then.collect()} == {"a": (2, 2), "b": (1, 1), "c": (1, 2), "d": (1, 0), "e": (1, 2)}
+    now = corpus.content(frame(spark, [("a", "y"), ("a", "x"), ("b", "q"), ("b", "q"), ("c", "ab"), ("e", "123"), ("f", "")], "k string, t string"), ["k"], "t")
+    assert {r.k: r.verdict for r in corpus.rebuilt(then, now, ["k"]).collect()} == {"a": "same", "b": "rows", "c": "digest", "d": "missing", "e": "bytes", "f": "new"}
+
+
+def test_gate_of_mutations(spark):
+    rows = [
+        ("fine", "a  b", "a b", "one two", "two one", ["t"], ["t"], True),
+        ("copy", "a", "a", "one\n two", "one  two", [], [], True),
+        ("field", "a", None, "one", "two", ["x", "y"], ["y", "z"], True),
+        ("word", "a", "a", "one", "await x", [], [], None),
+        ("said", "a", "a", "one", "f('await x'); // await", [], [], True),
+    ]
+    df = frame(spark, rows, "id string, base_f string, made_f string, base string, made string, base_texts array<string>, made_texts array<string>, compiled boolean")
+    got = {r.id: r.violations for r in corpus.gate(df, {"await": r"\bawait\b"}, ["f"], ["compiled"]).collect()}
+    assert got == {"fine": [], "copy": ["no change"], "field": ["f changed", "texts +z -x"], "word": ["forbidden await", "not compiled"], "said": []}

@@ -1,5 +1,8 @@
 """Operators on small frames with known answers."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +125,13 @@ def test_spdx_needs_every_phrase(spark):
 
 def test_binomial_and_interval():
     assert resample.binomial_tail(5, 5, 0.5) == pytest.approx(1 / 32)
+    for n, p in ((1, 0.5), (7, 0.2), (40, 0.01), (60, 0.9), (200, 0.5)):
+        exact = [math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(n + 1)]
+        for k in range(n + 2):
+            assert resample.binomial_tail(k, n, p) == pytest.approx(float(sum(exact[k:])), rel=1e-10, abs=1e-300)
+    assert resample.binomial_tail(500_000, 1_000_000, 0.5) == pytest.approx(0.5003989, abs=1e-6)
+    low, high = resample.clopper_pearson(3_000_000, 10_000_000)
+    assert low == pytest.approx(0.3 - 1.96 * math.sqrt(0.21e-7), abs=1e-6) and high == pytest.approx(0.3 + 1.96 * math.sqrt(0.21e-7), abs=1e-6)
     assert resample.clopper_pearson(0, 10) == (0.0, pytest.approx(0.308497, abs=1e-5))
     low, high = resample.clopper_pearson(86, 110)
     assert (round(low, 3), round(high, 3)) == (0.693, 0.855)
