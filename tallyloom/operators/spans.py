@@ -134,22 +134,22 @@ def initialiser(texts: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return texts.join(out, key, "left")
 
 
-def thrown(lines: DataFrame, key: str, at: str, line: str, frame: str, back: int = 39) -> DataFrame:
+def thrown(lines: DataFrame, key: str, at: str, line: str, frame: str, named: str, back: int = 39) -> DataFrame:
     """[SCA23] key, message for each key of lines: what its log says was thrown from a frame of ours; null without one.
 
-    A line `[SPM:err] text` whose text is no frame names it: the first such counts. Else the first line that matches `frame` is
+    A line whose first group of the pattern `named` is no frame names it: the first such counts. Else the first line that matches `frame` is
     taken, and of the lines up to `back` before it the nearest of the tag flutter that is neither empty nor a frame; if none
     is that near, a general message. Line numbers are unique in a key.
 
     Marks and the first frame are aggregates; only the lines at that frame are looked at again, by (key, cell of line numbers).
     """
-    named = F.regexp_extract(line, r"\[SPM:err\]\s+(.*)$", 1)
+    name = F.trim(F.regexp_extract(line, named, 1))
     told = F.regexp_extract(F.trim(line), r"^[A-Z]/flutter\s*\(\s*\d+\):\s?(.*)$", 1)
     trace = r"^#\d+\s"
     rows = lines.select(
         key,
         F.col(at).cast("long").alias("n_"),
-        F.when((F.trim(named) != "") & ~F.trim(named).rlike(trace), F.trim(named)).alias("named_"),
+        F.when((name != "") & ~name.rlike(trace), name).alias("named_"),
         F.when((told != "") & ~told.rlike(trace), F.trim(told)).alias("told_"),
         F.col(line).rlike(frame).alias("frame_"),
     )

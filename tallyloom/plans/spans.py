@@ -93,7 +93,7 @@ FROM f LEFT JOIN m ON m.user_id = f.user_id LEFT JOIN l ON l.user_id = m.user_id
 def thrown_messages(spark, sf):
     """Each user's events as a log: named errors, frames of ours, and messages some of which stand near enough before the first frame."""
     k = F.col("event_id").cast("string")
-    said = F.when(F.col("event_id") % 211 == 3, F.concat(F.lit("[SPM:err] broke "), k)).when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "I/flutter (7): #0  draw (package:made/view.dart:3)")
+    said = F.when(F.col("event_id") % 211 == 3, F.concat(F.lit("[err] broke "), k)).when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "I/flutter (7): #0  draw (package:made/view.dart:3)")
     said = said.when(F.col("event_id") % 17 == 1, F.concat(F.lit("I/flutter ( 7): lost "), k)).otherwise("D/other: x")
     lines = events(spark, sf).select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).alias("n"), said.alias("line"))
-    return spans.thrown(lines, "user_id", "n", "line", r"#0\s+.*\(package:made/view\.dart:\d+")
+    return spans.thrown(lines, "user_id", "n", "line", r"#0\s+.*\(package:made/view\.dart:\d+", r"\[err\]\s+(.*)$")

@@ -125,11 +125,11 @@ def test_log_lines(spark):
         "edge": {1: hit % 2, 40: frame, 41: hit % 3},
         "far": {1: hit % 4, 41: frame},
         "second": {50: frame, 60: hit % 5, 61: frame},
-        "named": {1: "x [SPM:err] #0 no", 7: "[SPM:err]  it broke ", 8: frame},
+        "named": {1: "x [err] #0 no", 7: "[err]  it broke ", 8: frame},
         "empty": {3: "I/flutter ( 2): ", 4: frame},
         "none": {1: hit % 6},
     }
     lines = [(k, n, t) for k, own in logs.items() for n, t in own.items()]
-    got = {r.k: r.message for r in spans.thrown(spark.createDataFrame(lines, "k string, n int, t string"), "k", "n", "t", FRAME).collect()}
+    got = {r.k: r.message for r in spans.thrown(spark.createDataFrame(lines, "k string, n int, t string"), "k", "n", "t", FRAME, r"\[err\]\s+(.*)$").collect()}
     general = "an exception was thrown from the build"
     assert got == {"near": "lost 1", "edge": "lost 2", "far": general, "second": general, "named": "it broke", "empty": general, "none": None}
