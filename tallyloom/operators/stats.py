@@ -26,9 +26,9 @@ def below(counted: DataFrame, keys: list[str], value: str, sums: list[str], desc
     before = (Window.unboundedPreceding, -1)
     per = c.groupBy(*keys, "c_").agg(*(F.sum(x).alias(x) for x in sums))
     across, whole = Window.partitionBy(*keys).orderBy(order("c_")).rowsBetween(*before), Window.partitionBy(*keys)
-    per = per.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("c_").alias("k_c"), *(F.coalesce(F.sum(x).over(across), F.lit(0)).alias(f"cells_{x}") for x in sums), *(F.sum(x).over(whole).alias(f"all_{x}") for x in sums))
+    per = per.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("c_").alias("of_cell_"), *(F.coalesce(F.sum(x).over(across), F.lit(0)).alias(f"cells_{x}") for x in sums), *(F.sum(x).over(whole).alias(f"all_{x}") for x in sums))
     inside = Window.partitionBy(*keys, "c_").orderBy(order(value)).rowsBetween(*before)
-    same = [c[k].eqNullSafe(per[f"k_{k}"]) for k in keys] + [c["c_"].eqNullSafe(per["k_c"])]
+    same = [c[k].eqNullSafe(per[f"k_{k}"]) for k in keys] + [c["c_"].eqNullSafe(per["of_cell_"])]
     placed = c.withColumns({f"own_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).join(per, same)
     return placed.select(*counted.columns, *((F.col(f"cells_{x}") + F.col(f"own_{x}")).alias(f"below_{x}") for x in sums), *(f"all_{x}" for x in sums))
 
