@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import fresh, parts, table
 from .shards import BUCKET, KEY, SPANS_SQL, Shard, by_bucket, sharded, unpack
 
 #: A cut depends on this many bytes; one of 2**CUT_BITS places is a cut; repeated chunks in a row go if they span MIN_RUN bytes.
@@ -66,6 +66,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     whole = whole.drop(*added) if with_text else whole.select(KEY, "doc_id", "text")
 
     def offer(group: pa.Table) -> pa.Table:
+        fresh()
         c = Chunks(Shard(group, WINDOW), buckets)
         return by_bucket(group[KEY][0].as_py(), c.bucket, digest=c.digest, first=c.first)
 

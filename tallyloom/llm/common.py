@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from ..sources.tables import shared_dir
 
 
+#: What a Python worker keeps from task to task; operators without use for it give it back.
+KEPT: list = []
+
+
+def fresh() -> None:
+    """Forget what tokenizers have remembered in this worker: a worker serves one operator after another, and memories would add up."""
+    full = [c for c in KEPT if c.cache_info().currsize]
+    for c in full:
+        c.cache_clear()
+    if full:
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, by a path that only Spark opens."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, parts, table
+from .common import cut, discard, fresh, parts, table
 from .components import components
 from .shards import KEY, ends_of, sharded, unpack
 
@@ -123,6 +123,7 @@ def entries(docs: DataFrame) -> DataFrame:
 
     def offer(group: pa.Table) -> pa.Table:
         """By bucket: distinct tokens, 32 bits beside the bucket, and how many classes of the shard hold each, 255 at most; digests of classes and the place of the first."""
+        fresh()
         p = Tokens(group, buckets)
         held = np.minimum(np.diff(np.append(p.first, len(p.token))), 255).astype(np.uint8)
         key, rows = p.token[p.first].astype(np.uint32), []

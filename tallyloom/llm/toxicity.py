@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, spread, table
+from .common import doc_rows, fresh, spread, table
 
 #: Labelled documents to learn from at most; hashed features; a feature of fewer documents is ignored; words remembered.
 SAMPLE, DIMS, LEAST_DOCS, WORDS = 5000, 1 << 19, 4, 200_000
@@ -184,6 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     w, bias = fit(docs, labels, sample)
 
     def run(batches):
+        fresh()
         weights = Weights(w, bias)
         for b in batches:
             out = [score(t.as_py(), weights) for t in b.column("text")]
@@ -199,6 +200,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     w, bias = fit(docs, labels, sample)
 
     def run(batches):
+        fresh()
         weights = Weights(w, bias)
         for b in batches:
             yield b.filter(pa.array([score(t.as_py() or "", weights)[0] < THRESHOLD for t in b.column("text")], pa.bool_()))

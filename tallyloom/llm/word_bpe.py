@@ -13,6 +13,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import KEPT
+
 #: Chunks and pre-tokens that a worker remembers; later ones are worked out each time. The common ones come early.
 CHUNKS, WORDS = 400_000, 500_000
 #: A worker is one of many on its machine: no threads of the library beside it.
@@ -201,3 +203,6 @@ def counter(path: str, whole: frozenset) -> Counter:
 @lru_cache(maxsize=2)
 def ids(path: str) -> Ids:
     return Ids(load(path))
+
+
+KEPT.extend([counter, ids])
