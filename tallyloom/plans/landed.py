@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..sources import files, sinks
-from ..sources.tables import events, read, shared_dir
+from ..sources.tables import read, shared_dir
 from .registry import query
 
 
