@@ -114,3 +114,36 @@ def gate(sources: DataFrame, forbidden: dict[str, str], frozen: list[str], check
     broken.append(F.when(F.size(F.array_except("made_texts", "base_texts")) + F.size(F.array_except("base_texts", "made_texts")) > 0, drift))
     broken += [F.when(~F.coalesce(F.col(c), F.lit(False)), f"not {c}") for c in checked]
     return sources.select("id", F.array_compact(F.array(*broken)).alias("violations"))
+
+
+def app_shape(entries: Column, settings: Column) -> Column:
+    """[FLT10] Why a repository is no application of the wanted shape, by the first that holds: no settings, a plugin, no android folder, a desktop folder, a lower SDK bound under 2.12 or none; null if it is one.
+
+    entries: names at the root. settings: text of its settings file, null if there is none. A bound is what follows sdk: with >= or ^.
+    """
+    from ..functions.text import version_at_least
+
+    bound = version_at_least(settings, r"""sdk\s*:\s*["']?\s*(?:>=|\^)\s*(\d+)\.(\d+)(?:\.(\d+))?""", (2, 12, 0))
+    desktop = F.arrays_overlap(entries, F.array(F.lit("linux"), F.lit("macos"), F.lit("windows")))
+    plugin = F.contains(settings, F.lit("plugin:")) & F.contains(settings, F.lit("platforms:"))
+    return F.when(settings.isNull(), "no settings").when(plugin, "plugin").when(~F.array_contains(entries, "android"), "no android").when(desktop, "desktop").when(~F.coalesce(bound, F.lit(False)), "sdk")
+
+
+def with_history(fresh: DataFrame, prior: DataFrame, committed: DataFrame, keys: list[str]) -> DataFrame:
+    """[JOI31, INC29] fresh with replaced, applied and overridden: what an override replaced, the first value recorded for good.
+
+    fresh: keys, current, maximal. prior: keys, replaced, applied. committed: keys, value, as the last commit has it. What prior
+    holds stays. Else, only where the current value is the maximal one, a committed value that differs is taken as the one replaced;
+    a value that could not be decided (maximal null) is never filled in. Keys that fresh lacks go.
+    """
+    rows = fresh.join(prior.select(*keys, F.col("replaced").alias("was_"), F.col("applied").alias("how_")), keys, "left").join(committed.select(*keys, F.col("value").alias("head_")), keys, "left")
+    fill = F.col("was_").isNull() & (F.col("current") == F.col("maximal")) & (F.col("head_") != F.col("current"))
+    replaced = F.when(F.coalesce(fill, F.lit(False)), F.col("head_")).otherwise(F.col("was_"))
+    applied = F.when(F.coalesce(fill, F.lit(False)), F.coalesce("how_", F.lit("backfilled"))).otherwise(F.col("how_"))
+    return rows.select(*fresh.columns, replaced.alias("replaced"), applied.alias("applied"), replaced.isNotNull().alias("overridden"))
+
+
+def claims(values: DataFrame, reported: DataFrame, name: str, tolerance: str) -> DataFrame:
+    """[MLE28] name, value, reported, ok: figures worked out against figures reported, each within its tolerance. A claim without a figure is not ok."""
+    rows = reported.select(name, F.col("reported"), F.col(tolerance).alias("t_")).join(values.select(name, "value"), name, "left")
+    return rows.select(name, "value", "reported", F.coalesce(F.abs(F.col("value") - F.col("reported")) <= F.col("t_"), F.lit(False)).alias("ok"))

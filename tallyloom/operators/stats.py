@@ -187,3 +187,21 @@ def inflation_factors(df: DataFrame, features: list[str]) -> DataFrame:
     for i, j in pairs:
         r[i, j] = r[j, i] = row[f"r{i}_{j}"]
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, np.diag(np.linalg.inv(r)), strict=True)], "feature string, vif double")
+
+
+def restriction_funnel(df: DataFrame, steps: list[tuple[str, Column]], group: str, label: str, vector: list[str]) -> DataFrame:
+    """[AGG34] step, name, n, groups, prevalence, majority, ceiling of the rows that meet all conditions up to each step.
+
+    majority is the better constant answer, ceiling the best that any rule on `vector` could reach. A row is counted once for each step it
+    reaches; counts by vector come first, so no step meets in one task but as those.
+    """
+    reached = [F.lit(True)]
+    for _, c in steps:
+        reached.append(reached[-1] & F.coalesce(c, F.lit(False)))
+    names = F.array(*(F.when(r, F.struct(F.lit(k).alias("step"), F.lit(n).alias("name"))) for k, (r, (n, _)) in enumerate(zip(reached[1:], steps, strict=True))))
+    rows = df.select(group, F.col(label).cast("long").alias("y_"), *vector, F.explode(F.array_compact(names)).alias("s_")).select("s_.*", group, "y_", *vector)
+    cells = rows.groupBy("step", "name", *vector).agg(F.count("*").alias("n"), F.sum("y_").alias("p"))
+    out = cells.groupBy("step", "name").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.greatest("p", F.col("n") - F.col("p"))).alias("best"))
+    groups = rows.select("step", group).distinct().groupBy("step").agg(F.count(group).alias("groups"))
+    share = F.col("p") / F.col("n")
+    return out.join(groups, "step").select("step", "name", "n", "groups", share.alias("prevalence"), F.greatest(share, 1 - share).alias("majority"), (F.col("best") / F.col("n")).alias("ceiling"))

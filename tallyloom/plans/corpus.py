@@ -181,3 +181,39 @@ def rebuild_verdicts(spark, sf):
     changed = F.when(part == 5, F.concat("html", F.lit("x"))).when(part == 6, F.reverse("html")).otherwise(F.col("html"))
     now = p.filter((part != 4) & ~((part == 7) & (F.col("page_id") < 40))).withColumn("html", changed)
     return corpus.rebuilt(corpus.content(p.filter(part != 3), ["part"], "html"), corpus.content(now, ["part"], "html"), ["part"])
+
+
+@query("FLT10", """
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'no settings' WHEN p_partkey % 11 = 0 THEN 'plugin' WHEN p_partkey % 7 = 0 THEN 'no android' WHEN p_partkey % 5 = 0 THEN 'desktop' WHEN p_size % 4 < 2 OR p_size % 4 = 2 AND p_size < 12 OR p_partkey % 17 = 0 THEN 'sdk' END AS why FROM part""")
+def app_shapes(spark, sf):
+    """Every part as a repository: its root entries and a settings file with a bound of its size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    bound = F.when(k % 17 == 0, F.lit("sdk: any")).otherwise(F.concat(F.when(k % 2 == 0, "sdk: '>=").otherwise("sdk: ^"), (size % 4).cast("string"), F.lit("."), size.cast("string"), F.when(k % 3 == 0, ".1 <9.0.0'").otherwise("")))
+    text = F.when(k % 13 != 0, F.concat(F.lit("name: x\nenvironment:\n  "), bound, F.when(k % 11 == 0, "\nplugin:\n  platforms:\n").otherwise("\nplugin_free:\n")))
+    entries = F.array_compact(F.array(F.lit("lib"), F.when(k % 7 != 0, "android"), F.when(k % 5 == 0, "macos")))
+    return read(spark, sf, "part").select("p_partkey", corpus.app_shape(entries, text).alias("why"))
+
+
+@query("JOI31", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'kept' WHEN o_orderkey % 4 = 1 AND o_custkey % 2 = 0 THEN 'older' END AS replaced, CASE WHEN o_orderkey % 3 = 0 THEN 'by hand' WHEN o_orderkey % 4 = 1 AND o_custkey % 2 = 0 THEN 'backfilled' END AS applied,
+o_orderkey % 3 = 0 OR o_orderkey % 4 = 1 AND o_custkey % 2 = 0 AS overridden FROM orders""")
+def override_history(spark, sf):
+    """Values of every order: a third was replaced before, some sit on their maximal arm and differ from the last commit, some cannot be decided."""
+    o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    fresh = o.select(k, F.lit("now").alias("current"), F.when(k % 4 == 1, "now").when(k % 4 == 2, "other").alias("maximal"))
+    prior = o.filter(k % 3 == 0).select(k, F.lit("kept").alias("replaced"), F.lit("by hand").alias("applied"))
+    committed = o.select(k, F.when(F.col("o_custkey") % 2 == 0, "older").otherwise("now").alias("value"))
+    return corpus.with_history(fresh, prior, committed, ["o_orderkey"]).select("o_orderkey", "replaced", "applied", "overridden")
+
+
+@query("MLE28", """
+WITH v AS (SELECT source AS claim, avg(quality) AS value FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS (SELECT source AS claim, round(avg(quality), 2) + CASE WHEN substr(source, -1) = '3' THEN 0.5 ELSE 0 END AS reported FROM documents JOIN labels USING (doc_id) GROUP BY 1 UNION ALL SELECT 'nothing', 1.0)
+SELECT r.claim, round(value, 6) AS value, round(reported, 6) AS reported, coalesce(abs(value - reported) <= 0.006, false) AS ok FROM r LEFT JOIN v ON v.claim = r.claim""")
+def claimed_figures(spark, sf):
+    """Rates of every source against rates as a report would quote them; a wrong one and one about nothing fail."""
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("claim")).join(read(spark, sf, "labels"), "doc_id")
+    values = d.groupBy("claim").agg(F.avg("quality").alias("value"))
+    quoted = values.select("claim", (F.round("value", 2) + F.when(F.endswith("claim", F.lit("3")), 0.5).otherwise(0.0)).alias("reported"))
+    quoted = quoted.unionByName(spark.range(1).select(F.lit("nothing").alias("claim"), F.lit(1.0).alias("reported"))).withColumn("within", F.lit(0.006))
+    out = corpus.claims(values, quoted, "claim", "within")
+    return out.select("claim", F.round("value", 6).alias("value"), F.round("reported", 6).alias("reported"), "ok")

@@ -209,3 +209,15 @@ def group_cv_auc(spark, sf):
             got = model.fit(train).transform(test).select(F.lit(name).alias("learner"), F.lit(fold).alias("fold"), vector_to_array("probability")[1].alias("score"), F.col("y").cast("int").alias("y"))
             out = got if out is None else out.union(got)
     return stats.ranking_metrics(out, ["learner", "fold"], "score", "y")
+
+
+@query("AGG34", f"""
+WITH {_SCORED}, r AS (SELECT *, score // 500 AS b, unnest([0, 1, 2, 3]) AS step FROM s),
+k AS (SELECT * FROM r WHERE step = 0 OR step = 1 AND score > 300 OR step = 2 AND score > 300 AND lang <> 'de' OR step = 3 AND score > 300 AND lang <> 'de' AND z = 1),
+c AS (SELECT step, lang, b, count(*) AS n, sum(y) AS p FROM k GROUP BY 1, 2, 3), o AS (SELECT step, sum(n) AS n, sum(p) AS p, sum(greatest(p, n - p)) AS best FROM c GROUP BY 1), g AS (SELECT step, count(DISTINCT source) AS groups FROM k GROUP BY 1)
+SELECT o.step, ['labelled', 'long', 'not de', 'good'][o.step + 1] AS name, CAST(n AS BIGINT) AS n, groups, round(p / n::DOUBLE, 6) AS prevalence, round(greatest(p / n::DOUBLE, 1 - p / n::DOUBLE), 6) AS majority, round(best / n::DOUBLE, 6) AS ceiling FROM o JOIN g ON g.step = o.step""")
+def restriction_funnel(spark, sf):
+    steps = [("labelled", F.lit(True)), ("long", F.col("score") > 300), ("not de", F.col("lang") != "de"), ("good", F.col("z") == 1)]
+    s = _scored(spark, sf).withColumn("b", F.floor(F.col("score") / 500))
+    out = stats.restriction_funnel(s, steps, "source", "y", ["lang", "b"])
+    return out.select("step", "name", "n", "groups", *(R(F.col(c)).alias(c) for c in ("prevalence", "majority", "ceiling")))

@@ -113,7 +113,7 @@ def resume_actions(spark, sf):
     return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.when(n >= 15, "skip").when(n >= 10, "redo").otherwise("drop").alias("action"))
 
 
-@query("MLE28", "SELECT 'orders' AS name, count(*) AS rows, count(*) = count(DISTINCT o_orderkey) AS unique_key, count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders")
+@query("ext row counts", "SELECT 'orders' AS name, count(*) AS rows, count(*) = count(DISTINCT o_orderkey) AS unique_key, count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders")
 def rebuild_gate(spark, sf):
     return read(spark, sf, "orders").agg(F.lit("orders").alias("name"), F.count("*").alias("rows"), (F.count("*") == F.count_distinct("o_orderkey")).alias("unique_key"), F.count_if(F.col("o_orderkey").isNull()).alias("nulls")).select("name", "rows", "unique_key", "nulls")
 

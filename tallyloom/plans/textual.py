@@ -57,7 +57,7 @@ def repo_keys(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.repo_key(F.col("url")).alias("repo_key"))
 
 
-@query("SCA09 FLT10", r"""
+@query("SCA09", r"""
 WITH v AS (SELECT page_id, TRY_CAST(regexp_extract(url, '([0-9]+)', 1) AS INT) AS a FROM pages)
 SELECT page_id, CASE WHEN a IS NOT NULL THEN (a > 2) OR (a = 2 AND 0 >= 12) END AS modern FROM v""")
 def version_floor(spark, sf):
