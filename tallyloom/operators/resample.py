@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,22 @@ POISSON = [math.exp(-1) * math.fsum(1 / math.factorial(i) for i in range(k + 1))
 def poisson(seed: int, *by) -> Column:
     """A Poisson(1) number of 52 bits of a digest of columns."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in by]))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+    return poisson_of(F.substring(digest, 1, 13))
+
+
+def poisson_of(digits: Column) -> Column:
+    """The number that 13 hexadecimal digits h stand for: how many of POISSON are at most (h + 0.5) / 2^52, compared as digits."""
+    least = [f"{math.ceil(Fraction(c) * (1 << 52) - Fraction(1, 2)):013x}" for c in POISSON]
+    out = F.when(digits < least[0], 0)
+    for k, x in enumerate(least[1:], 1):
+        out = out.when(digits < x, k)
+    return out.otherwise(len(least))
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows over all cores before they are multiplied: few rows would otherwise come as one partition."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(*by))
 
 
 def two_stage_bootstrap(df: DataFrame, outer: str, inner: str, hits: Column, total: Column, draws: int, seed: int) -> DataFrame:
@@ -37,10 +52,13 @@ def two_stage_bootstrap(df: DataFrame, outer: str, inner: str, hits: Column, tot
 
     Weights are Poisson numbers of hashes as in group_bootstrap; an inner cluster adds one for each time its outer one came.
     """
-    own = df.groupBy(outer, inner).agg(hits.alias("a"), total.alias("t"))
-    rows = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("o", poisson(seed, "draw", outer)).filter("o > 0")
-    w = F.aggregate(F.sequence(F.lit(1), F.col("o")), F.lit(0), lambda n, k: n + poisson(seed + 1, "draw", outer, inner, k))
-    return rows.withColumn("w", w).groupBy("draw").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("share"))
+    own = dealt(df.groupBy(outer, inner).agg(hits.alias("a"), total.alias("t")), outer, inner)
+    # an outer cluster's draws are worked out once and kept as one list beside it
+    came = df.select(outer).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("o_", poisson(seed, "draw", outer))
+    lists = came.groupBy(outer).agg(F.flatten(F.collect_list(F.transform(F.slice(F.lit(list(range(1, len(POISSON) + 1))), F.lit(1), F.col("o_")), lambda k: F.struct("draw", k.alias("k_"))))).alias("c_"))
+    times = own.join(lists.withColumnRenamed(outer, "outer_"), F.col(outer).eqNullSafe(F.col("outer_"))).select(outer, inner, "a", "t", F.explode("c_").alias("c_")).select("*", "c_.draw", "c_.k_")
+    drawn = times.select("draw", "a", "t", poisson(seed + 1, "draw", outer, inner, "k_").alias("w"))
+    return drawn.groupBy("draw").agg((F.sum(F.col("a") * F.col("w")) / F.nullif(F.sum(F.col("t") * F.col("w")), F.lit(0))).alias("share"))
 
 
 def percentile_interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
