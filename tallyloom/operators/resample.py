@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import zlib
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,23 +129,68 @@ def exact_intervals(df: DataFrame, key: str, hits: str, total: str) -> DataFrame
     return df.select(key, hits, total).mapInPandas(run, f"{key} {kind}, {hits} long, {total} long, p_value double, low double, high double")
 
 
-def pair_bootstrap(df: DataFrame, key: str, arm: str, value: str, draws: int, seed: int) -> DataFrame:
-    """[MLE09] key, delta, low, high: rows of each arm drawn with replacement, generator seeded by (seed, crc32(key)). Keys are bounded groups."""
-    import zlib
+#: Distinct values of a key that are worked on together, cells of a key at most, counts held at a time.
+VALUES, CELLS, HELD = 512, 256, 1_000_000
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        l, r = np.sort(pdf[value][pdf[arm] == 0].to_numpy()), np.sort(pdf[value][pdf[arm] == 1].to_numpy())  # noqa: E741
 
-        def delta(a, b):
-            b = np.sort(b)
-            return (np.searchsorted(b, a, "left") * -1.0 + (len(b) - np.searchsorted(b, a, "right"))).sum() / (len(a) * len(b))
+def pair_bootstrap(df: DataFrame, key: str, arm: str, value: str, draws: int, seed: int) -> DataFrame:
+    """[MLE09] key, delta, low, high: rows of each arm drawn with replacement, generators seeded by (seed, crc32(key), arm, place).
 
-        if not len(l) or not len(r):
-            return pd.DataFrame({key: [k], "delta": [None], "low": [None], "high": [None]})
-        rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
-        d = [delta(rng.choice(l, len(l)), rng.choice(r, len(r))) for _ in range(draws)]
-        return pd.DataFrame({key: [k], "delta": [delta(l, r)], "low": [np.quantile(d, 0.025)], "high": [np.quantile(d, 0.975)]})
+    A draw is a multinomial number of each distinct value. Values are counted and cut into cells; a draw's size falls to cells by
+    binomial numbers down a tree of them, whose nodes have their own seeds, and inside a cell to its values. So a large key is
+    dealt to many tasks; only sums by cell and draw, at most CELLS a key, meet in one group.
+    """
+    v = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    of = lambda n: F.count_if(F.col(arm) == n)
+    counts = df.groupBy(F.col(key).alias("key_"), v.alias("v_")).agg(of(0).alias("l_"), of(1).alias("r_"))
+    at = [k / CELLS for k in range(1, CELLS)]
+    cuts = counts.groupBy("key_").agg(F.percentile_approx("v_", at, 10_000).alias("cuts_"), F.least(F.lit(CELLS), F.ceil(F.count("*") / VALUES)).alias("many_"))
+    place = F.size(F.filter("cuts_", lambda x: x < F.col("v_"))) * F.col("many_")
+    celled = counts.join(cuts.withColumnRenamed("key_", "own_"), F.col("key_").eqNullSafe(F.col("own_"))).withColumn("cell_", F.floor(place / CELLS).cast("int"))
+    cells = celled.groupBy("key_", "cell_").agg(F.array_sort(F.collect_list(F.struct("v_", "l_", "r_"))).alias("of_"), F.sum("l_").alias("l_"), F.sum("r_").alias("r_"))
+    sizes = cells.groupBy(F.col("key_").alias("own_")).agg(F.array_sort(F.collect_list(F.struct("cell_", "l_", "r_"))).alias("sizes_"))
+    whole = cells.join(sizes, F.col("key_").eqNullSafe(F.col("own_"))).select("key_", "cell_", F.col("of_.l_").alias("l_"), F.col("of_.r_").alias("r_"), "sizes_")
+
+    def sums(batches):
+        for b in (one.slice(i, 1) for one in batches for i in range(one.num_rows)):
+            r = b.to_pylist()[0]
+            out = _cell_sums(zlib.crc32(str(r["key_"]).encode()), [s["cell_"] for s in r["sizes_"]].index(r["cell_"]), [(r["l_"], [s["l_"] for s in r["sizes_"]]), (r["r_"], [s["r_"] for s in r["sizes_"]])], draws, seed)
+            yield pa.RecordBatch.from_arrays([b.column("key_"), b.column("cell_"), *(pa.array([s.tobytes()], pa.binary()) for s in out)], ["key", "cell", "l", "r", "inside"])
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cell")
+        l, r, inside = (np.stack([np.frombuffer(s) for s in group[c].to_pylist()]) for c in ("l", "r", "inside"))  # noqa: E741
+        n, d = l[:, 0].sum() * r[:, 0].sum(), None
+        if n:
+            d = (inside + l * (r.sum(axis=0) - 2 * r.cumsum(axis=0) + r)).sum(axis=0) / n
+        found = [None] * 3 if d is None else [d[0], np.quantile(d[1:], 0.025), np.quantile(d[1:], 0.975)]
+        return pa.table([group["key"].slice(0, 1), *(pa.array([x], pa.float64()) for x in found)], [key, "delta", "low", "high"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandas(one, f"{key} {kind}, delta double, low double, high double")
+    parts = dealt(whole, "key_", "cell_").mapInArrow(sums, f"key {kind}, cell int, l binary, r binary, inside binary")
+    return parts.groupBy("key").applyInArrow(one, f"{key} {kind}, delta double, low double, high double")
+
+
+def _cell_sums(crc: int, mine: int, arms: list[tuple[list[int], list[int]]], draws: int, seed: int) -> list[np.ndarray]:
+    """Rows of the left arm, of the right one, and pairs inside the cell where the right is larger less those where it is smaller: as observed, then by draw."""
+    drawn, share = [], []
+    for arm, (own, cells) in enumerate(arms):
+        upto = np.concatenate([[0], np.cumsum(cells)])
+        n, lo, hi = np.full(draws, upto[-1]), 0, len(cells)
+        while hi - lo > 1:
+            mid, all_ = (lo + hi) // 2, upto[hi] - upto[lo]
+            left = np.random.default_rng([seed, crc, arm, lo, hi]).binomial(n, (upto[mid] - upto[lo]) / all_ if all_ else 0)
+            n, lo, hi = (left, lo, mid) if mine < mid else (n - left, mid, hi)
+        drawn.append(n)
+        share.append(np.array(own) / max(sum(own), 1))
+    rng = [np.random.default_rng([seed, crc, arm, mine, mine, 1]) for arm in (0, 1)]
+
+    def inside(l, r):  # noqa: E741
+        return (l * (r.sum(axis=1, keepdims=True) - 2 * r.cumsum(axis=1) + r)).sum(axis=1)
+
+    seen = [np.array([own]) for own, _ in arms]
+    pairs, step = [inside(*seen)], max(1, HELD // len(share[0]))
+    for i in range(0, draws, step):
+        # an arm without rows here draws none
+        pairs.append(inside(*(g.multinomial(n[i : i + step], s / s.sum()) if s.any() else np.zeros((len(n[i : i + step]), len(s)), np.int64) for g, n, s in zip(rng, drawn, share, strict=True))))
+    return [*(np.concatenate([s.sum(axis=1), n]).astype(float) for s, n in zip(seen, drawn, strict=True)), np.concatenate(pairs).astype(float)]

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.operators import resample
@@ -25,3 +26,22 @@ def test_two_stages_against_plain_loops_and_dealt_out(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the few clusters go to all cores before they meet 2000 draws, and no digest is taken inside a function of arrays
     assert "REPARTITION_BY_NUM" in plan and not any("md5" in line and "lambda" in line for line in plan.splitlines())
+
+
+def test_a_large_key_is_dealt_out_and_draws_as_the_plain_bootstrap(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, 900, 700) / 10, rng.integers(0, 900, 800) / 10 + 4
+    rows = [("big", 0, float(v)) for v in left] + [("big", 1, float(v)) for v in right] + [("one arm", 0, 1.0), ("tie", 0, 1.0), ("tie", 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, arm int, v double")
+    delta = lambda a, b: (np.sign(b[None, :] - a[:, None])).sum() / (len(a) * len(b))
+    plain = [delta(rng.choice(left, len(left)), rng.choice(right, len(right))) for _ in range(400)]
+    monkeypatch.setattr(resample, "VALUES", 50)
+    out = resample.pair_bootstrap(df, "k", "arm", "v", 2000, 5)
+    got = {r.k: r for r in out.collect()}
+    assert abs(got["big"].delta - delta(left, right)) < 1e-12
+    assert abs(got["big"].low - np.quantile(plain, 0.025)) < 0.02 and abs(got["big"].high - np.quantile(plain, 0.975)) < 0.02
+    assert (got["tie"].delta, got["tie"].low, got["tie"].high) == (0, 0, 0) and got["one arm"].delta is None
+    # cells of one key agree on how many rows each draws
+    cells = [([3, 1], [4, 10, 6]), ([2, 2], [4, 5, 7])]
+    n = [resample._cell_sums(1, m, [(own, sizes) for own, sizes in cells], 300, 5) for m in range(3)]
+    assert (sum(c[0][1:] for c in n) == 20).all() and (sum(c[1][1:] for c in n) == 16).all()
