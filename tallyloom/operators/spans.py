@@ -5,6 +5,8 @@ What one text gives (its tokens, edits, spans) is bounded by the text; nothing h
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,15 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, kind: str,
     return points.join(found.withColumnRenamed("at_", at), [key, at], "left")
 
 
-def find_edits(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """key, start, end, found: matches of a pattern (without groups, never empty) from left to right, offsets in UTF-8 bytes."""
+def find_edits(texts: DataFrame, key: str, text: str, pattern: str, keep: Callable[[Column], Column] = lambda found: found) -> DataFrame:
+    """key, start, end, found: matches of a pattern (without groups, never empty) from left to right, offsets in UTF-8 bytes.
+
+    Rows meet by key with the lengths of matches; what `keep` makes of a match goes along only where it is used.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"))
-    rows = texts.select(key, F.posexplode(parts).alias("i_", "p_")).select(key, "i_", "p_.gap", "p_.found")
-    upto = F.sum(F.octet_length("gap") + F.coalesce(F.octet_length("found"), F.lit(0))).over(Window.partitionBy(key).orderBy("i_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("end", upto).filter("found IS NOT NULL").select(key, (F.col("end") - F.octet_length("found")).alias("start"), "end", "found")
+    rows = texts.select(key, F.posexplode(parts).alias("i_", "p_")).select(key, "i_", F.octet_length("p_.gap").alias("g_"), F.octet_length("p_.found").alias("n_"), keep(F.col("p_.found")).alias("found"))
+    upto = F.sum(F.col("g_") + F.coalesce("n_", F.lit(0))).over(Window.partitionBy(key).orderBy("i_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("end", upto).filter("n_ IS NOT NULL").select(key, (F.col("end") - F.col("n_")).alias("start"), "end", "found")
 
 
 def apply_edits(texts: DataFrame, edits: DataFrame, key: str, text: str, kinds: list[str]) -> DataFrame:

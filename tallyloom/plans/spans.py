@@ -30,10 +30,10 @@ def innermost_span(spark, sf):
     """Runs of capitals in the sentences and paragraphs of every document; short sentences are no spans, a notice outranks what follows it."""
     d = read(spark, sf, "documents").select("doc_id", "text")
     size = F.col("end") - F.col("start")
-    par = spans.find_edits(d, "doc_id", "text", r"[^\n]+")
+    par = spans.find_edits(d, "doc_id", "text", r"[^\n]+", lambda found: F.startswith(found, F.lit("Copyright")))
     sen = spans.find_edits(d, "doc_id", "text", r"[^.\n]+").filter(size > 20)
     of = lambda rows, kind: rows.select("doc_id", "start", "end", kind.alias("kind"))
-    notice = par.filter(F.startswith("found", F.lit("Copyright"))).select("doc_id", "start", (F.col("start") + 9).alias("end"), F.lit("notice").alias("kind"))
+    notice = par.filter("found").select("doc_id", "start", (F.col("start") + 9).alias("end"), F.lit("notice").alias("kind"))
     every = of(par, F.when(size > 300, "long paragraph").otherwise("paragraph")).unionByName(of(sen, F.when(size > 60, "long sentence").otherwise("sentence"))).unionByName(notice)
     points = spans.find_edits(d, "doc_id", "text", "[A-Z]+").select("doc_id", F.col("start").alias("at"))
     found = spans.innermost(points, every, "doc_id", "at", "kind", above="notice")

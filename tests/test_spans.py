@@ -133,3 +133,11 @@ def test_log_lines(spark):
     got = {r.k: r.message for r in spans.thrown(spark.createDataFrame(lines, "k string, n int, t string"), "k", "n", "t", FRAME, r"\[err\]\s+(.*)$").collect()}
     general = "an exception was thrown from the build"
     assert got == {"near": "lost 1", "edge": "lost 2", "far": general, "second": general, "named": "it broke", "empty": general, "none": None}
+
+
+def test_texts_are_not_shuffled_for_offsets(spark):
+    d = spark.createDataFrame([(1, "Ab cd. E"), (2, None), (3, "")], "k long, t string")
+    found = spans.find_edits(d, "k", "t", "[A-Z]+").select("k", "start", "end")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 1), (1, 7, 8)]
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1].split("Generate", 1)[0]
+    assert "found" not in below.split("Project", 1)[1].split(" AS ", 1)[0] and "AS found" not in below
