@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 TREE = "struct<feature: array<int>, threshold: array<double>, left: array<int>, right: array<int>, p: array<double>>"
 
 
@@ -57,9 +59,18 @@ def leave_one_out_bayes(df: DataFrame, keys: list[str], group: str, features: li
     Counts of 0/1 features by label are sums, so training without a group is all sums less its own: one aggregation for
     every model, then one pass that scores the rows. Counts are smoothed by one; a tie is class 0.
     """
-    y = F.col(label).cast("int")
-    sums = [F.sum(F.when(y == c, 1).otherwise(0)).alias(f"n{c}") for c in (0, 1)] + [F.sum(F.when(y == c, F.col(f)).otherwise(0)).alias(f"{f}_{c}") for f in features for c in (0, 1)]
-    own = df.groupBy(*keys, group).agg(*sums)
+    return _bayes(_bayes_cells(df, keys, group, features, label), keys, group, features)
+
+
+def _bayes_cells(df: DataFrame, keys: list[str], group: str, features: list[str], label: str) -> DataFrame:
+    """keys, group, x_<feature>, y_, rows_: rows that the learner cannot tell apart, counted."""
+    return df.groupBy(*keys, group, *[F.col(f).alias(f"x_{f}") for f in features], F.col(label).cast("int").alias("y_")).agg(F.count("*").alias("rows_"))
+
+
+def _bayes(cells: DataFrame, keys: list[str], group: str, features: list[str]) -> DataFrame:
+    y, of = F.col("y_"), F.col("rows_")
+    sums = [F.sum(F.when(y == c, of).otherwise(0)).alias(f"n{c}") for c in (0, 1)] + [F.sum(F.when(y == c, F.col(f"x_{f}") * of).otherwise(0)).alias(f"{f}_{c}") for f in features for c in (0, 1)]
+    own = cells.groupBy(*keys, group).agg(*sums)
     names = [c for c in own.columns if c not in (*keys, group)]
     every = own.groupBy(*keys).agg(*[F.sum(c).alias(f"all_{c}") for c in names])
     rest = (own.join(every, keys) if keys else own.crossJoin(F.broadcast(every))).select(*keys, group, *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in names])
@@ -67,8 +78,8 @@ def leave_one_out_bayes(df: DataFrame, keys: list[str], group: str, features: li
     score = F.log((F.col("n1") + 1) / (F.col("n0") + 1))
     for f in features:
         score = score + F.when(F.col(f"x_{f}") == 1, F.log(p(f, 1) / p(f, 0))).otherwise(F.log((1 - p(f, 1)) / (1 - p(f, 0))))
-    rows = df.select(*keys, group, y.alias("y_"), *[F.col(f).alias(f"x_{f}") for f in features]).join(rest, [*keys, group])
-    return rows.groupBy(*keys, group).agg(F.count("*").alias("n"), F.count_if((score > 0).cast("int") == F.col("y_")).alias("hits"))
+    hit = (score > 0).cast("int") == y
+    return cells.join(rest, [*keys, group]).groupBy(*keys, group).agg(F.sum("rows_").alias("n"), F.sum(F.when(hit, of).otherwise(0)).alias("hits"))
 
 
 def shuffled_labels(df: DataFrame, item: str, label: str, draws: int, seed: int) -> DataFrame:
@@ -93,7 +104,9 @@ def shuffled_labels(df: DataFrame, item: str, label: str, draws: int, seed: int)
 
 def permutation_test(df: DataFrame, item: str, group: str, features: list[str], label: str, draws: int, seed: int) -> DataFrame:
     """[MLE26] observed, chance (mean over draws), p_value, draws: the share of right answers of the whole leave-one-out procedure against shuffled labels."""
-    s = leave_one_out_bayes(shuffled_labels(df, item, label, draws, seed), ["draw"], group, features, label)
+    # rows are dealt once; every draw is kept as the counts of its cells
+    many = shuffled_labels(df.select(item, group, *features, label), item, label, draws, seed)
+    s = _bayes(stored(_bayes_cells(many, ["draw"], group, features, label)), ["draw"], group, features)
     share = s.groupBy("draw").agg((F.sum("hits") / F.sum("n")).alias("share"))
     seen = share.filter("draw = 0").select(F.col("share").alias("observed"))
     null = share.filter("draw > 0").crossJoin(F.broadcast(seen))

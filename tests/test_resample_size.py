@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom.operators import resample
+from tallyloom.operators import models, resample
 
 
 def number(*by):
@@ -45,3 +45,13 @@ def test_a_large_key_is_dealt_out_and_draws_as_the_plain_bootstrap(spark, monkey
     cells = [([3, 1], [4, 10, 6]), ([2, 2], [4, 5, 7])]
     n = [resample._cell_sums(1, m, [(own, sizes) for own, sizes in cells], 300, 5) for m in range(3)]
     assert (sum(c[0][1:] for c in n) == 20).all() and (sum(c[1][1:] for c in n) == 16).all()
+
+
+def test_a_permutation_test_deals_its_rows_once(spark, monkeypatch):
+    kept, own = [], models.stored
+    monkeypatch.setattr(models, "stored", lambda df: (kept.append(out := own(df)), out)[1])
+    df = spark.createDataFrame([(i, f"g{i % 5}", i % 2, i % 3 % 2, int(i % 7 < 3)) for i in range(200)], "id long, g string, a int, b int, y int")
+    row = models.permutation_test(df, "id", "g", ["a", "b"], "y", 10, 1).first()
+    assert row.draws == 10 and len(kept) == 1
+    # the plan reads counts of cells: nothing behind the stored table explodes rows into draws again
+    assert kept[0].agg(F.sum("rows_")).first()[0] == 200 * 11 and kept[0].count() < 11 * 5 * 4 * 2 + 1
