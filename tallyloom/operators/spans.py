@@ -91,9 +91,8 @@ def _tokens(texts: DataFrame, key: str, text: Column, pattern: str, opens: str,
 
 def _until(rows: DataFrame, key: str, stop: Column) -> DataFrame:
     """rows up to the first where `stop` holds, that one with stop_; a key without one goes."""
-    marked = rows.withColumn("stop_", stop)
-    ends = marked.filter("stop_").groupBy(key).agg(F.min("i_").alias("z_"))
-    return marked.join(ends, key).filter(F.col("i_") <= F.col("z_"))
+    ends = F.min(F.when(F.col("stop_"), F.col("i_"))).over(Window.partitionBy(key))
+    return rows.withColumn("stop_", stop).withColumn("z_", ends).filter(F.col("i_") <= F.col("z_"))
 
 
 def _joined(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -106,11 +105,12 @@ def brace_block(texts: DataFrame, key: str, text: str, mark: str, strings: bool
     `mark` may itself end with the opening brace. Braces in strings and comments count as any other, unless `strings` asks to
     pass over both. Keys are unique. Depth is a running sum over the tokens of a text.
     """
-    after = F.regexp_extract(text, rf"^([\s\S]*?(?:{mark}))", 1)
-    # what stands before the opening brace goes; a brace that ends the mark is kept
-    rest = F.when(F.col(text).rlike(mark), F.substring(F.col(text), F.length(after) + F.when(F.endswith(after, F.lit("{")), 0).otherwise(1), F.length(text)))
+    # what stands before the opening brace goes; a brace that ends the mark is kept. The mark is looked for once
+    found = texts.select(key, F.col(text).alias("text_"), F.regexp_extract(text, rf"^([\s\S]*?(?:{mark}))", 1).alias("after_"))
+    after = F.col("after_")
+    rest = F.when((after != "") | F.col("text_").rlike(mark), F.substring("text_", F.length(after) + F.when(F.endswith(after, F.lit("{")), 0).otherwise(1), F.length("text_")))
     pattern = rf"{COMMENT}|{STRING}|[{{}}]|[^{{}}'\"/r]+|[\s\S]" if strings else r"[{}]|[^{}]+"
-    rows = _tokens(texts, key, rest, pattern, "{", "}")
+    rows = _tokens(found, key, rest, pattern, "{", "}")
     # tokens before the first opening brace have depth 0 or less
     first = F.min(F.when(F.col("t_") == "{", F.col("i_"))).over(Window.partitionBy(key))
     base = rows.withColumn("a_", first).filter("i_ >= a_")

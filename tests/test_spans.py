@@ -141,3 +141,11 @@ def test_texts_are_not_shuffled_for_offsets(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 0, 1), (1, 7, 8)]
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1].split("Generate", 1)[0]
     assert "found" not in below.split("Project", 1)[1].split(" AS ", 1)[0] and "AS found" not in below
+
+
+def test_blocks_are_cut_in_one_pass(spark):
+    d = spark.createDataFrame([(1, "Ab cd {x{y}} E"), (2, None), (3, "")], "k long, t string")
+    block = spans.brace_block(d, "k", "t", "cd")
+    assert {r.k: r.block for r in block.collect()} == {1: "{x{y}}", 2: None, 3: None}
+    # one pass over the tokens: the closing brace is found in the same windows
+    assert block._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
