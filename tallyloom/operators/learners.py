@@ -20,6 +20,8 @@ from .stats import ranking_metrics
 
 #: Bins of a feature in trees; accuracy of the quantile sketches; tasks that add up sums.
 BINS, ACCURACY, ADDERS = 16, 10_000, 8
+#: Trees that the rows of a batch meet at a time, and rows that meet all trees: what a worker holds does not grow with a full batch.
+TREES, PIECE = 25, 1024
 
 
 @dataclass(frozen=True)
@@ -227,10 +229,10 @@ def fit_kernel(rows: DataFrame, design: Design, s: Scales, costs: list[float], g
     return Fitted(k * len(gammas), lambda t, c, x: sigmoid(2 * mapped(t, c // k, x) @ w[t, c]) if (t, c) in w else np.full(len(x), 0.5))
 
 
-def draws(h: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """How often each row is in each tree's bootstrap: Poisson numbers from a digest of row and tree, the same in any partitioning."""
+def draws(h: np.ndarray, trees: int, seed: int, first: int = 0) -> np.ndarray:
+    """How often each row is in the bootstrap of each tree from `first` on: Poisson numbers from a digest of row and tree, the same in any partitioning."""
     with np.errstate(over="ignore"):
-        z = h.astype(np.uint64)[:, None] + np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        z = h.astype(np.uint64)[:, None] + np.arange(first + 1, first + trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
@@ -260,7 +262,11 @@ class Trees:
         return at
 
     def score(self, x: np.ndarray, depth: int) -> np.ndarray:
-        return self.share[np.arange(len(self.share)), self.nodes(x, depth)].mean(axis=1)
+        each = (x[i : i + PIECE] for i in range(0, max(len(x), 1), PIECE))
+        return np.concatenate([self.share[np.arange(len(self.share)), self.nodes(p, depth)].mean(axis=1) for p in each])
+
+    def some(self, a: int, z: int) -> Trees:
+        return Trees(self.feature[a:z], self.threshold[a:z], self.share[a:z])
 
 
 def splits(sums: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -295,26 +301,28 @@ def grow(rows: DataFrame, design: Design, s: Scales, trees: int, depth: int, lea
         pick = np.random.default_rng([seed, level]).random((len(sets), trees, width, d)).argsort(axis=-1)[..., :tried] if sampled else np.broadcast_to(np.arange(d), (len(sets), trees, width, d))
 
         def partial(r: Rows, level=level, first=first, width=width, pick=pick):
-            tree = np.arange(trees)
             for t, of in enumerate(sets):
                 on = r.trains(design, *of)
                 if not on.any():
                     continue
                 x, y = r.x[on], r.y[on].astype(int)
                 bins = np.column_stack([np.searchsorted(s.edges[t, j], x[:, j]) for j in range(d)])
-                n = draws(r.hash[on], trees, seed + t) if sampled else np.ones((len(x), trees))
+                found = [[] for _ in range(k)]
+                for a, z in ((a, min(a + TREES, trees)) for a in range(0, trees, TREES)):
+                    n = draws(r.hash[on], z - a, seed + t, a) if sampled else np.ones((len(x), z - a))
+                    for q in range(k):
+                        at = done[t * k + q].some(a, z).nodes(x, level)
+                        # rows that ended in a leaf above have no part in this level
+                        row, of_tree = np.nonzero((n > 0) & (at >= first))
+                        node = at[row, of_tree] - first
+                        f = pick[t, a + of_tree, node]
+                        cell = (((of_tree * width + node)[:, None] * tried + np.arange(tried)) * BINS + bins[row[:, None], f]).ravel()
+                        weight = n[row, of_tree]
+                        by = lambda v, cell=cell, many=z - a: np.bincount(cell, np.repeat(v, tried), many * width * tried * BINS)
+                        c = weight * s.weight[t][y[row]]
+                        found[q].append(np.stack([by(weight), by(c * (y[row] == 0)), by(c * (y[row] == 1))], axis=-1).ravel())
                 for q in range(k):
-                    m = t * k + q
-                    at = done[m].nodes(x, level)
-                    # rows that ended in a leaf above have no part in this level
-                    row, of_tree = np.nonzero((n > 0) & (at >= first))
-                    node = at[row, of_tree] - first
-                    f = pick[t, of_tree, node]
-                    cell = (((of_tree * width + node)[:, None] * tried + np.arange(tried)) * BINS + bins[row[:, None], f]).ravel()
-                    weight = n[row, of_tree]
-                    by = lambda v, cell=cell: np.bincount(cell, np.repeat(v, tried), trees * width * tried * BINS)
-                    a = weight * s.weight[t][y[row]]
-                    yield m, np.stack([by(weight), by(a * (y[row] == 0)), by(a * (y[row] == 1))], axis=-1).ravel()
+                    yield t * k + q, np.concatenate(found[q])
 
         def finish(m: int, v: np.ndarray, width=width):
             return np.stack(splits(v.reshape(trees, width, tried, BINS, 3), leaves[m % k]), axis=-1).astype(float).ravel()

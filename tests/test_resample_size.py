@@ -1,11 +1,12 @@
 """Resampling at size: what is multiplied is dealt out first, and a digest is taken once."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom.operators import models, resample
+from tallyloom.operators import learners, models, resample
 
 
 def number(*by):
@@ -55,3 +56,15 @@ def test_a_permutation_test_deals_its_rows_once(spark, monkeypatch):
     assert row.draws == 10 and len(kept) == 1
     # the plan reads counts of cells: nothing behind the stored table explodes rows into draws again
     assert kept[0].agg(F.sum("rows_")).first()[0] == 200 * 11 and kept[0].count() < 11 * 5 * 4 * 2 + 1
+
+
+def test_a_full_batch_meets_trees_in_blocks():
+    rng = np.random.default_rng(1)
+    h, x = rng.integers(-(2**62), 2**62, 500), rng.normal(size=(20_000, 3))
+    assert (learners.draws(h, 10, 7)[:, 4:] == learners.draws(h, 6, 7, 4)).all()
+    trees = learners.Trees(rng.integers(0, 3, (200, 7)), rng.normal(size=(200, 7)), rng.random((200, 7)))
+    tracemalloc.start()
+    score = trees.score(x, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000 * 200 * 8 and np.array_equal(score[:50], trees.score(x[:50], 2))
