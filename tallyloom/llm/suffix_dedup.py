@@ -15,15 +15,28 @@ from .suffixes import equal_windows, words
 #: Length of a repeated string and of the grams whose least hash is a window's key; text of a bucket, in bytes, about; runs of
 #: a key beyond which its windows are dealt out by their own digests; bytes from which a removed run counts as a long one.
 WIDTH, GRAM, BUCKET, HOT, LONG = 50, 16, 8 << 20, 8192, 256
+#: Places whose keys are worked out at a time.
+BLOCK = 1 << 15
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
-    """A key for the WIDTH bytes from each place: the least hash of the grams inside, mixed. Equal windows have equal keys, and neighbours mostly share one."""
+    """A key for the WIDTH bytes from each place: the least hash of the grams inside, mixed. Equal windows have equal keys, and neighbours mostly share one.
+
+    A block is worked on while it is in the processor's cache. Places less than WIDTH bytes before the end have some key.
+    """
+    out = np.empty(len(data), np.uint64)
+    for at in range(0, len(data), BLOCK):
+        own = keys_of(data[at : at + BLOCK + WIDTH])
+        out[at : at + BLOCK] = own[: min(BLOCK, len(data) - at)]
+    return out
+
+
+def keys_of(data: np.ndarray) -> np.ndarray:
     w = words(data)
     h = w * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     far = np.zeros_like(h)
-    far[: len(w) - 8] = w[8:]
+    far[: max(0, len(w) - 8)] = w[8:]
     h += far
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -167,7 +180,6 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not len(at):
             return out_table([])
         group_of = equal_windows(s.data[covered], window[covered], WIDTH)
-        _, group_of = np.unique(group_of, return_inverse=True)
         doc = s.doc_id[np.searchsorted(s.start, at, side="right") - 1]
         least = np.full(group_of.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group_of, doc)
@@ -225,7 +237,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             np.add.at(inside, base[many], 1)
             np.add.at(inside, base[many] + count[sample[many]], -1)
             valid = np.cumsum(inside)[:-1] > 0
-            _, groups = np.unique(equal_windows(data, valid, WIDTH), return_inverse=True)
+            groups = equal_windows(data, valid, WIDTH)
             low = np.full(groups.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(low, groups, np.repeat(least[many], count[sample[many]]))
             window_least = np.zeros(len(data), np.int64)
@@ -270,7 +282,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     1. Each window of 50 bytes has a key, the least hash of its 16-byte grams, which its neighbours mostly share. Shards
     offer their distinct keys, buckets answer which ones several documents hold: all other windows are unique.
-    2. Each shard builds a suffix array (Larsson-Sadakane, Kasai) over the bytes below shared keys. A window that a
+    2. Each shard builds a suffix array (Larsson-Sadakane) over the bytes below shared keys. A window that a
     smaller document of the shard has is settled there, so copies inside a shard never travel.
     3. The other runs of windows go to their key's bucket. There shards merge: keys by binary search, equal texts by
     their bytes, and where a key has several texts, by a suffix array over those. A key of more than HOT runs, as of a

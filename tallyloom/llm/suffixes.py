@@ -20,17 +20,26 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of the suffixes, sorted by their first `depth` bytes at least.
 
     Larsson and Sadakane: a rank is the first slot of a group of suffixes that are not told apart yet; each round doubles
-    the prefix that is sorted and touches only groups of several suffixes.
+    the prefix that is sorted and touches only groups of several suffixes. Where a key and a place fit into 64 bits they are
+    sorted as one number, which takes a fraction of the time of sorting places by key.
     """
     n = len(data)
-    first = words(data)
-    order = np.argsort(first, kind="stable")
+    first, bits = words(data), n.bit_length()
+    h = min(8, (64 - bits) // 8)
+    if h >= 4:
+        low = np.uint64(64 - 8 * h)
+        packed = np.sort((first >> low << low) | np.arange(n, dtype=np.uint64))
+        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        packed >>= low
+    else:
+        h, order = 8, np.argsort(first, kind="stable")
+        packed = first[order]
     same = np.zeros(n, bool)
-    same[1:] = first[order][1:] == first[order][:-1]
+    same[1:] = packed[1:] == packed[:-1]
     slot = np.maximum.accumulate(np.where(same, 0, np.arange(n))) if n else np.empty(0, np.int64)
     rank = np.full(n + 2 * depth + 16, -1, np.int64)
     rank[order] = slot
-    h = 8
+    del first, packed, slot
     while h < depth + 8:  # a short last suffix ties with zeros only in its last word
         several = same.copy()
         several[:-1] |= same[1:]
@@ -38,9 +47,17 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         p = order[at]
-        key = rank[p] * (n + 1) + rank[p + h] + 1
-        o = np.argsort(key, kind="stable")
-        p, key = p[o], key[o]
+        group = np.cumsum(~same[at])
+        index = len(at).bit_length()
+        if 2 * index + bits + 1 <= 64:
+            key = (group.astype(np.uint64) << np.uint64(bits + 1)) | (rank[p + h] + 1).astype(np.uint64)
+            key = np.sort((key << np.uint64(index)) | np.arange(len(at), dtype=np.uint64))
+            p = p[(key & np.uint64((1 << index) - 1)).astype(np.int64)]
+            key >>= np.uint64(index)
+        else:
+            key = group * (n + 1) + rank[p + h] + 1
+            o = np.argsort(key, kind="stable")
+            p, key = p[o], key[o]
         order[at] = p
         eq = np.zeros(len(at), bool)
         eq[1:] = key[1:] == key[:-1]
@@ -84,9 +101,19 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def equal_windows(data: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """A number for each valid place (in order of place): equal where the `width` bytes from there are equal."""
+    """A number from 0 for each valid place (in order of place): equal where the `width` bytes (8 at least) from there are equal.
+
+    Neighbours in the order of suffixes are compared eight bytes at a time, as long as they agree and no further than `width`.
+    """
     order = suffix_order(data, width)
-    prefix = common_prefixes(data, order)
+    order = order[valid[order]]
+    w = np.concatenate((words(data), np.zeros(width, np.uint64)))
+    new = np.zeros(len(order), bool)
+    live = np.arange(1, len(order))
+    for o in [*range(0, width - 8, 8), width - 8]:
+        differ = w[order[live] + o] != w[order[live - 1] + o]
+        new[live[differ]] = True
+        live = live[~differ]
     group = np.empty(len(data), np.int64)
-    group[order] = np.cumsum(prefix[order] < width)
+    group[order] = np.cumsum(new)
     return group[valid]
