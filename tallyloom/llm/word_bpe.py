@@ -17,6 +17,8 @@ from .common import KEPT
 
 #: Chunks and pre-tokens that a worker remembers; later ones are worked out each time. The common ones come early.
 CHUNKS, WORDS = 400_000, 500_000
+#: New pre-tokens that the library encodes as one text.
+JOIN = 2000
 #: A worker is one of many on its machine: no threads of the library beside it.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Symbols of a pre-token beyond which a heap finds the next pair.
@@ -152,23 +154,50 @@ class Ids(dict):
     def __init__(self, bpe: WordBpe):
         self.bpe, self.rest = bpe, {}
         self.mark = os.path.commonprefix(list(bpe.special))
+        #: ids of tokens that end a pre-token
+        self.last = np.zeros(max([*bpe.vocab.values(), *bpe.special.values()]) + 1, bool)
+        self.last[[i for t, i in bpe.vocab.items() if t.endswith(bpe.end)]] = True
 
     def special(self, chunk: str) -> bool:
         """Whether a special string may be inside."""
         return self.mark in chunk if self.mark else bool(self.bpe.special and self.bpe.cut.search(chunk))
 
     def parts(self, chunk: str) -> list[str]:
-        """Pre-tokens of an ASCII chunk; any other chunk, or one with a special string, whole."""
-        if not chunk.isascii() or self.special(chunk):
+        """Pre-tokens of a chunk of Latin letters; any other chunk, or one with a special string, whole."""
+        if self.special(chunk):
+            return [chunk]
+        if chunk.isascii():
+            low = chunk.lower()
+        elif max(chunk) < "\u0250":
+            low = self.bpe.normal(chunk)
+        else:
             return [chunk]
-        low = chunk.lower()
         return [low] if low.isalpha() else self.bpe.word.findall(low)
 
+    def alone(self, word: str) -> bool:
+        """Whether a word is sure to be one pre-token that the library's normaliser leaves as it is."""
+        return not self.special(word) and (word.isascii() or (word.isalpha() and max(word) < "\u0250"))
+
+    def by_library(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Pre-tokens go to the library as one text, JOIN at a time, and are told apart by their last tokens."""
+        out, rest = {}, []
+        plain = [w for w in words if self.alone(w) or rest.append(w)]
+        encode = self.bpe.library.encode_batch_fast
+        for own in (plain[i : i + JOIN] for i in range(0, len(plain), JOIN)):
+            found = np.array(encode([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[found]) + 1)).tolist()
+            if len(ends) == len(own):
+                raw = found.tobytes()
+                out.update(zip(own, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                rest += own
+        return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, encode(rest, add_special_tokens=False), strict=True)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [chunks(t) for t in texts]
         new = {c: self.parts(c) for c in set(chain.from_iterable(split)).difference(self)}
         words = list(set(chain.from_iterable(new.values())).difference(self.rest))
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.bpe.library.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        found = self.by_library(words)
         known = self.rest
         more = {c: b"".join([known[w] if w in known else found[w] for w in ws]) for c, ws in new.items()}
         over = list(islice(more, max(0, CHUNKS - len(self)), None))
