@@ -13,8 +13,8 @@ from .components import components
 from .shards import KEY, ends_of, sharded, unpack
 
 #: Words of a shingle; similarity in hundredths; tokens held by up to ALL classes propose all pairs of those; text of a bucket,
-#: about; salts of a hot key; pairs of a set beyond which it is hot; members of a block of a group that is left.
-WIDTH, LEAST, ALL, BUCKET, SALTS, HOT, BLOCK = 5, 75, 8, 16 << 20, 64, 256, 2048
+#: about; salts of a hot key; pairs of a set beyond which it is hot, or this part of all pairs; members of a block of a group that is left.
+WIDTH, LEAST, ALL, BUCKET, SALTS, HOT, MOST, BLOCK = 5, 75, 8, 16 << 20, 64, 256, 1 << 16, 2048
 #: Fixed odd factors, one for each word of a shingle, and words that a worker remembers.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 WORDS = 150_000
@@ -245,12 +245,22 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return int((t[np.minimum(at, len(t) - 1)] == s).sum()) >= need
 
 
-def with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, names: dict[str, str]) -> DataFrame:
-    """pairs and the set of their node `end`; a node of more than HOT pairs meets them in SALTS places."""
-    hot = pairs.groupBy(end).count().filter(F.col("count") > HOT).select(end, F.lit(SALTS - 1).alias("top"))
-    salted = pairs.join(hot, end, "left").withColumn("salt", F.when(F.col("top").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))).drop("top")
-    copies = sets.withColumnRenamed("node", end).join(hot, end, "left").select(end, F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).alias("salt"), *[F.col(a).alias(b) for a, b in names.items()])
-    return salted.join(copies, [end, "salt"]).drop("salt")
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y of written pairs with the sets of both, s and t. Sets go through one exchange that both ends read.
+
+    A node of more than HOT pairs meets them in SALTS places. The list of those nodes is broadcast, so that it costs the sets
+    no exchange; it has 2 * MOST nodes at most, whatever the number of pairs.
+    """
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node"))
+    least = max(HOT, pairs.count() // MOST)
+    hot = ends.groupBy("node").count().filter(F.col("count") > least).select("node", F.lit(SALTS - 1).alias("top"))
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).alias("salt")
+    copies = sets.join(F.broadcast(hot), "node", "left").select("node", salts, F.struct("shingles", "rare").alias("set"))
+    for end, other, name in (("x", "y", "s"), ("y", "x", "t")):
+        salt = F.when(F.col("top").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+        dealt = pairs.join(F.broadcast(hot.withColumnRenamed("node", end)), end, "left").withColumn("salt", salt).drop("top")
+        pairs = dealt.join(copies.withColumnsRenamed({"node": end, "set": name}), [end, "salt"]).drop("salt")
+    return pairs
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,11 +268,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s, t = ([np.frombuffer(v.as_py(), np.uint64) for v in b.column(k)] for k in ("s", "t"))
+            s, t = ([np.frombuffer(v.as_py(), np.uint64) for v in b.column(k).field("shingles")] for k in ("s", "t"))
             yield b.select(["x", "y"]).filter(pa.array([linked(p, q) for p, q in zip(s, t, strict=True)], pa.bool_()))
 
-    both = with_set(with_set(pairs, sets, "x", "y", {"shingles": "s"}), sets, "y", "x", {"shingles": "t"})
-    return both.select("x", "y", "s", "t").mapInArrow(run, "x long, y long")
+    return with_sets(pairs, sets).select("x", "y", "s", "t").mapInArrow(run, "x long, y long")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,7 +280,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for s, t, rare in zip(b.column("s"), b.column("t"), b.column("rare"), strict=True):
+            for s, t, rare in zip(b.column("s").field("shingles"), b.column("t").field("shingles"), b.column("s").field("rare"), strict=True):
                 s, t = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
                 both = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
                 few = np.unpackbits(np.frombuffer(rare.as_py(), np.uint8), count=len(s)).astype(bool)
@@ -280,8 +289,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], ["x", "y", "lost", "own", "linked"])
 
-    both = with_set(with_set(pairs, sets, "x", "y", {"shingles": "s", "rare": "rare"}), sets, "y", "x", {"shingles": "t"})
-    return cut(both.select("x", "y", "s", "t", "rare").mapInArrow(run, "x long, y long, lost long, own long, linked boolean"))
+    return cut(with_sets(pairs, sets).select("x", "y", "s", "t").mapInArrow(run, "x long, y long, lost long, own long, linked boolean"))
 
 
 def possible(p: np.ndarray, n: np.ndarray, m: np.ndarray, lost: np.ndarray, lost_m: np.ndarray, own: np.ndarray, own_m: np.ndarray) -> np.ndarray:
@@ -382,15 +390,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     other = rare.filter("k + more >= need").select("x", "y")
     for x, y in (("x", "y"), ("y", "x")):
         other = other.join(spokes.select(F.col("x").alias(x), F.col("y").alias(y)), ["x", "y"], "left_anti")
-    compared = compare(other.union(spokes), sets)
+    met = cut(other.union(spokes))
+    compared = compare(met, sets)
     roots = components(compared.filter("linked"))
     rest = apart(members, compared, roots).join(rare, ["x", "y"], "left_anti")
     for x, y in (("x", "y"), ("y", "x")):
         rest = rest.join(compared.select(F.col("x").alias(x), F.col("y").alias(y)), ["x", "y"], "left_anti")
-    later = cut(verify(cut(rest), sets))
+    rest = cut(rest)
+    # without pairs no set moves
+    later = cut(verify(rest, sets)) if rest.head(1) else rest
     if later.head(1):
         roots = components(later.union(roots.filter("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))))
-    discard(rare, members, compared, later)
+    discard(rare, members, met, compared, rest, later)
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     salts = lambda c: F.bit_or(F.expr(f"shiftleft(1L, {c})"))
     spread_ = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1))
