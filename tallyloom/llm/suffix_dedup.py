@@ -15,8 +15,8 @@ from .suffixes import equal_windows, words
 #: Length of a repeated string and of the grams whose least hash is a window's key; text of a bucket, in bytes, about; runs of
 #: a key beyond which its windows are dealt out by their own digests; bytes from which a removed run counts as a long one.
 WIDTH, GRAM, BUCKET, HOT, LONG = 50, 16, 8 << 20, 8192, 256
-#: Places whose keys are worked out at a time.
-BLOCK = 1 << 15
+#: Places whose keys or digests are worked out at a time; text of a bucket that is merged at a time, in bytes, about.
+BLOCK, SLICE = 1 << 15, 1 << 20
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
@@ -54,12 +54,8 @@ class Windows:
 
     def __init__(self, shard: Shard, buckets: int):
         self.key_at = window_keys(shard.data)
-        ok = np.zeros(len(shard.data) + 1, np.int32)
         big = shard.length >= WIDTH
-        ok[shard.start[big]] += 1
-        ok[(shard.start + shard.length - WIDTH + 1)[big]] -= 1
-        self.ok = np.cumsum(ok)[:-1] > 0
-        self.start, self.count = runs(np.flatnonzero(self.ok), self.key_at)
+        self.start, self.count = runs(marked(len(shard.data), shard.start[big], (shard.start + shard.length - WIDTH + 1)[big]), self.key_at)
         self.row = np.searchsorted(shard.start, self.start, side="right") - 1
         key = self.key_at[self.start]
         self.distinct, self.of = np.unique(key, return_inverse=True)
@@ -76,19 +72,81 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def runs(at: np.ndarray, key_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of neighbouring places with one key. Documents are apart, so a run lies in one."""
-    key = key_at[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])
-    first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at)))
+def marked(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of n places, those from a start to before its stop. No more than WIDTH of these overlap at a place."""
+    edge = np.zeros(n + 1, np.int16)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, stop, -1)
+    return np.cumsum(edge[:-1], dtype=np.int16) > 0
 
 
-def spans_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of neighbouring places."""
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
-    return at[first], np.diff(np.append(first, len(at)))
+def runs(ok: np.ndarray, key_at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of neighbouring places that are ok, with key_at of those with one key. Documents are apart, so a run lies in one."""
+    part = ~(ok[1:] & ok[:-1])
+    if key_at is not None:
+        part |= key_at[1:] != key_at[:-1]
+    start = np.flatnonzero(ok & np.concatenate(([True], part)))
+    return start, np.flatnonzero(ok & np.concatenate((part, [True]))) + 1 - start
+
+
+def earlier_runs(raw: bytes, count: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that a smaller document has, as runs of windows: number of the run that they lie in, place there, count.
+
+    raw holds the text of the runs one after the other. Equal windows have equal keys, so keys meet in slices of about SLICE
+    bytes of text, each key whole in one: what sorting takes does not grow with the bucket.
+    """
+    size = count + WIDTH - 1
+    begin = np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    before = (np.cumsum(size[order]) - size[order])[head] // SLICE
+    found = [(np.empty(0, np.int64),) * 3]
+    for a, z in ends_of(np.repeat(before, np.diff(np.append(head, len(k))))).values():
+        own = order[a:z]
+        found += [(own[r], step, n) for r, step, n in earlier_of_slice(raw, begin[own], count[own], doc[own], k[a:z])]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def earlier_of_slice(raw: bytes, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray):
+    """earlier_runs of runs in order of key, in portions."""
+    size = count + WIDTH - 1
+    place = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    known: dict[bytes, int] = {}
+    text_of = np.fromiter((known.setdefault(raw[b : b + n], len(known)) for b, n in zip(begin.tolist(), size.tolist(), strict=True)), np.int64, len(size))
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, text_of, doc)
+    sample = np.zeros(len(known), np.int64)
+    sample[text_of] = np.arange(len(text_of))
+    alone = np.bincount(place[sample])[place[sample]] == 1
+    simple = alone[text_of]
+    whole = np.flatnonzero(simple & (least[text_of] < doc))
+    yield whole, np.zeros(len(whole), np.int64), count[whole]
+    # keys with several texts: a suffix array over the distinct texts finds the least document of each window
+    many = np.flatnonzero(~alone)
+    if not len(many):
+        return
+    base = np.zeros(len(known), np.int64)
+    base[many] = np.cumsum(size[sample[many]]) - size[sample[many]]
+    names = list(known)
+    data = np.frombuffer(b"".join([names[k] for k in many.tolist()]), np.uint8)
+    valid = marked(len(data), base[many], base[many] + count[sample[many]])
+    groups = equal_windows(data, valid, WIDTH)
+    low = np.full(groups.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, groups, np.repeat(least[many], count[sample[many]]))
+    window_least = np.zeros(len(data), np.int64)
+    window_least[valid] = low[groups]
+    rest = np.flatnonzero(~simple)
+    for a, z in ends_of((np.cumsum(count[rest]) - count[rest]) // SLICE).values():
+        r = rest[a:z]
+        n = count[r]
+        run = np.repeat(np.arange(len(r)), n)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        mark = np.flatnonzero(window_least[base[text_of[r]][run] + step] < doc[r][run])
+        new = np.ones(len(mark), bool)
+        new[1:] = (mark[1:] != mark[:-1] + 1) | (run[mark[1:]] != run[mark[:-1]])
+        head = np.flatnonzero(new)
+        yield r[run[mark[head]]], step[mark[head]], np.diff(np.append(head, len(mark)))
 
 
 def by_shard(group: pa.Table, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
@@ -102,7 +160,9 @@ def by_shard(group: pa.Table, row: np.ndarray, start: np.ndarray, count: np.ndar
 def by_digest(s: Shard, mine: int, at: np.ndarray, buckets: int) -> list[tuple]:
     """Windows of hot keys: rows by bucket of their own digest, beyond the buckets of keys, so that one key never meets in one task."""
     view, digest = memoryview(s.raw), xxhash.xxh3_128_digest
-    found = np.frombuffer(b"".join([digest(view[p : p + WIDTH]) for p in at.tolist()]), np.uint64).reshape(-1, 2)
+    found = np.empty((len(at), 2), np.uint64)
+    for a in range(0, len(at), BLOCK):
+        found[a : a + BLOCK] = np.frombuffer(b"".join([digest(view[p : p + WIDTH]) for p in at[a : a + BLOCK].tolist()]), np.uint64).reshape(-1, 2)
     bucket = buckets + bucket_of(found[:, 0], buckets)
     order = np.argsort(bucket, kind="stable")
     at, found = at[order], found[order]
@@ -167,28 +227,29 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b, says in zip(answers["bucket"].to_pylist(), answers["told"].to_pylist(), strict=True):
             told[slice(*w.ends[b])] = np.frombuffer(says, np.uint8)
         pick = told[w.of] > 0
-        edge = np.zeros(len(s.data) + 1, np.int32)
-        np.add.at(edge, w.start[pick], 1)
-        np.add.at(edge, (w.start + w.count)[pick], -1)
-        window = np.cumsum(edge)[:-1] > 0
-        edge[:] = 0
-        at, n = spans_of(np.flatnonzero(window))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + n + WIDTH - 1, -1)
-        covered = np.cumsum(edge)[:-1] > 0
-        at = np.flatnonzero(window)
-        if not len(at):
+        window = marked(len(s.data), w.start[pick], (w.start + w.count)[pick])
+        start, count = runs(window)
+        if not len(start):
             return out_table([])
+        covered = marked(len(s.data), start, start + count + WIDTH - 1)
         group_of = equal_windows(s.data[covered], window[covered], WIDTH)
-        doc = s.doc_id[np.searchsorted(s.start, at, side="right") - 1]
-        least = np.full(group_of.max() + 1, np.iinfo(np.int64).max)
+        del covered
+        # rows are in order of id: documents by their rank, a row's windows are neighbours
+        rank = np.cumsum(np.concatenate(([False], s.doc_id[1:] != s.doc_id[:-1])), dtype=np.int32)
+        at = np.flatnonzero(window)
+        doc = np.repeat(rank, np.diff(np.append(np.searchsorted(at, s.start), len(at))))
+        least = np.full(group_of.max() + 1, np.iinfo(np.int32).max, np.int32)
         np.minimum.at(least, group_of, doc)
         first = doc == least[group_of]
-        start, count = spans_of(at[~first])
-        rows = [(mine, -1 - mine, start.astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), b"", b"", b"")] if len(start) else []
-        hot = told[w.of[np.searchsorted(w.start, at, side="right") - 1]] == 2
-        rows += by_digest(s, mine, at[first & hot], buckets)
-        start, count = runs(at[first & ~hot], w.key_at)
+        del group_of, doc, least
+        hot = np.repeat(told[w.of[pick]] == 2, w.count[pick])
+        rows = by_digest(s, mine, at[first & hot], buckets)
+        window[at[~first]] = False
+        start, count = runs(marked(len(s.data), w.start[pick], (w.start + w.count)[pick]) & ~window)
+        rows += [(mine, -1 - mine, start.astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), b"", b"", b"")] if len(start) else []
+        window[at[hot]] = False
+        del at, first, hot
+        start, count = runs(window, w.key_at)
         key = w.key_at[start]
         bucket = bucket_of(key, buckets)
         order = np.lexsort((key, bucket))
@@ -210,56 +271,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         count, _ = unpack(group, "count", np.int64)
         doc, _ = unpack(group, "doc", np.int64)
         key, _ = unpack(group, "key", np.uint64)
-        raw = b"".join(group["text"].to_pylist())
-        size = count + WIDTH - 1
-        ends = np.cumsum(size)
-        # each shard's keys are sorted: their places in the merged list by binary search
-        merged = np.unique(key)
-        place = np.searchsorted(merged, key)
-        known: dict[bytes, int] = {}
-        text_of = np.fromiter((known.setdefault(raw[b - n : b], len(known)) for b, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
-        least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, text_of, doc)
-        sample = np.zeros(len(known), np.int64)
-        sample[text_of] = np.arange(len(text_of))
-        texts_of_key = np.bincount(place[sample], minlength=len(merged))
-        alone = texts_of_key[place[sample]] == 1
-        # keys with several texts: a suffix array over the distinct texts finds the least document of each window
-        many = np.flatnonzero(~alone)
-        base = np.zeros(len(known) + 1, np.int64)
-        base[many + 1] = size[sample[many]]
-        base = np.cumsum(base)
-        names = list(known)
-        data = np.frombuffer(b"".join([names[k] for k in many.tolist()]), np.uint8)
-        window_least = np.empty(0, np.int64)
-        if len(data):
-            inside = np.zeros(len(data) + 1, np.int32)
-            np.add.at(inside, base[many], 1)
-            np.add.at(inside, base[many] + count[sample[many]], -1)
-            valid = np.cumsum(inside)[:-1] > 0
-            groups = equal_windows(data, valid, WIDTH)
-            low = np.full(groups.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, groups, np.repeat(least[many], count[sample[many]]))
-            window_least = np.zeros(len(data), np.int64)
-            window_least[valid] = low[groups]
-        simple = alone[text_of]
-        whole = simple & (least[text_of] < doc)
-        out_row, out_start, out_count = [row[whole]], [start[whole]], [count[whole]]
-        rest = np.flatnonzero(~simple)
-        for i in range(0, len(rest), 100_000):
-            r = rest[i : i + 100_000]
-            n = count[r]
-            run = np.repeat(np.arange(len(r)), n)
-            step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            gone = window_least[base[text_of[r]][run] + step] < doc[r][run]
-            mark = np.flatnonzero(gone)
-            new = np.ones(len(mark), bool)
-            new[1:] = (mark[1:] != mark[:-1] + 1) | (run[mark[1:]] != run[mark[:-1]])
-            head = np.flatnonzero(new)
-            out_row.append(row[r][run[mark[head]]])
-            out_start.append(start[r][run[mark[head]]] + step[mark[head]])
-            out_count.append(np.diff(np.append(head, len(mark))))
-        return by_shard(group, *(np.concatenate(x) for x in (out_row, out_start, out_count)))
+        raw = b"".join([t.as_buffer() for t in group["text"]])
+        run, step, n = earlier_runs(raw, count, doc, key)
+        return by_shard(group, row[run], start[run] + step, n)
 
     kinds = [(KEY, pa.int32()), ("bucket", pa.int32()), ("start", pa.binary()), ("count", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("text", pa.binary())]
 
@@ -284,7 +298,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     offer their distinct keys, buckets answer which ones several documents hold: all other windows are unique.
     2. Each shard builds a suffix array (Larsson-Sadakane) over the bytes below shared keys. A window that a
     smaller document of the shard has is settled there, so copies inside a shard never travel.
-    3. The other runs of windows go to their key's bucket. There shards merge: keys by binary search, equal texts by
+    3. The other runs of windows go to their key's bucket. There shards merge, a slice of keys at a time: equal texts by
     their bytes, and where a key has several texts, by a suffix array over those. A key of more than HOT runs, as of a
     line that a third of all documents hold, does not meet in one place: its windows go out by their own 128-bit digests.
     """
@@ -293,12 +307,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         group = in_order(group)
         s = Shard(group, WIDTH)
-        edge = np.zeros(len(s.data) + 1, np.int32)
         start, _ = unpack(answers, "start", np.int64)
         count, _ = unpack(answers, "count", np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + count + WIDTH - 1, -1)
-        return pa.table({"doc_id": group["doc_id"]} | s.cover(np.cumsum(edge)[:-1] > 0, group, with_text))
+        return pa.table({"doc_id": group["doc_id"]} | s.cover(marked(len(s.data), start, start + count + WIDTH - 1), group, with_text))
 
     schema = f"doc_id long, n_bytes long, n_removed long, removed_spans {SPANS_SQL}, kept_sha256 string" + ", kept binary" * with_text
     return plain.groupBy(KEY).cogroup(found.groupBy(KEY)).applyInArrow(finish, schema)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Slots and places that are worked on at a time: what a step needs besides the arrays it keeps stays small.
+BLOCK = 1 << 17
+
 
 def words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one big-endian number; zeros follow the end."""
@@ -16,57 +19,86 @@ def words(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def places_of(n: int):
+    """The narrowest kind of number for places below n."""
+    return np.int32 if n <= np.iinfo(np.int32).max else np.int64
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of the suffixes, sorted by their first `depth` bytes at least.
 
     Larsson and Sadakane: a rank is the first slot of a group of suffixes that are not told apart yet; each round doubles
-    the prefix that is sorted and touches only groups of several suffixes. Where a key and a place fit into 64 bits they are
-    sorted as one number, which takes a fraction of the time of sorting places by key.
+    the prefix that is sorted and touches only groups of several suffixes, a block of slots after the other. Where a key and
+    a place fit into 64 bits they are sorted as one number, which takes a fraction of the time of sorting places by key.
     """
     n = len(data)
-    first, bits = words(data), n.bit_length()
+    key, bits, kind = words(data), n.bit_length(), places_of(n + 2 * depth + 16)
     h = min(8, (64 - bits) // 8)
     if h >= 4:
         low = np.uint64(64 - 8 * h)
-        packed = np.sort((first >> low << low) | np.arange(n, dtype=np.uint64))
-        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-        packed >>= low
+        key >>= low
+        key <<= low
+        for a in range(0, n, BLOCK):
+            key[a : a + BLOCK] |= np.arange(a, min(a + BLOCK, n), dtype=np.uint64)
+        key.sort()
+        order = np.empty(n, kind)
+        for a in range(0, n, BLOCK):
+            order[a : a + BLOCK] = key[a : a + BLOCK] & np.uint64((1 << bits) - 1)
+        key >>= low
     else:
-        h, order = 8, np.argsort(first, kind="stable")
-        packed = first[order]
+        h, order = 8, np.argsort(key, kind="stable").astype(kind)
+        key = key[order]
     same = np.zeros(n, bool)
-    same[1:] = packed[1:] == packed[:-1]
-    slot = np.maximum.accumulate(np.where(same, 0, np.arange(n))) if n else np.empty(0, np.int64)
-    rank = np.full(n + 2 * depth + 16, -1, np.int64)
-    rank[order] = slot
-    del first, packed, slot
-    while h < depth + 8:  # a short last suffix ties with zeros only in its last word
-        several = same.copy()
-        several[:-1] |= same[1:]
-        at = np.flatnonzero(several)
-        if not len(at):
-            break
-        p = order[at]
-        group = np.cumsum(~same[at])
-        index = len(at).bit_length()
-        if 2 * index + bits + 1 <= 64:
-            key = (group.astype(np.uint64) << np.uint64(bits + 1)) | (rank[p + h] + 1).astype(np.uint64)
-            key = np.sort((key << np.uint64(index)) | np.arange(len(at), dtype=np.uint64))
-            p = p[(key & np.uint64((1 << index) - 1)).astype(np.int64)]
-            key >>= np.uint64(index)
-        else:
-            key = group * (n + 1) + rank[p + h] + 1
-            o = np.argsort(key, kind="stable")
-            p, key = p[o], key[o]
-        order[at] = p
-        eq = np.zeros(len(at), bool)
-        eq[1:] = key[1:] == key[:-1]
-        same[at] = eq
-        rank[p] = at[np.maximum.accumulate(np.where(eq, 0, np.arange(len(at))))]
+    same[1:] = key[1:] == key[:-1]
+    del key
+    slot = np.arange(n, dtype=kind)
+    slot[same] = 0
+    rank = np.full(n + 2 * depth + 16, -1, kind)
+    rank[order] = np.maximum.accumulate(slot) if n else slot
+    del slot
+    more = True
+    while h < depth + 8 and more:  # a short last suffix ties with zeros only in its last word
+        more, a = False, 0
+        while a < n:
+            z = min(a + BLOCK, n)
+            if z < n and same[z]:  # a group stays in one block
+                k = int(np.argmin(same[z:]))
+                z = n if same[z + k] else z + k
+            more |= refine(order, rank, same, a, z, h, bits)
+            a = z
         h *= 2
     return order
 
 
+def refine(order: np.ndarray, rank: np.ndarray, same: np.ndarray, a: int, z: int, h: int, bits: int) -> bool:
+    """Sort the groups of several suffixes in slots a to z by the ranks h places on. False where there are none."""
+    several = same[a:z].copy()
+    several[:-1] |= same[a + 1 : z]
+    at = a + np.flatnonzero(several)
+    if not len(at):
+        return False
+    p = order[at]
+    group = np.cumsum(~same[at])
+    index = len(at).bit_length()
+    if 2 * index + bits + 1 <= 64:
+        key = (group.astype(np.uint64) << np.uint64(bits + 1)) | (rank[p + h] + 1).astype(np.uint64)
+        key <<= np.uint64(index)
+        key |= np.arange(len(at), dtype=np.uint64)
+        key.sort()
+        p = p[(key & np.uint64((1 << index) - 1)).astype(np.int64)]
+        key >>= np.uint64(index)
+    else:
+        key = group * (len(order) + 1) + rank[p + h] + 1
+        o = np.argsort(key, kind="stable")
+        p, key = p[o], key[o]
+    order[at] = p
+    eq = np.zeros(len(at), bool)
+    eq[1:] = key[1:] == key[:-1]
+    same[at] = eq
+    rank[p] = at[np.maximum.accumulate(np.where(eq, 0, np.arange(len(at))))]
+    return True
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix with the one before it in `order`, by place in the text.
 
@@ -107,13 +139,16 @@ def equal_windows(data: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray
     """
     order = suffix_order(data, width)
     order = order[valid[order]]
-    w = np.concatenate((words(data), np.zeros(width, np.uint64)))
+    w = words(np.concatenate((data, np.zeros(width, np.uint8))))
     new = np.zeros(len(order), bool)
-    live = np.arange(1, len(order))
-    for o in [*range(0, width - 8, 8), width - 8]:
-        differ = w[order[live] + o] != w[order[live - 1] + o]
-        new[live[differ]] = True
-        live = live[~differ]
-    group = np.empty(len(data), np.int64)
-    group[order] = np.cumsum(new)
+    for a in range(0, len(order), BLOCK):
+        own = order[max(a - 1, 0) : a + BLOCK]
+        live = np.arange(1, len(own))
+        for o in [*range(0, width - 8, 8), width - 8]:
+            differ = w[own[live] + o] != w[own[live - 1] + o]
+            new[max(a - 1, 0) + live[differ]] = True
+            live = live[~differ]
+    del w
+    group = np.empty(len(data), places_of(len(data)))
+    group[order] = np.cumsum(new, dtype=group.dtype)
     return group[valid]
